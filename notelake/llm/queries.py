@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notelake.llm import byte_bpe, exact_dedup, simhash
+from notelake.llm import byte_bpe, decontaminate, exact_dedup, simhash, toxicity
 from notelake.llm.common import new_path, small_batches
 
 
@@ -21,16 +21,26 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = new_path(spark, "x").rpartition("/")[2].replace("-", "_").replace("_x_", "_digests_")
+    table = new_path(spark, "digests").rpartition("/")[2].replace("-", "_")
     return exact_dedup.DigestIndex(spark, table).append(_table(spark, sf_dir, "documents"))
 
 
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digests(decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return byte_bpe.digests(byte_bpe.encode_documents(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op3_exact_dedup, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (
+    op1_simhash_near_dedup, op3_exact_dedup, op6_benchmark_decontamination, op9_toxicity, op10_byte_bpe,
+)}
 
 ORACLE = {
     "op3_exact_dedup": r"""
