@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notelake.llm import byte_bpe, decontaminate, exact_dedup, simhash, toxicity
+from notelake.llm import byte_bpe, decontaminate, exact_dedup, licences, pii, simhash, toxicity
 from notelake.llm.common import new_path, small_batches
 
 
@@ -20,6 +20,10 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.find_spans(_table(spark, sf_dir, "documents")))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = new_path(spark, "digests").rpartition("/")[2].replace("-", "_")
     return exact_dedup.DigestIndex(spark, table).append(_table(spark, sf_dir, "documents"))
@@ -29,6 +33,10 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.digests(decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
 
+def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.summary(licences.scan(_table(spark, sf_dir, "documents")))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -39,7 +47,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_simhash_near_dedup, op3_exact_dedup, op6_benchmark_decontamination, op9_toxicity, op10_byte_bpe,
+    op1_simhash_near_dedup, op2_pii, op3_exact_dedup, op6_benchmark_decontamination, op8_licences, op9_toxicity, op10_byte_bpe,
 )}
 
 ORACLE = {

@@ -1,0 +1,107 @@
+import hashlib
+import random
+import re
+
+from notelake.llm import licences, pii
+
+SCHEMA = "doc_id long, text string, found string, kind int"
+RULES = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(d):
+    return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+
+
+def brute(text):
+    spans = []
+    for order, (kind, rule) in enumerate(RULES.items()):
+        for m in re.finditer(rule, text or ""):
+            digits = re.sub("[^0-9]", "", m[0])
+            if kind == "ip" and any(int(p) > 255 for p in m[0].split(".")):
+                continue
+            if kind == "card" and not (12 <= len(digits) <= 19 and luhn(digits)):
+                continue
+            if kind == "phone" and not 9 <= len(digits) <= 15:
+                continue
+            spans.append((m.start(), order, f"{kind}:{m.start()}:{m.end()}"))
+    return [s for *_, s in sorted(spans)]
+
+
+TEXTS = [
+    None, "", "a@b.c.d_x@y.z and x@@y.z, me@host", "+1 (017) 555-7713 tel", "1.2.3.4.5.6.7.8 256.1.1.1 0255.001.0.0 1.2.3.4444444444444444444444444",
+    "card 4111 1111 1111 1111, 5500-0000-0000-0004 4111111111111112 1 2", "🎹é 4111111111111111 ü a@b.de", "\x01\x02 a@b.cc \x02 1.1.1.1 \x01",
+    "+49 30 901820 +1 + 2 +12345678901234567890", "order 4111111111111111", "iban GB82 WEST 1234 5698 7654 32 account; DE89370400440532013000, XX00",
+    "ssn 123-45-6789" + "." * 40 + "123-45-6789", "x" * 20000 + "@" + "y." * 5000 + "z", "1 " * 9000, "+1" * 3000, "a@b.c " * 2000, "$1 \\ $0 a@b.c",
+]
+
+
+def random_texts(n=300, seed=2):
+    rnd = random.Random(seed)
+    return ["".join(rnd.choice(["1", "2", "55", ".", "@", "a", "b.c", "+", "-", " ", "(", ")", "é", "4111111111111111", "255"]) for _ in range(rnd.randrange(60))) for _ in range(n)]
+
+
+def test_base_spans_match_brute_force(spark):
+    texts = [*TEXTS, *random_texts()]
+    rows = {r.doc_id: r for r in pii.digests(pii.find_spans(spark.createDataFrame([(i, t, "q", 1) for i, t in enumerate(texts)], SCHEMA))).collect()}
+    for i, t in enumerate(texts):
+        want = brute(t)
+        got = [s for s in rows[i].spans.split(",") if s and s.split(":")[0] in RULES]
+        assert got == want, (t or "")[:80]
+        assert rows[i].base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
+        assert [rows[i].n_email, rows[i].n_ip, rows[i].n_card, rows[i].n_phone] == [sum(s.startswith(k) for s in want) for k in RULES]
+
+
+def test_added_kinds_and_context(spark):
+    rows = {r.doc_id: r for r in pii.digests(pii.find_spans(spark.createDataFrame([(i, t, "q", 1) for i, t in enumerate(TEXTS)], SCHEMA))).collect()}
+    found = rows[TEXTS.index("iban GB82 WEST 1234 5698 7654 32 account; DE89370400440532013000, XX00")].spans
+    assert "iban:5:32" in found and "iban:42:64" in found
+    assert [s for s in rows[TEXTS.index("ssn 123-45-6789" + "." * 40 + "123-45-6789")].spans.split(",") if s.startswith("ssn")] == ["ssn:4:15"]  # the word is too far from the second
+    far = spark.createDataFrame([(1, "123-45-6789", None, None), (2, "GB82 WEST 1234 5698 7654 33 iban", None, None)], SCHEMA)
+    assert all("ssn" not in r.spans and "iban" not in r.spans for r in pii.digests(pii.find_spans(far)).collect())
+    scores = {i: r.scored_spans for i, r in rows.items()}
+    assert scores[TEXTS.index("order 4111111111111111")] == "card:6:22:0.5"
+    assert scores[TEXTS.index(TEXTS[3])].endswith(":0.9")
+
+
+def test_no_python_in_the_plan_and_empty_table(spark):
+    docs = spark.createDataFrame([(1, "a@b.c", "q", 1)], SCHEMA)
+    for df in (pii.digests(pii.find_spans(docs)), licences.summary(licences.scan(docs))):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+    assert pii.digests(pii.find_spans(docs.limit(0))).count() == 0
+    assert pii.mask(docs).first().text == "[email]"
+
+
+def test_long_running_sums(spark, monkeypatch):
+    monkeypatch.setattr(pii, "CHUNK", 3)
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(list(range(n)),) for n in (0, 1, 2, 3, 4, 10)], "v array<int>")
+    for r in df.select("v", pii.running_starts(F.col("v")).alias("s")).collect():
+        assert r.s == [sum(r.v[:i]) for i in range(len(r.v))]
+
+
+def test_licences(spark):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
+    keep = "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+    cases = {
+        1: (None, ""), 2: ("", ""), 3: ("Prose here.\nReleased under the MIT License.", "MIT"), 4: ("Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0"),
+        5: ("x. This work is licensed under the GNU General Public License, version 3.", "GPL-3.0-only"), 6: ("Licensed under the Apache License, Version 2.0.  All rights reserved.", "Apache-2.0,All-Rights-Reserved"),
+        7: (mit + "\n" + keep, "MIT"), 8: (keep, licences.UNKNOWN), 9: ("a licence to kill. permission", ""), 10: ("All rights reserved.\n" * 3000, "All-Rights-Reserved"),
+    }
+    rows = {r.doc_id: r for r in licences.summary(licences.scan(spark.createDataFrame([(i, t, "q", 1) for i, (t, _) in cases.items()], SCHEMA))).collect()}
+    assert {i: r.licences for i, r in rows.items()} == {i: want for i, (_, want) in cases.items()}
+    assert rows[10].n_sentences == 3000 and rows[7].sentence_ids == "mit-grant,mit-keep"
+
+
+def test_known_sentences_are_normal_and_anchored(spark):
+    from pyspark.sql import functions as F
+
+    known = spark.createDataFrame([(s,) for s in licences.SENTENCES.values()], "s string")
+    assert all(r.n == r.s and r.a for r in known.select("s", licences.normalised(F.col("s")).alias("n"), F.col("s").rlike(licences.ANCHORS).alias("a")).collect())
+    assert {i for _, rule in licences.RULES for i in rule} <= set(licences.SENTENCES)
