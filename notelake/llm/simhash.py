@@ -84,8 +84,11 @@ def refine(mask: int) -> list[int]:
 def _deal(rows: DataFrame, masks: list[int]) -> DataFrame:
     """(mask, fp) rows dealt to every finer mask: (mask, key, fp). The table of masks has at most ten rows for each of ``masks``."""
     finer = [(_signed(m), _signed(f)) for m in masks for f in refine(m)]
-    table = F.broadcast(rows.sparkSession.createDataFrame(finer, "mask long, finer long"))
-    dealt = rows.join(table, "mask").select(F.col("finer").alias("mask"), "fp")
+    if masks == [0]:
+        dealt = rows.select(F.explode(F.array(*[F.lit(f) for _, f in finer])).alias("mask"), "fp")
+    else:
+        table = F.broadcast(rows.sparkSession.createDataFrame(finer, "mask long, finer long"))
+        dealt = rows.join(table, "mask").select(F.col("finer").alias("mask"), "fp")
     dealt = dealt.select("mask", F.col("mask").bitwiseAND(F.col("fp")).alias("key"), "fp")
     return dealt.distinct() if len(masks) > 1 else dealt  # two masks may be refined to the same one
 
