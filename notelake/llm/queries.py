@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notelake.llm import byte_bpe, decontaminate, exact_dedup, licences, pii, simhash, toxicity, warc
+from notelake.llm import byte_bpe, decontaminate, exact_dedup, licences, ordinal, pii, simhash, toxicity, warc
 from notelake.llm.common import new_path, small_batches
 
 
@@ -29,6 +29,13 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.DigestIndex(spark, table).append(_table(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades: 0 poor, 1 good but toxic, 2 good; selected are documents that are likelier good (1 or 2) than poor."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    graded = labels.select("doc_id", F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when(F.col("toxic") == 0, 2).alias("grade"))
+    return ordinal.rate(docs, ordinal.train(docs, graded, "grade"), 1)
+
+
 def op5_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw, clean = new_path(spark, "warc-raw"), new_path(spark, "warc")
     warc.write_responses(_table(spark, sf_dir, "pages"), raw)
@@ -54,7 +61,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_simhash_near_dedup, op2_pii, op3_exact_dedup, op5_warc_revisits, op6_benchmark_decontamination, op8_licences, op9_toxicity, op10_byte_bpe,
+    op1_simhash_near_dedup, op2_pii, op3_exact_dedup, op4_quality, op5_warc_revisits, op6_benchmark_decontamination, op8_licences, op9_toxicity, op10_byte_bpe,
 )}
 
 ORACLE = {
