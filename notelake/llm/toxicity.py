@@ -57,21 +57,22 @@ def text_features(text: str | None) -> list[int]:
     return [f for w in distinct_words(text) for f in word_features(w)]
 
 
+def texts_of(lists: list[np.ndarray]) -> np.ndarray:
+    """In how many texts each feature stands."""
+    counts = np.zeros(SIZE, np.int64)
+    for features in lists:
+        counts[np.unique(features)] += 1
+    return counts
+
+
 class Rows:
-    """Feature counts of some texts, as flat arrays."""
+    """Feature counts of some texts, as flat arrays of the features in ``good``."""
 
-    def __init__(self, lists: list[np.ndarray]):
+    def __init__(self, lists: list[np.ndarray], good: np.ndarray):
         self.n = len(lists)
+        lists = [x[good[x]] for x in lists]
         self.row = np.repeat(np.arange(self.n), [len(x) for x in lists])
-        self.feature = np.concatenate([np.zeros(0, np.int64), *lists]).astype(np.int64)
-
-    def only(self, good: np.ndarray) -> None:
-        keep = good[self.feature]
-        self.row, self.feature = self.row[keep], self.feature[keep]
-
-    def texts_of(self) -> np.ndarray:
-        pairs = np.unique(self.row * SIZE + self.feature)
-        return np.bincount(pairs % SIZE, minlength=SIZE)
+        self.feature = np.concatenate([np.zeros(0, np.int32), *lists])
 
     def scores(self, weights: np.ndarray, intercept: float) -> np.ndarray:
         return np.bincount(self.row, weights[self.feature], self.n) + intercept
@@ -84,20 +85,18 @@ def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def telling(p: Rows, u: Rows) -> np.ndarray:
+def telling(positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> np.ndarray:
     """Features whose share of positive texts is over their share of unlabelled texts by more than chance explains."""
-    in_p, in_u = p.texts_of(), u.texts_of()
-    share = (in_p + in_u + 1) / (p.n + u.n + 2)
-    z = (in_p / p.n - in_u / u.n) / np.sqrt(share * (1 - share) * (1 / p.n + 1 / u.n))
+    in_p, in_u, p, u = texts_of(positive), texts_of(unlabelled), len(positive), len(unlabelled)
+    share = (in_p + in_u + 1) / (p + u + 2)
+    z = (in_p / p - in_u / u) / np.sqrt(share * (1 - share) * (1 / p + 1 / u))
     return (in_p + in_u >= LEAST_TEXTS) & (z >= LEAST_Z)
 
 
 def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> tuple[np.ndarray, float]:
     """Weights and intercept that minimise the non-negative PU risk with the logistic loss, by Adam over all rows."""
-    p, u = Rows(positive), Rows(unlabelled)
-    enough = telling(p, u)
-    p.only(enough)
-    u.only(enough)
+    good = telling(positive, unlabelled)
+    p, u = Rows(positive, good), Rows(unlabelled, good)
     weights, intercept = np.zeros(SIZE), float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6)))
     m, v = np.zeros(SIZE + 1), np.zeros(SIZE + 1)
     for t in range(1, EPOCHS + 1):
@@ -124,7 +123,7 @@ def _features(docs: DataFrame, ids: DataFrame) -> list[np.ndarray]:
     """Features of the texts of a bounded number of ids."""
     own = F.pandas_udf(lambda texts: pd.Series([np.array(text_features(t), np.int32) for t in texts]), "array<int>")
     chosen = docs.join(F.broadcast(ids), "doc_id", "left_semi").select(own("text").alias("f"))
-    return [np.array(r, np.int64) for r in chosen.toPandas()["f"]]
+    return [np.asarray(r, np.int32) for r in chosen.toPandas()["f"]]
 
 
 def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float] | None:
