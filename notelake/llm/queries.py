@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notelake.llm import byte_bpe, decontaminate, exact_dedup, licences, ordinal, pii, simhash, toxicity, warc
+from notelake.llm import byte_bpe, decontaminate, exact_dedup, licences, ordinal, pii, simhash, suffix_dedup, toxicity, warc
 from notelake.llm.common import new_path, small_batches
 
 
@@ -47,6 +47,10 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.digests(decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
 
+def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.summary(suffix_dedup.repeated_passages(_table(spark, sf_dir, "documents")))
+
+
 def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.summary(licences.scan(_table(spark, sf_dir, "documents")))
 
@@ -61,7 +65,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_simhash_near_dedup, op2_pii, op3_exact_dedup, op4_quality, op5_warc_revisits, op6_benchmark_decontamination, op8_licences, op9_toxicity, op10_byte_bpe,
+    op1_simhash_near_dedup, op2_pii, op3_exact_dedup, op4_quality, op5_warc_revisits, op6_benchmark_decontamination, op7_repeated_passages, op8_licences, op9_toxicity, op10_byte_bpe,
 )}
 
 ORACLE = {
