@@ -17,12 +17,12 @@ def bin_of(value: Column, edges: list[float]) -> Column:
 
     width_bucket needs equal bins and a join needs a shuffle. Here a closed form
     guesses the bin of log-spaced edges, and the literal edges around the guess
-    decide: six comparisons a row, not one for each edge.
+    decide: five comparisons a row, not one for each edge.
     """
     import math
 
     n, low, high = len(edges), math.log(edges[0]), math.log(edges[-1])
-    guess = F.floor((F.log(F.greatest(value, F.lit(1e-9))) - low) * ((n - 1) / (high - low))).cast("int")
+    guess = clamp(F.floor((F.log(F.greatest(value, F.lit(1e-9))) - low) * ((n - 1) / (high - low))), 1, n - 2).cast("int")
     table = _doubles(edges)
     # the true bin is within one of the guess
     at = lambda k: F.when(F.get(table, guess + k) <= value, 1).otherwise(0)
