@@ -68,6 +68,29 @@ QUERIES = {f.__name__: f for f in (
     op1_simhash_near_dedup, op2_pii, op3_exact_dedup, op4_quality, op5_warc_revisits, op6_benchmark_decontamination, op7_repeated_passages, op8_licences, op9_toxicity, op10_byte_bpe,
 )}
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _licence_sql() -> str:
+    """The sentence table and the ordered rules as SQL."""
+    known = ", ".join(f"('{i}', '{s}')" for i, s in licences.SENTENCES.items())
+    steps = ["r0 AS (SELECT rowid, CASE WHEN len(ids) > 0 THEN ' ' || array_to_string(ids, '  ') || ' ' ELSE '' END AS rest, CAST([] AS VARCHAR[]) AS found FROM seq)"]
+    for k, (name, rule) in enumerate(licences.RULES):
+        part = "".join(f" {i} " for i in rule)
+        steps.append(f"r{k + 1} AS (SELECT rowid, replace(rest, '{part}', ' # ') AS rest, CASE WHEN contains(rest, '{part}') THEN list_append(found, '{name}') ELSE found END AS found FROM r{k})")
+    return rf"""
+        WITH known(id, sentence) AS (VALUES {known}),
+        docs AS MATERIALIZED (SELECT row_number() OVER () AS rowid, doc_id, text FROM documents),
+        s AS (SELECT rowid, unnest(string_split(regexp_replace(coalesce(text, ''), '([.!?;:])[ \t]+', '\1' || chr(10), 'g'), chr(10))) AS line, generate_subscripts(string_split(regexp_replace(coalesce(text, ''), '([.!?;:])[ \t]+', '\1' || chr(10), 'g'), chr(10)), 1) AS i FROM docs),
+        n AS (SELECT rowid, i, trim(regexp_replace(regexp_replace(regexp_replace(lower(line), '[^a-z0-9.]+', ' ', 'g'), '\.( |$)', ' ', 'g'), ' +', ' ', 'g')) AS sentence FROM s WHERE regexp_matches(line, '{licences.ANCHORS}')),
+        hit AS (SELECT rowid, list(id ORDER BY i) AS ids FROM n JOIN known USING (sentence) GROUP BY rowid),
+        seq AS (SELECT d.rowid, doc_id, coalesce(ids, []) AS ids FROM docs d LEFT JOIN hit ON hit.rowid = d.rowid),
+        {", ".join(steps)}
+        SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_sentences, array_to_string(ids, ',') AS sentence_ids,
+          array_to_string(list_filter(CASE WHEN regexp_matches(rest, '[a-z]') THEN list_append(found, '{licences.UNKNOWN}') ELSE found END, lambda x, i: list_position(CASE WHEN regexp_matches(rest, '[a-z]') THEN list_append(found, '{licences.UNKNOWN}') ELSE found END, x) = i), ',') AS licences
+        FROM seq JOIN r{len(licences.RULES)} USING (rowid)"""
+
+
 ORACLE = {
     "op3_exact_dedup": r"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
@@ -78,4 +101,34 @@ ORACLE = {
                doc_id = first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY points DESC, doc_id) AS kept,
                text_sha256
         FROM h""",
+    "op5_warc_revisits": f"""
+        WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+        b AS (SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('{warc.BASE32}', CAST((('0x' || substr(h, 5 * (i // 4) + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31 AS BIGINT) + 1, 1)), '') AS payload_digest FROM p),
+        f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM b)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM f""",
+    "op6_benchmark_decontamination": rf"""
+        WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS a FROM documents),
+        b AS (SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS a FROM benchmark),
+        bw AS (SELECT item_id, least(len(a), 10) AS size, unnest(range(greatest(len(a) - 9, 1))) AS i, a FROM b WHERE len(a) > 0),
+        win AS (SELECT DISTINCT item_id, size, array_to_string(a[i + 1:i + size], ' ') AS w FROM bw),
+        dw AS (SELECT r, unnest(a) AS word, generate_subscripts(a, 1) - 1 AS i FROM d),
+        dl AS (SELECT r, i, list(word) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS ahead FROM dw),
+        g AS (SELECT r, i, size, array_to_string(ahead[1:size], ' ') AS w FROM dl, (SELECT DISTINCT size FROM win) WHERE len(ahead) >= size),
+        hit AS (SELECT r, i, size, item_id FROM g JOIN win USING (size, w)),
+        marked AS (SELECT r, count(DISTINCT i + k) AS n_hit FROM (SELECT DISTINCT r, i, size FROM hit), range(10) x(k) WHERE k < size GROUP BY r),
+        names AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS items FROM hit GROUP BY r)
+        SELECT doc_id, CAST(len(a) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN marked USING (r) LEFT JOIN names USING (r)""",
+    "op7_repeated_passages": rf"""
+        WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS a FROM documents),
+        dw AS (SELECT r, unnest(a) AS word, generate_subscripts(a, 1) - 1 AS i FROM d),
+        g AS (SELECT r, i, count(*) OVER w AS n, md5(string_agg(word, ' ') OVER w) AS h FROM dw WINDOW w AS (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)),
+        c AS (SELECT h FROM g WHERE n = 50 GROUP BY h HAVING count(*) > 1),
+        hit AS (SELECT r, i FROM g WHERE n = 50 AND h IN (SELECT h FROM c)),
+        isl AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 50 THEN 0 ELSE 1 END AS new FROM hit),
+        num AS (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS grp FROM isl),
+        sp AS (SELECT r, grp, min(i) AS s, max(i) + 50 AS e FROM num GROUP BY r, grp),
+        t AS (SELECT r, CAST(sum(e - s) AS BIGINT) AS n_repeated, count(*) AS n_spans, string_agg(s || ':' || e, ',' ORDER BY s) AS spans FROM sp GROUP BY r)
+        SELECT doc_id, CAST(len(a) AS BIGINT) AS n_words, coalesce(n_repeated, 0) AS n_repeated, coalesce(n_spans, 0) AS n_spans, coalesce(spans, '') AS spans FROM d LEFT JOIN t USING (r)""",
+    "op8_licences": _licence_sql(),
 }
