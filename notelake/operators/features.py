@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from notelake import spec
+from notelake.sources.interim import keep
 
 
 def density(notes: DataFrame) -> DataFrame:
@@ -35,15 +36,35 @@ def quartiles(densities: DataFrame) -> DataFrame:
     return q.select("q1", "q2", F.greatest("a3", F.col("q2") + F.lit(1e-4)).alias("q3"))
 
 
+def base(notes: DataFrame) -> DataFrame:
+    """A row per piece (n_notes, last_onset, density, median_pitch, mean_voices, peak_voices) from one sweep: one scan, one shuffle."""
+    start = F.greatest(F.lit(0.0), F.col("onset"))
+    end = F.greatest(F.col("onset") + F.lit(1e-4), F.col("onset") + F.col("duration"))
+    bounds = notes.select("piece_id", "event_id", "pitch", F.inline(F.array(F.struct(start.alias("t"), F.lit(1).alias("d")), F.struct(end.alias("t"), F.lit(-1).alias("d")))))
+    w = W.partitionBy("piece_id").orderBy("t", F.desc("d"), "event_id")
+    active = bounds.select("piece_id", "t", "d", "pitch", F.sum("d").over(w.rowsBetween(W.unboundedPreceding, 0)).alias("n"), (F.lead("t").over(w) - F.col("t")).alias("span"))
+    on = lambda c: F.when(F.col("d") == 1, F.col(c))
+    mean = F.when(F.sum("span") > 0, F.sum(F.col("n") * F.col("span")) / F.sum("span")).otherwise(F.max("n"))
+    length = F.max(F.when(F.col("d") == -1, F.col("t"))) - F.min(on("t"))
+    return active.groupBy("piece_id").agg(
+        F.count(on("t")).alias("n_notes"), F.max(on("t")).alias("last_onset"), (F.count(on("t")) / F.greatest(F.lit(1e-3), length)).alias("density"), F.median(on("pitch")).alias("median_pitch"),
+        mean.alias("mean_voices"), F.greatest(F.lit(1), F.max("n")).cast("double").alias("peak_voices"),
+    )
+
+
 def tags(notes: DataFrame) -> DataFrame:
-    """(piece_id, density_tok, voices_tok, register_tok); the one-row table of quartiles is broadcast."""
-    dens = density(notes)
-    rows = dens.join(polyphony(notes), "piece_id").crossJoin(F.broadcast(quartiles(dens)))
+    """(piece_id, density_tok, voices_tok, register_tok, n_notes, last_onset).
+
+    The row per piece is written once, as the quartiles and the tags both read
+    it; the one-row table of quartiles is broadcast.
+    """
+    rows = keep(base(notes), "pieces")
+    rows = rows.crossJoin(F.broadcast(quartiles(rows)))
     mean, peak = F.greatest(F.lit(1.0), F.col("mean_voices")), F.col("peak_voices")
     d = F.when(F.col("density") <= F.col("q1"), 0).when(F.col("density") <= F.col("q2"), 1).when(F.col("density") <= F.col("q3"), 2).otherwise(3)
     v = F.when((peak <= 1.05) & (mean < 1.2), 0).when((mean < 2) & (peak <= 3), 1).when((mean < 3.5) & (peak <= 6), 2).otherwise(3)
     r = F.when(F.col("median_pitch") < 48, 0).when(F.col("median_pitch") <= 72, 1).otherwise(2)
-    return rows.select("piece_id", (spec.DENSITY + d).alias("density_tok"), (spec.VOICES + v).alias("voices_tok"), (spec.REGISTER + r).alias("register_tok"))
+    return rows.select("piece_id", (spec.DENSITY + d).alias("density_tok"), (spec.VOICES + v).alias("voices_tok"), (spec.REGISTER + r).alias("register_tok"), "n_notes", "last_onset")
 
 
 def pitch_classes(notes: DataFrame) -> DataFrame:

@@ -32,8 +32,7 @@ def stream(notes: DataFrame, tags: DataFrame) -> DataFrame:
     first = tags.select("piece_id", F.posexplode(F.array("density_tok", "voices_tok", "register_tok", F.lit(spec.BOS))).alias("pos", "tok"))
     first = first.select("piece_id", "pos", "tok", F.lit(0.0).alias("onset"), F.lit(1e-4).alias("duration"))
     middle = body(notes).withColumn("pos", F.col("pos") + 4)
-    last = notes.groupBy("piece_id").agg((F.count(F.lit(1)) * 4 + 4).cast("int").alias("pos"), F.max_by("onset", "note_ix").alias("onset"))
-    last = last.select("piece_id", "pos", F.lit(spec.EOS).alias("tok"), "onset", F.lit(1e-4).alias("duration"))
+    last = tags.select("piece_id", (F.col("n_notes") * 4 + 4).cast("int").alias("pos"), F.lit(spec.EOS).alias("tok"), F.col("last_onset").alias("onset"), F.lit(1e-4).alias("duration"))
     return first.unionByName(middle).unionByName(last)
 
 

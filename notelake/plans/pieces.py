@@ -57,7 +57,7 @@ def density_quartiles(spark, sf_dir):
 
 @query(f"WITH {S.TAGS} SELECT * FROM tags")
 def structural_tags(spark, sf_dir):
-    return features.tags(bind.notes(spark, sf_dir))
+    return features.tags(bind.notes(spark, sf_dir)).select("piece_id", "density_tok", "voices_tok", "register_tok")
 
 
 _CLASSES = "cls AS (SELECT piece_id, c AS pitch_class, (SELECT count(*) FROM notes_m m WHERE m.piece_id = p.piece_id AND m.pitch % 12 = c)::DOUBLE / p.n AS share FROM (SELECT piece_id, count(*) AS n FROM notes_m GROUP BY piece_id) p, range(12) r(c))"
