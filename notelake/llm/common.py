@@ -54,4 +54,5 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def only_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` whose id is in ``ids`` (one column); a null id matches a null id."""
     wanted = ids.select(F.col(ids.columns[0]).alias("__wanted")).distinct()
-    return docs.join(wanted, docs[id_col].eqNullSafe(wanted["__wanted"]), "left_semi")
+    # a sort-merge join at every size: the ids grow with the corpus, so they are never broadcast
+    return docs.join(wanted.hint("merge"), docs[id_col].eqNullSafe(wanted["__wanted"]), "left_semi")
