@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
-from notelake.llm.common import id_and_text, small_batches
+from notelake.llm.common import id_and_text, keep, small_batches
 
 #: Bounds of the training samples, in rows.
 POSITIVES, UNLABELLED = 3_000, 9_000
@@ -57,21 +57,12 @@ def text_features(text: str | None) -> list[int]:
     return [f for w in distinct_words(text) for f in word_features(w)]
 
 
-def texts_of(lists: list[np.ndarray]) -> np.ndarray:
-    """In how many texts each feature stands."""
-    counts = np.zeros(SIZE, np.int64)
-    for features in lists:
-        counts[np.unique(features)] += 1
-    return counts
-
-
 class Rows:
-    """Feature counts of some texts, as flat arrays of the features in ``good``."""
+    """Feature counts of n texts, as flat arrays; ``lists`` may be fewer, the rest has no features."""
 
-    def __init__(self, lists: list[np.ndarray], good: np.ndarray):
-        self.n = len(lists)
-        lists = [x[good[x]] for x in lists]
-        self.row = np.repeat(np.arange(self.n), [len(x) for x in lists])
+    def __init__(self, lists: list[np.ndarray], n: int | None = None):
+        self.n = len(lists) if n is None else n
+        self.row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
         self.feature = np.concatenate([np.zeros(0, np.int32), *lists])
 
     def scores(self, weights: np.ndarray, intercept: float) -> np.ndarray:
@@ -85,18 +76,8 @@ def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def telling(positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> np.ndarray:
-    """Features whose share of positive texts is over their share of unlabelled texts by more than chance explains."""
-    in_p, in_u, p, u = texts_of(positive), texts_of(unlabelled), len(positive), len(unlabelled)
-    share = (in_p + in_u + 1) / (p + u + 2)
-    z = (in_p / p - in_u / u) / np.sqrt(share * (1 - share) * (1 / p + 1 / u))
-    return (in_p + in_u >= LEAST_TEXTS) & (z >= LEAST_Z)
-
-
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> tuple[np.ndarray, float]:
+def fit(p: Rows, u: Rows, prior: float) -> tuple[np.ndarray, float]:
     """Weights and intercept that minimise the non-negative PU risk with the logistic loss, by Adam over all rows."""
-    good = telling(positive, unlabelled)
-    p, u = Rows(positive, good), Rows(unlabelled, good)
     weights, intercept = np.zeros(SIZE), float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6)))
     m, v = np.zeros(SIZE + 1), np.zeros(SIZE + 1)
     for t in range(1, EPOCHS + 1):
@@ -119,24 +100,37 @@ def held_out(doc_id: Column | str) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % FOLDS == HELD_OUT
 
 
-def _features(docs: DataFrame, ids: DataFrame) -> list[np.ndarray]:
-    """Features of the texts of a bounded number of ids."""
-    own = F.pandas_udf(lambda texts: pd.Series([np.array(text_features(t), np.int32) for t in texts]), "array<int>")
-    chosen = docs.join(F.broadcast(ids), "doc_id", "left_semi").select(own("text").alias("f"))
-    return [np.asarray(r, np.int32) for r in chosen.toPandas()["f"]]
+def telling(sample: DataFrame, p: int, u: int) -> DataFrame:
+    """Features of ``sample`` (positive, row, f) whose share of positive texts is over their share of unlabelled texts by more than chance explains."""
+    counts = sample.select("positive", F.explode(F.array_distinct("f")).alias("feature")).groupBy("feature").agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("u"))
+    share = (F.col("p") + F.col("u") + 1) / (p + u + 2)
+    z = (F.col("p") / p - F.col("u") / u) / F.sqrt(share * (1 - share) * (1 / p + 1 / u))
+    return counts.filter((F.col("p") + F.col("u") >= LEAST_TEXTS) & (z >= LEAST_Z)).select("feature")
 
 
 def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float] | None:
-    """Fit on training rows (crc32 of the id not in the held-out fold); None if none is confirmed toxic."""
+    """Fit on training rows (crc32 of the id not in the held-out fold); None if none is confirmed toxic.
+
+    Only the telling features of the two bounded samples come to the driver.
+    """
     docs = id_and_text(docs).filter(~held_out("doc_id"))
     known = labels.select("doc_id", "toxic").filter(F.col("toxic").isNotNull() & ~held_out("doc_id"))
     prior = known.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0]
     if not prior:
         return None
-    some = lambda ids, most: ids.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    positive = _features(docs, some(known.filter("toxic = 1"), POSITIVES))
-    unlabelled = _features(docs, some(docs, UNLABELLED))
-    return fit(positive, unlabelled, min(prior, 0.99)) if positive and unlabelled else None
+    some = lambda ids, most, positive: ids.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).withColumn("positive", F.lit(positive))
+    chosen = some(known.filter("toxic = 1"), POSITIVES, True).unionByName(some(docs, UNLABELLED, False))
+    own = F.pandas_udf(lambda texts: pd.Series([np.array(text_features(t), np.int32) for t in texts]), "array<int>")
+    sample = docs.join(F.broadcast(chosen), "doc_id").select("positive", F.monotonically_increasing_id().alias("row"), own("text").alias("f"))
+    sample = keep(sample, "toxicity-sample")
+    n = {r.positive: r["count"] for r in sample.groupBy("positive").count().collect()}
+    if not (n.get(True) and n.get(False)):
+        return None
+    good = F.broadcast(telling(sample, n[True], n[False]))
+    rows = sample.select("positive", "row", F.explode("f").alias("feature")).join(good, "feature")
+    rows = rows.groupBy("positive", "row").agg(F.collect_list("feature").alias("f")).select("positive", "f").toPandas()
+    part = lambda positive: Rows([np.asarray(f, np.int32) for f in rows["f"][rows["positive"] == positive]], n[positive])
+    return fit(part(True), part(False), min(prior, 0.99))
 
 
 def scorer(spark: SparkSession, model: tuple[np.ndarray, float] | None):
