@@ -19,19 +19,23 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notelake.llm.common import id_and_text, keep, only_ids, small_batches
+from notelake.llm.common import id_and_text, small_batches
 from notelake.llm.fm_index import FmIndex
 
 WINDOW = 10
 #: Words of benchmark text that one pass searches for, and indexed words of one shard.
 BLOCK_WORDS, SHARD_WORDS = 2_000_000, 1_000_000
+#: Bytes of documents that wait in a task for the search of their shard.
+SHARD_BYTES = 32_000_000
 #: Rows that are located at a time.
 LOCATE_ROWS = 1_000_000
 #: Bytes: A-Z to lower case, every other ASCII character but 0-9 and a-z to a space.
@@ -133,6 +137,16 @@ def merge(start: np.ndarray, end: np.ndarray) -> list[dict]:
     return [{"start": int(s), "end": int(e)} for s, e in zip(start[new], reach[last], strict=True)]
 
 
+def _blocks(benchmark: DataFrame, width: int) -> Iterator[Windows]:
+    """The benchmark's windows, in blocks of bounded size."""
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.coalesce("text", F.lit("")).alias("text"))
+    points = items.agg(F.sum(F.char_length("text"))).first()[0] or 0
+    blocks = math.ceil(points / 2 / BLOCK_WORDS) or 1  # a word and its separator are two characters at least
+    for k in range(blocks):
+        block = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
+        yield Windows([tuple(r) for r in block.collect()], width)
+
+
 def _search(docs: DataFrame, windows: Windows) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(windows)
 
@@ -151,19 +165,12 @@ def _search(docs: DataFrame, windows: Windows) -> DataFrame:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
     """(doc_id, n_words, spans, items) of every document: merged spans of hit words, names of the items found."""
-    spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(docs.sparkSession)
     docs = id_and_text(docs)
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.coalesce("text", F.lit("")).alias("text"))
-    points = items.agg(F.sum(F.char_length("text"))).first()[0] or 0
-    blocks = math.ceil(points / 2 / BLOCK_WORDS) or 1  # a word and its separator are two characters at least
-    found = None
-    for k in range(blocks):
-        block = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
-        own = _search(docs, Windows([tuple(r) for r in block.collect()], width))
-        found = own if found is None else found.unionByName(own)
-    if blocks == 1:
-        return found
+    parts = [_search(docs, windows) for windows in _blocks(benchmark, width)]
+    if len(parts) == 1:
+        return parts[0]
+    found = reduce(DataFrame.unionByName, parts)
     sets = found.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     return sets.select("doc_id", "n_words", F.pandas_udf(_merge_lists, "array<struct<start:long,end:long>>")("s").alias("spans"), "items")
 
@@ -185,6 +192,34 @@ def digests(found: DataFrame) -> DataFrame:
     )
 
 
-def drop_contaminated(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` without any hit, all columns."""
-    return only_ids(docs, keep(found.filter(F.size("spans") == 0).select("doc_id"), "clean"), id_col)
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
+    """The rows of ``docs`` without any hit, all columns. Rows pass through the tasks that search them, so nothing is shuffled; a block's hits are gone before the next block's pass."""
+    small_batches(docs.sparkSession)
+    for windows in _blocks(benchmark, width):
+        docs = _without(docs, windows)
+    return docs
+
+
+def _without(docs: DataFrame, windows: Windows) -> DataFrame:
+    shared, at = docs.sparkSession.sparkContext.broadcast(windows), docs.columns.index("text")
+
+    def clean(shard: Shard, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        good = pa.array([not spans for spans in shard.search()["spans"]], pa.bool_())
+        done = 0
+        for batch in held:
+            yield batch.filter(good.slice(done, batch.num_rows))
+            done += batch.num_rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, held, size = Shard(shared.value), [], 0
+        for batch in batches:
+            shard.add([None] * batch.num_rows, batch.column(at).to_pylist())
+            held.append(batch)
+            size += batch.nbytes
+            if shard.size >= SHARD_WORDS or size >= SHARD_BYTES:
+                yield from clean(shard, held)
+                shard, held, size = Shard(shared.value), [], 0
+        if held:
+            yield from clean(shard, held)
+
+    return docs.mapInArrow(run, docs.schema)
