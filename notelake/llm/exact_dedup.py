@@ -58,6 +58,7 @@ class DigestIndex:
             fresh = fresh.hint("merge").join(known.select("digest"), "digest", "left_anti")
         fresh.repartition(self.buckets, "digest").write.bucketBy(self.buckets, "digest").sortBy("digest").mode("append").saveAsTable(self.table)
         verdicts = groups.select("digest", "group_size").hint("merge").join(self.spark.table(self.table), "digest")
+        verdicts = keep(verdicts, "digest-verdicts")  # so that the next join has two exchanges of its own, which AQE may split
         return rows.join(verdicts, "digest").select(
             "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
         )
