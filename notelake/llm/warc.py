@@ -38,6 +38,7 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
+DECIDED = "page_id long, url string, payload string, payload_digest string, payload_bytes long, record_type string, refers_to long"
 READ = "file string, number long, page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload string, intact boolean"
 
 
@@ -137,10 +138,13 @@ def _frame(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
     return frame.astype({"number": "int64", "payload_bytes": "int64", "intact": "bool"})
 
 
+def _files(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("path", "content")
+
+
 def read_archives(spark: SparkSession, folder: str, with_payload: bool = False) -> DataFrame:
     """A row per record: file, number in it, page_id, url, record_type, payload_digest, payload_bytes (of the full payload), refers_to, payload, intact."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("path", "content")
-    return files.mapInPandas(_rows(with_payload), READ)
+    return _files(spark, folder).mapInPandas(_rows(with_payload), READ)
 
 
 def resolve(headers: DataFrame, least_bytes: int = 0) -> DataFrame:
@@ -154,11 +158,37 @@ def resolve(headers: DataFrame, least_bytes: int = 0) -> DataFrame:
     )
 
 
+def _decided(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Archives with the verdicts on their records, parsed into what is to be written."""
+    for frame in frames:
+        for content, verdicts in zip(frame["content"], frame["verdicts"], strict=True):
+            originals = {v["number"]: v["refers_to"] for v in verdicts if v["record_type"] == "revisit"}
+            out = []
+            for n, (headers, block) in enumerate(parse(gzip.GzipFile(fileobj=io.BytesIO(content)))):
+                again = n in originals
+                payload = block.partition(b"\r\n\r\n")[2]
+                page = headers.get("x-page-id")
+                out.append((int(page) if page else None, headers.get("warc-target-uri", ""), "" if again else payload.decode(), headers["warc-payload-digest"].removeprefix("sha1:"), len(payload), "revisit" if again else "response", originals.get(n)))
+                if len(out) >= 500:
+                    yield _typed(out)
+                    out = []
+            yield _typed(out)
+
+
+def _typed(rows: list[tuple]) -> pd.DataFrame:
+    frame = pd.DataFrame(rows, columns=[c.split()[0] for c in DECIDED.split(", ")])
+    for c in ("page_id", "refers_to"):
+        frame[c] = frame[c].astype("Int64")
+    return frame.astype({"payload_bytes": "int64"})
+
+
 def deduplicate(spark: SparkSession, source: str, target: str, least_bytes: int = 0) -> None:
-    """Read the archives of ``source`` and write them to ``target`` with one response per payload and revisits for the rest."""
+    """Read the archives of ``source`` and write them to ``target`` with one response per payload and revisits for the rest.
+
+    The verdicts (FILE_RECORDS a file at most) join the archives as they are, so
+    payloads are shuffled compressed, once.
+    """
     headers = keep(read_archives(spark, source).drop("payload", "intact"), "headers")
-    verdicts = resolve(headers, least_bytes)
-    records = read_archives(spark, source, with_payload=True).select("file", "number", "page_id", "url", "payload", "payload_digest", "payload_bytes")
-    records = records.join(verdicts, ["file", "number"])
-    payload = F.when(F.col("record_type") == "revisit", F.lit("")).otherwise(F.col("payload"))
-    _write(records.withColumn("payload", payload), target)
+    verdicts = resolve(headers, least_bytes).groupBy("file").agg(F.collect_list(F.struct("number", "record_type", "refers_to")).alias("verdicts"))
+    archives = _files(spark, source).join(verdicts.hint("merge"), F.col("path") == F.col("file"))
+    _write(archives.select("content", "verdicts").mapInPandas(_decided, DECIDED), target)
