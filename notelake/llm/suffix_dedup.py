@@ -242,7 +242,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     known = F.coalesce("doc_id", F.lit(-1))
     rows = facts.groupBy("row").agg(F.count(F.lit(1)).alias("copies"), F.min(known).alias("reader"))
     places = retained.filter("at >= 0").select("row", "at", "gram").distinct()
-    again = places.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram")
+    again = keep(places.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram"), "repeated-grams")  # so that AQE may split the join
     places = places.join(again, "gram", "left_semi").groupBy("row").agg(F.collect_list("at").alias("places"))
     places = keep(places.join(rows, "row").select("row", F.col("reader").alias("doc_id"), "places"), "places")
     read = texts.select("row", known.alias("doc_id"), "text").join(places, ["row", "doc_id"]).select("row", "text", "places")
