@@ -2,7 +2,8 @@
 
 Every round is two groupings and joins over the links; nothing is gathered on
 the driver but a count and a checksum per round. A hub with many neighbours is
-pre-aggregated (min) before the shuffle, and AQE splits it in the join.
+pre-aggregated (min) before the shuffle; the minima are written, so that the
+join has two exchanges of its own and AQE may split the hub in it.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from notelake.llm.common import keep
 def _star(links: DataFrame, both: bool) -> DataFrame:
     """One star round. both: over all neighbours (large star), else over the smaller ones (small star)."""
     near = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))) if both else links
-    least = near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    least = keep(near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
     moved = near.join(least, "a")
     if both:
         out = moved.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))

@@ -141,7 +141,8 @@ def links(fps: DataFrame) -> DataFrame:
     while True:
         dealt = _deal(rows, masks)
         sizes = keep(dealt.groupBy("mask", "key").count().filter("count > 1"), "buckets")
-        small = dealt.join(sizes.filter(F.col("count") <= BUCKET), ["mask", "key"])
+        # written before it is grouped: a grouping by the join's own keys would keep AQE from splitting a hot bucket in the join
+        small = keep(dealt.join(sizes.filter(F.col("count") <= BUCKET), ["mask", "key"]).select("mask", "key", "fp"), "small-buckets")
         found = small.groupBy("mask", "key").agg(F.collect_list("fp").alias("members")).select("members").mapInPandas(_bucket_links, "a long, b long")
         out = found if out is None else out.unionByName(found)
         large = sizes.filter(F.col("count") > BUCKET)
@@ -158,7 +159,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     firsts = keep(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
     roots = components(links(firsts.select("fp")))
     classes = firsts.join(roots, firsts["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    ids = classes.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    classes = keep(classes, "classes")
+    ids = keep(classes.groupBy("root").agg(F.min("first_id").alias("component_id")), "component-ids")  # so that AQE may split a large component in the join
     return rows.join(classes.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
