@@ -191,16 +191,16 @@ def _window_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _flags(contexts: DataFrame) -> DataFrame:
     """contexts: (gram, context, context_hash, count). Returns (context_hash, bits)."""
-    # the table of common grams is far smaller than the contexts; where Spark finds it small enough it broadcasts it, so that no task gets all contexts of a common gram
     common = keep(contexts.groupBy("gram").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > GROUP).select("gram"), "common-grams")
-    few = contexts.join(common, "gram", "left_anti")
+    # written before it is grouped: a grouping by the join's own key would keep AQE from splitting a common gram in the join
+    few = keep(contexts.join(common, "gram", "left_anti"), "few-contexts")
     lists = few.groupBy("gram").agg(F.collect_list(F.struct("context_hash", "context", "count")).alias("l"))
     lists = lists.select("gram", F.col("l.context_hash").alias("hashes"), F.col("l.context").alias("contexts"), F.col("l.count").alias("counts"))
     near = lists.mapInPandas(_compare_groups, "context_hash long, bits long")
     if common.isEmpty():
         return near
     rows = contexts.join(common, "gram").mapInPandas(_window_rows, "context_hash long, o int, window long, count long")
-    often = rows.groupBy("o", "window").agg(F.sum("count").alias("n")).filter("n > 1").select("o", "window")
+    often = keep(rows.groupBy("o", "window").agg(F.sum("count").alias("n")).filter("n > 1").select("o", "window"), "repeated-windows")  # so that AQE may split the join
     far = rows.join(often, ["o", "window"]).groupBy("context_hash").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("o"))).alias("bits"))
     return near.unionByName(far)
 
