@@ -13,6 +13,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.column import Column
 
 #: Rows of an Arrow batch: 500 texts of the longest kind seen (130,000 characters) are 65 MB.
 BATCH_ROWS = 500
@@ -51,8 +52,19 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
-def only_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose id is in ``ids`` (one column); a null id matches a null id."""
-    wanted = ids.select(F.col(ids.columns[0]).alias("__wanted")).distinct()
-    # a sort-merge join at every size: the ids grow with the corpus, so they are never broadcast
-    return docs.join(wanted.hint("merge"), docs[id_col].eqNullSafe(wanted["__wanted"]), "left_semi")
+def one_row_each(docs: DataFrame, wanted: DataFrame, digest: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs``, all columns, for each row of ``wanted``: (doc_id, digest, n), distinct keys and how many rows have them.
+
+    ``digest`` is the expression over ``docs`` that made the keys; of rows that share
+    a key the longest text stays. A null id matches a null id.
+    """
+    keyed = docs.withColumn("__digest", digest)
+    # a sort-merge join at every size: the keys grow with the corpus, so they are never broadcast
+    keys = wanted.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__key"), F.col("n").alias("__n")).hint("merge")
+    on = keyed[id_col].eqNullSafe(keys["__id"]) & (keyed["__digest"] == keys["__key"])
+    if wanted.filter("n > 1").isEmpty():
+        return keyed.join(keys, on, "left_semi").select(*docs.columns)
+    found = keyed.join(keys, on)
+    longest = F.max_by(F.struct(*docs.columns), F.struct(F.char_length(text_col), text_col))
+    repeated = found.filter("__n > 1").groupBy("__id", "__key").agg(longest.alias("row")).select("row.*")
+    return found.filter("__n = 1").select(*docs.columns).unionByName(repeated)

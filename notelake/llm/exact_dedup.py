@@ -17,18 +17,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.column import Column
 
-from notelake.llm.common import id_and_text, keep, only_ids
+from notelake.llm.common import id_and_text, keep, one_row_each
 
 #: Characters that do not count when texts are compared.
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+def text_digest(text: Column) -> Column:
+    """SHA-256 of a text without white space."""
+    return F.unhex(F.sha2(F.regexp_replace(text, SPACE, ""), 256))
+
+
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, digest, points) of every row: SHA-256 without white space, code points of the original."""
     return id_and_text(docs, id_col, text_col).select(
         "doc_id",
-        F.unhex(F.sha2(F.regexp_replace("text", SPACE, ""), 256)).alias("digest"),
+        text_digest(F.col("text")).alias("digest"),
         F.char_length("text").alias("points"),
     )
 
@@ -64,9 +70,7 @@ class DigestIndex:
         )
 
 
-def drop_copies(docs: DataFrame, verdicts: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that stay, all columns; of rows that repeat id and text one stays."""
-    verdicts = keep(verdicts.select("doc_id", "kept"), "exact-verdicts")
-    left = only_ids(docs, verdicts.filter("kept").select("doc_id"), id_col)
-    repeats = verdicts.filter("kept").groupBy("doc_id").count().filter("count > 1")
-    return left if repeats.isEmpty() else left.dropDuplicates([id_col, "text"])
+def drop_copies(docs: DataFrame, verdicts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, all columns: of equal texts one row, whether or not ids repeat or are null."""
+    kept = verdicts.filter("kept").groupBy("doc_id", F.unhex("text_sha256").alias("digest")).agg(F.count(F.lit(1)).alias("n"))
+    return one_row_each(docs, keep(kept, "exact-verdicts"), text_digest(F.coalesce(F.col(text_col), F.lit(""))), id_col, text_col)

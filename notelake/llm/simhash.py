@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
-from notelake.llm.common import id_and_text, keep, only_ids, small_batches
+from notelake.llm.common import id_and_text, keep, one_row_each, small_batches
 from notelake.llm.components import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
@@ -152,19 +152,25 @@ def links(fps: DataFrame) -> DataFrame:
         masks = [r.mask % (1 << 64) for r in rows.select("mask").distinct().collect()]  # ten in the first round, at most ten times as many in each of the next three
 
 
+def text_digest(text: Column) -> Column:
+    """SHA-256 of a text."""
+    return F.unhex(F.sha2(text, 256))
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id) of every row; component_id is the smallest id reachable over links."""
+    """(doc_id, digest, fp, root, component_id) of every row; component_id is the smallest id reachable over links, root the smallest fingerprint."""
     small_batches(docs.sparkSession)
-    rows = keep(id_and_text(docs, id_col, text_col).select("doc_id", fingerprints("text").alias("fp")), "fingerprints")
+    rows = keep(id_and_text(docs, id_col, text_col).select("doc_id", text_digest(F.col("text")).alias("digest"), fingerprints("text").alias("fp")), "fingerprints")
     firsts = keep(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
     roots = components(links(firsts.select("fp")))
     classes = firsts.join(roots, firsts["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     classes = keep(classes, "classes")
     ids = keep(classes.groupBy("root").agg(F.min("first_id").alias("component_id")), "component-ids")  # so that AQE may split a large component in the join
-    return rows.join(classes.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return rows.join(classes.join(ids, "root").select("fp", "root", "component_id"), "fp").select("doc_id", "digest", "fp", "root", "component_id")
 
 
-def drop_near_copies(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that stay, all columns: of each component the row with the smallest id."""
-    firsts = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
-    return only_ids(docs, firsts, id_col)
+def drop_near_copies(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, all columns: of each component one row, which has the smallest id (of several, the smallest fingerprint, then digest)."""
+    firsts = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root", "fp", "digest", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    kept = firsts.groupBy("root").agg(F.min(F.struct("fp", "digest", "doc_id", "n")).alias("k")).select("k.doc_id", "k.digest", "k.n")
+    return one_row_each(docs, keep(kept, "near-verdicts"), text_digest(F.coalesce(F.col(text_col), F.lit(""))), id_col, text_col)

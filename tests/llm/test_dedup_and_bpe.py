@@ -160,3 +160,24 @@ def test_bpe_equals_the_rank_file_library(spark, name):
     rows = {r.doc_id: r for r in byte_bpe.digests(byte_bpe.encode_documents(docs, path, public_tokenizers.PATTERN)).collect()}
     assert rows[2].ids_sha256 == hashlib.sha256(",".join(map(str, own.encode_ordinary(texts[2]))).encode()).hexdigest()
     assert rows[0].n_tokens == 0 and rows[0].decoded_sha256 == hashlib.sha256(b"").hexdigest()
+
+
+def test_one_row_of_equal_texts_stays_when_ids_repeat_or_are_null(spark, tmp_path):
+    rows = [(5, "A a"), (3, "B"), (5, "B"), (None, "C"), (None, "C"), (4, "D"), (None, "D"), (None, "E"), (7, "F"), (7, " F "), (7, "G"), (8, None), (8, ""), (None, "")]
+    docs = spark.createDataFrame([(*r, "x", k) for k, r in enumerate(rows)], SCHEMA).repartition(3)
+    left = exact_dedup.drop_copies(docs, exact_dedup.DigestIndex(spark, "digests_of_repeated_ids").append(docs))
+    assert left.columns == docs.columns
+    got = sorted(((r.doc_id, r.text or "") for r in left.collect()), key=repr)
+    assert got == sorted([(5, "A a"), (3, "B"), (None, "C"), (4, "D"), (None, "E"), (7, " F "), (7, "G"), (8, "")], key=repr)
+
+
+def test_one_row_of_a_component_stays_when_ids_repeat_or_are_null(spark):
+    rnd = random.Random(8)
+    words = [f"w{i}" for i in range(80)]
+    a, b, c, d = (" ".join(rnd.choices(words, k=60)) for _ in range(4))
+    rows = [(5, a), (3, b), (5, b), (None, c), (None, c + " "), (None, d), (9, a), (3, b.upper()), (None, None)]
+    docs = spark.createDataFrame([(*r, "x", k) for k, r in enumerate(rows)], SCHEMA).repartition(3)
+    left = simhash.drop_near_copies(docs, simhash.near_groups(docs))
+    assert left.columns == docs.columns
+    got = sorted(((r.doc_id, " ".join((r.text or "").lower().split())) for r in left.collect()), key=repr)
+    assert got == sorted([(5, a), (3, b), (None, c), (None, d), (None, "")], key=repr)
