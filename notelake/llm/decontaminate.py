@@ -6,13 +6,14 @@ are long enough for the shortest window; those runs are indexed, every window is
 searched backward through wavelet-tree ranks, occurrences are located by sampled
 suffix positions, and their spans are merged per document. Documents are never
 shuffled: the windows of a block of items travel to them (a block is bounded by
-``BLOCK_WORDS``; a larger benchmark takes several passes, whose spans are merged
-per document).
+``BLOCK_WORDS``; a larger benchmark takes several passes one after the other,
+whose hits, and nothing of the texts, are written and joined to the documents by
+id and text digest).
 
 Defined results: null and empty texts have no words; an item without words has
 no window, one of fewer than ``WINDOW`` words is one window; a null item id is
-named "null"; rows that repeat an id are judged each (with one block) or as one
-(with several); extra columns are ignored.
+named "null"; every row is judged, whether or not its id repeats or is null; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,10 +26,11 @@ from itertools import chain, repeat
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notelake.llm.common import id_and_text, small_batches
+from notelake.llm.common import id_and_text, keep, small_batches
 from notelake.llm.fm_index import FmIndex
 
 WINDOW = 10
@@ -41,7 +43,9 @@ LOCATE_ROWS = 1_000_000
 #: Bytes: A-Z to lower case, every other ASCII character but 0-9 and a-z to a space.
 TO_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b > 127 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
-FOUND = "doc_id long, n_words long, spans array<struct<start:long,end:long>>, items array<string>"
+FOUND_SPANS = "array<struct<start:long,end:long>>"
+FOUND = f"doc_id long, n_words long, spans {FOUND_SPANS}, items array<string>"
+HITS = f"doc_id long, digest binary, spans {FOUND_SPANS}, items array<string>"
 
 
 def split_words(text: str | None) -> list[bytes]:
@@ -137,42 +141,69 @@ def merge(start: np.ndarray, end: np.ndarray) -> list[dict]:
     return [{"start": int(s), "end": int(e)} for s, e in zip(start[new], reach[last], strict=True)]
 
 
-def _blocks(benchmark: DataFrame, width: int) -> Iterator[Windows]:
-    """The benchmark's windows, in blocks of bounded size."""
+def _blocks(benchmark: DataFrame, width: int) -> tuple[int, Iterator[Windows]]:
+    """How many blocks of bounded size the benchmark has, and their windows, of which each block's are made when they are asked for."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.coalesce("text", F.lit("")).alias("text"))
     points = items.agg(F.sum(F.char_length("text"))).first()[0] or 0
     blocks = math.ceil(points / 2 / BLOCK_WORDS) or 1  # a word and its separator are two characters at least
-    for k in range(blocks):
-        block = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
-        yield Windows([tuple(r) for r in block.collect()], width)
 
+    def block(k: int) -> Windows:
+        part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
+        return Windows([tuple(r) for r in part.collect()], width)
 
-def _search(docs: DataFrame, windows: Windows) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(windows)
+    return blocks, map(block, range(blocks))
+
+
+def _search(docs: DataFrame, shared: Broadcast, hits: bool = False) -> DataFrame:
+    """Every row of (doc_id, text) with what is found in it; with ``hits`` only the rows of (doc_id, text, digest) in which something is."""
+
+    def result(shard: Shard, digests: list) -> pd.DataFrame:
+        out = shard.search()
+        if not hits:
+            return out
+        out.insert(1, "digest", digests)
+        return out[out["spans"].str.len() > 0].drop(columns="n_words")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shard = Shard(shared.value)
+        shard, digests = Shard(shared.value), []
         for frame in frames:
             shard.add([None if pd.isna(i) else int(i) for i in frame["doc_id"]], frame["text"].tolist())
+            digests += frame["digest"].tolist() if hits else []
             if shard.size >= SHARD_WORDS or len(shard.ids) >= SHARD_WORDS // 10:
-                yield shard.search()
-                shard = Shard(shared.value)
+                yield result(shard, digests)
+                shard, digests = Shard(shared.value), []
         if shard.ids:
-            yield shard.search()
+            yield result(shard, digests)
 
-    return docs.mapInPandas(run, FOUND)
+    return docs.mapInPandas(run, HITS if hits else FOUND)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
     """(doc_id, n_words, spans, items) of every document: merged spans of hit words, names of the items found."""
     small_batches(docs.sparkSession)
-    docs = id_and_text(docs)
-    parts = [_search(docs, windows) for windows in _blocks(benchmark, width)]
-    if len(parts) == 1:
-        return parts[0]
-    found = reduce(DataFrame.unionByName, parts)
-    sets = found.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return sets.select("doc_id", "n_words", F.pandas_udf(_merge_lists, "array<struct<start:long,end:long>>")("s").alias("spans"), "items")
+    docs, context = id_and_text(docs), docs.sparkSession.sparkContext
+    blocks, each = _blocks(benchmark, width)
+    if blocks == 1:
+        return _search(docs, context.broadcast(next(each)))
+    keyed = docs.withColumn("digest", F.unhex(F.sha2("text", 256)))
+    parts = []
+    for windows in each:
+        shared = context.broadcast(windows)
+        del windows  # before the next block's are made
+        # rows that share id and text have the same hits: one stands for all, so a group has a row a block at most
+        parts.append(keep(_search(keyed, shared, hits=True).dropDuplicates(["doc_id", "digest"]), "block-hits"))
+        shared.destroy()
+    found = reduce(DataFrame.unionByName, parts).groupBy("doc_id", "digest")
+    found = found.agg(F.flatten(F.collect_list("spans")).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    found = keep(found.select(F.col("doc_id").alias("i"), F.col("digest").alias("d"), F.pandas_udf(_merge_lists, FOUND_SPANS)("s").alias("spans"), "items"), "hits")
+    rows = keyed.select("doc_id", "digest", F.pandas_udf(_word_counts, "long")("text").alias("n_words"))
+    joined = rows.join(found.hint("merge"), rows["doc_id"].eqNullSafe(found["i"]) & (rows["digest"] == found["d"]), "left")
+    none = lambda c, kind: F.coalesce(c, F.array().cast(kind)).alias(c)
+    return joined.select("doc_id", "n_words", none("spans", FOUND_SPANS), none("items", "array<string>"))
+
+
+def _word_counts(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: len(split_words(t))).astype("int64")
 
 
 def _merge_lists(lists: pd.Series) -> pd.Series:
@@ -195,7 +226,7 @@ def digests(found: DataFrame) -> DataFrame:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` without any hit, all columns. Rows pass through the tasks that search them, so nothing is shuffled; a block's hits are gone before the next block's pass."""
     small_batches(docs.sparkSession)
-    for windows in _blocks(benchmark, width):
+    for windows in _blocks(benchmark, width)[1]:
         docs = _without(docs, windows)
     return docs
 

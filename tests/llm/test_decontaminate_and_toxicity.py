@@ -96,6 +96,17 @@ def test_contamination_in_small_shards_and_blocks(spark, monkeypatch):
         assert (r.n_words, sum(s["end"] - s["start"] for s in r.spans), len(r.items)) == want[r.doc_id][:3]
 
 
+def test_rows_that_share_an_id_are_judged_each_whatever_the_blocks(spark, monkeypatch):
+    docs, items = tables(4)
+    docs = [(i % 9 or None, t) for i, t in docs] + [(1, docs[5][1]), (1, docs[5][1]), (None, docs[8][1]), (None, docs[8][1])]
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    b = spark.createDataFrame(items, "item_id long, text string")
+    want = sorted(((i, *brute([(0, t)], items)[0]) for i, t in docs), key=repr)
+    for words in (decontaminate.BLOCK_WORDS, 100):
+        monkeypatch.setattr(decontaminate, "BLOCK_WORDS", words)
+        assert sorted(map(tuple, decontaminate.digests(decontaminate.contamination(d, b)).collect()), key=repr) == want
+
+
 def test_empty_tables(spark):
     d = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     b = spark.createDataFrame([(1, "a b")], "item_id long, text string")
