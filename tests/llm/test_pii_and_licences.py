@@ -68,6 +68,14 @@ def test_added_kinds_and_context(spark):
     assert scores[TEXTS.index(TEXTS[3])].endswith(":0.9")
 
 
+def test_an_iban_ends_where_its_country_says(spark):
+    ibans = ["DE89 3704 0044 0532 0130 00", "NO93 8601 1117 947", "GB82WEST12345698765432", "MT84 MALT 0110 0001 2345 MTLC AST0 01S", "FR14 2004 1010 0505 0001 3M02 606"]
+    texts = [f"IBAN {i}{after}" for i in ibans for after in ("", " BIC COBADEFFXXX", " 12 May", " A", ", BIC X")]
+    rows = pii.digests(pii.find_spans(spark.createDataFrame([(k, t, "q", 1) for k, t in enumerate(texts)], SCHEMA))).collect()
+    for r in rows:
+        assert f"iban:5:{5 + len(ibans[r.doc_id // 5])}" in r.spans.split(","), texts[r.doc_id]
+
+
 def test_no_python_in_the_plan_and_empty_table(spark):
     docs = spark.createDataFrame([(1, "a@b.c", "q", 1)], SCHEMA)
     for df in (pii.digests(pii.find_spans(docs)), licences.summary(licences.scan(docs))):
