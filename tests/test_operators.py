@@ -235,3 +235,14 @@ def test_registry_without_the_optional_subpackage():
         "assert set(e.oracle_sql()) <= set(e.queries())\n"
     )
     assert subprocess.run([sys.executable, "-c", code], capture_output=True).returncode == 0
+
+
+def test_piano_roll_takes_notes_of_any_onset(spark, tmp_path):
+    from notelake import plans
+
+    rows = [(1, 7, 0, 10.0, "view", 0), (2, 7, 100 * 60_000, 10.0, "view", 40)]  # the second starts at 100, 0.1 long
+    events = spark.createDataFrame(rows, "event_id long, user_id long, s long, value double, event_type string, k int")
+    props = F.concat(F.lit('{"k": '), F.col("k").cast("string"), F.lit("}")).alias("props")
+    events.select("event_id", "user_id", F.timestamp_seconds("s").cast("timestamp_ntz").alias("ts"), "value", "event_type", props).write.parquet(f"{tmp_path}/events.parquet")
+    got = plans.QUERIES["piano_roll"](spark, str(tmp_path)).collect()
+    assert sorted((r.piece_id, r.pitch, r.frame) for r in got) == [(7, 21, 0), (7, 61, 200)]
