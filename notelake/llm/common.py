@@ -1,50 +1,14 @@
-"""What the operators of this subpackage share: intermediate tables and row handling.
-
-An intermediate that is read more than once is written as Parquet in the folder
-that the cluster names in ``spark.checkpoint.dir`` (shared by all executors), so
-that a lost executor costs a reread and never a recomputation of a long lineage.
-Where that setting is absent (tests, a laptop) a temporary folder is used.
-"""
+"""What the operators of this subpackage share: intermediate tables and row handling."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
-#: Rows of an Arrow batch: 500 texts of the longest kind seen (130,000 characters) are 65 MB.
-BATCH_ROWS = 500
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The shared folder for intermediates: spark.checkpoint.dir, or one of our own where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="notelake-")
-        spark.sparkContext.setCheckpointDir(folder)
-        folder = spark.sparkContext.getCheckpointDir()
-    return folder.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other call gets."""
-    return f"{shared_folder(spark)}/notelake-{name}-{uuid.uuid4().hex}"
-
-
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return the reread table (cuts the lineage)."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
+from notelake.sources.interim import forget, keep, new_path, shared_folder
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound what one Arrow batch of texts may hold; a session setting, which affects no result."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+__all__ = ["forget", "id_and_text", "keep", "new_path", "one_row_each", "shared_folder"]
 
 
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

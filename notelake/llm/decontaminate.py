@@ -30,7 +30,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notelake.llm.common import id_and_text, keep, small_batches
+from notelake.llm.common import id_and_text, keep
 from notelake.llm.fm_index import FmIndex
 
 WINDOW = 10
@@ -180,7 +180,6 @@ def _search(docs: DataFrame, shared: Broadcast, hits: bool = False) -> DataFrame
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
     """(doc_id, n_words, spans, items) of every document: merged spans of hit words, names of the items found."""
-    small_batches(docs.sparkSession)
     docs, context = id_and_text(docs), docs.sparkSession.sparkContext
     blocks, each = _blocks(benchmark, width)
     if blocks == 1:
@@ -225,7 +224,6 @@ def digests(found: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` without any hit, all columns. Rows pass through the tasks that search them, so nothing is shuffled; a block's hits are gone before the next block's pass."""
-    small_batches(docs.sparkSession)
     for windows in _blocks(benchmark, width)[1]:
         docs = _without(docs, windows)
     return docs

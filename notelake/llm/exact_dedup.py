@@ -1,16 +1,21 @@
 """Exact dedup with a persistent digest index.
 
-The index is a table bucketed and sorted by the SHA-256 of the normalised text,
-one row per text ever seen. A batch is digested once, pre-aggregated to one row
-per digest, and compared with the index by a sort-merge anti-join that shuffles
-only the batch's digests; what is new is appended. Rows of the batch then learn
-their keeper from the index. A digest shared by a third of all rows is one row
-after the partial aggregation, and AQE splits it in the join back.
+The index is a table bucketed and sorted by the SHA-256 of the normalised text:
+(digest, points, keep_id), points being the code points of the text that the row
+stands for. A batch is digested once, pre-aggregated to its best row per digest,
+and compared with the index by a sort-merge anti-join that shuffles only the
+batch's digests: the index side is read in its buckets, without an exchange.
+What is new is appended: texts that the index doesn't hold, and a row that beats
+what it holds of a text (more code points, then the smaller id). The keeper of a
+text is the best of its index rows, taken on reading, bucket by bucket; so it
+doesn't depend on how or in what order rows were dealt into batches. A digest
+shared by a third of all rows is one row after the partial aggregation, and AQE
+splits it in the join back.
 
 Defined results: null text counts as empty; all empty texts are equal; ties in
 length go to the smallest id, a null id coming last; rows that repeat an id are
-counted each; an empty batch yields no rows and an empty index. Extra columns
-are ignored.
+counted each; an empty batch adds nothing and yields no rows; very long texts
+need no more than a row each; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,10 +24,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
-from notelake.llm.common import id_and_text, keep, one_row_each
+from notelake.llm.common import id_and_text, keep, new_path, one_row_each
 
 #: Characters that do not count when texts are compared.
 SPACE = r"[\x20\x09-\x0D]+"
+#: Batches in which :func:`dedup` brings a table to the index.
+BATCHES = 3
 
 
 def text_digest(text: Column) -> Column:
@@ -39,36 +46,72 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
 
 
+def _rank(prefix: str = "") -> Column:
+    """What orders rows of equal texts; the least stays."""
+    points, own = F.col(f"{prefix}points"), F.col(f"{prefix}doc_id")
+    return F.struct((-points).alias("less"), own.isNull().alias("none"), own.alias("id"))
+
+
 class DigestIndex:
-    """A saved table (digest, keep_id), bucketed and sorted by digest, to which batches are added."""
+    """A saved table, bucketed and sorted by digest, to which batches are added."""
 
     def __init__(self, spark: SparkSession, table: str, buckets: int | None = None):
+        """``buckets`` counts for a table that is yet to be made; one that exists has its own number."""
         self.spark, self.table = spark, table
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-    def read(self) -> DataFrame | None:
-        return self.spark.table(self.table) if self.spark.catalog.tableExists(self.table) else None
-
-    def append(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """Add a batch; one row per batch row: doc_id, keep_id, group_size, kept, text_sha256.
-
-        keep_id is the keeper of the batch that first brought the text;
-        group_size counts the rows of this batch that are equal to it.
-        """
-        rows = keep(digests(docs, id_col, text_col), "digests")
-        best = F.min(F.struct((-F.col("points")).alias("p"), F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("id")))
-        groups = rows.groupBy("digest").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
-        groups = keep(groups.select("digest", F.col("best.id").alias("keep_id"), "group_size"), "digest-groups")
-        known, fresh = self.read(), groups.select("digest", "keep_id")
-        if known is not None:
-            fresh = fresh.hint("merge").join(known.select("digest"), "digest", "left_anti")
-        fresh.repartition(self.buckets, "digest").write.bucketBy(self.buckets, "digest").sortBy("digest").mode("append").saveAsTable(self.table)
-        verdicts = groups.select("digest", "group_size").hint("merge").join(self.spark.table(self.table), "digest")
-        verdicts = keep(verdicts, "digest-verdicts")  # so that the next join has two exchanges of its own, which AQE may split
-        return rows.join(verdicts, "digest").select(
+        own = None
+        if spark.catalog.tableExists(table):
+            own = {r.col_name: r.data_type for r in spark.sql(f"DESCRIBE EXTENDED {table}").collect()}.get("Num Buckets")
+        self.buckets = int(own or buckets or spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def read(self) -> DataFrame:
+        """(digest, points, doc_id) of all rows, in the table's buckets."""
+        if not self.spark.catalog.tableExists(self.table):
+            return self.spark.createDataFrame([], "digest binary, points int, doc_id long")
+        return self.spark.table(self.table)
+
+    def keepers(self) -> DataFrame:
+        """(digest, keep_id) of every text; nothing is shuffled."""
+        return self.read().groupBy("digest").agg(F.min(_rank()).alias("best")).select("digest", F.col("best.id").alias("keep_id"))
+
+    def fresh(self, rows: DataFrame) -> DataFrame:
+        """Of digested rows what the index needs to learn: per digest the best row, if no index row is as good."""
+        groups = rows.groupBy("digest").agg(F.min(_rank()).alias("best"))
+        # dealt as the table is bucketed, so that only the batch is shuffled; the second grouping shuffles nothing, but keeps the anti-join above the exchange
+        groups = groups.repartition(self.buckets, "digest").groupBy("digest").agg(F.min("best").alias("best"))
+        groups = groups.select("digest", (-F.col("best.less")).alias("points"), F.col("best.id").alias("doc_id"))
+        known = self.read().select(F.col("digest").alias("__digest"), F.col("points").alias("__points"), F.col("doc_id").alias("__doc_id"))
+        return groups.join(known.hint("merge"), (F.col("digest") == F.col("__digest")) & (_rank("__") <= _rank()), "left_anti")
+
+    def append(self, rows: DataFrame) -> None:
+        """Add the digested rows of a batch."""
+        new = self.fresh(rows)
+        new.write.bucketBy(self.buckets, "digest").sortBy("digest").mode("append").saveAsTable(self.table)
+
+    def verdicts(self, rows: DataFrame) -> DataFrame:
+        """Of digested rows that were appended: doc_id, keep_id, group_size (among ``rows``), kept, text_sha256."""
+        sizes = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"))
+        known = sizes.repartition(self.buckets, "digest").hint("merge").join(self.keepers(), "digest")
+        known = keep(known, "digest-verdicts")  # so that the next join has two exchanges of its own, which AQE may split
+        return rows.join(known, "digest").select(
             "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
         )
 
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES) -> DataFrame:
+    """Verdicts on every row of a table that comes to a new index in batches, as it would over days; the index is dropped in the end."""
+    spark = docs.sparkSession
+    index = DigestIndex(spark, new_path(spark, "digests").rpartition("/")[2].replace("-", "_"))
+    rows = keep(digests(docs, id_col, text_col).withColumn("batch", F.pmod(F.xxhash64("doc_id", "points"), F.lit(batches))), "digests")
+    try:
+        for k in range(batches):
+            index.append(rows.filter(F.col("batch") == k))
+        return index.verdicts(rows)
+    finally:
+        index.drop()
+
 
 def drop_copies(docs: DataFrame, verdicts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, all columns: of equal texts one row, whether or not ids repeat or are null."""

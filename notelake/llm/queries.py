@@ -7,11 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notelake.llm import byte_bpe, decontaminate, exact_dedup, licences, ordinal, pii, simhash, suffix_dedup, toxicity, warc
-from notelake.llm.common import new_path, small_batches
+from notelake.llm.common import new_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -25,8 +24,7 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = new_path(spark, "digests").rpartition("/")[2].replace("-", "_")
-    return exact_dedup.DigestIndex(spark, table).append(_table(spark, sf_dir, "documents"))
+    return exact_dedup.dedup(_table(spark, sf_dir, "documents"))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

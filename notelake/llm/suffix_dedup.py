@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notelake.llm.common import id_and_text, keep, small_batches
+from notelake.llm.common import id_and_text, keep
 
 PASSAGE, GRAM = 50, 12
 #: Grams of a window, and words that a window reaches beyond a gram, to either side.
@@ -234,7 +234,6 @@ def _merge_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, spans) of every row: merged word spans (start, end exclusive) of its repeated windows."""
-    small_batches(docs.sparkSession)
     texts = id_and_text(docs, id_col, text_col).withColumn("row", F.xxhash64(F.encode("text", "UTF-8"), F.char_length("text")))
     retained = keep(texts.mapInPandas(_retain, SUFFIX), "suffixes")
     # equal texts are one row from here on, read from the document of the smallest id

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
-from notelake.llm.common import id_and_text, keep, small_batches
+from notelake.llm.common import id_and_text, keep
 
 #: Bounds of the training samples, in rows.
 POSITIVES, UNLABELLED = 3_000, 9_000
@@ -137,7 +137,6 @@ def scorer(spark: SparkSession, model: tuple[np.ndarray, float] | None):
     """A column function: text -> score from 0 to 1."""
     if model is None:
         return lambda text: F.lit(0.0)
-    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -163,7 +162,6 @@ def scorer(spark: SparkSession, model: tuple[np.ndarray, float] | None):
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document."""
-    small_batches(docs.sparkSession)
     score = scorer(docs.sparkSession, train(docs, labels))
     scored = id_and_text(docs).select("doc_id", held_out("doc_id").alias("held_out"), score("text").alias("score"))
     return scored.select("*", (F.col("score") >= 0.5).cast("int").alias("predicted"))
@@ -171,6 +169,5 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, all columns; nothing is shuffled."""
-    small_batches(docs.sparkSession)
     score = scorer(docs.sparkSession, train(docs, labels))
     return docs.withColumn("__toxicity_score", score(F.coalesce("text", F.lit("")))).filter("__toxicity_score < 0.5").drop("__toxicity_score")

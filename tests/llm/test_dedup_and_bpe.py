@@ -6,6 +6,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 import xxhash
+from pyspark.sql import functions as F
 
 from notelake.llm import byte_bpe, exact_dedup, simhash
 from notelake.llm.components import components
@@ -118,30 +119,56 @@ def brute_exact(rows):
     return sorted((i, min(g := groups[norm(t)])[1], len(g), i == min(g)[1], hashlib.sha256(norm(t).encode()).hexdigest()) for i, t, *_ in rows)
 
 
-def test_exact_dedup_matches_brute_force_and_appends(spark):
+def test_exact_dedup_matches_brute_force(spark):
     rows = corpus()
-    index = exact_dedup.DigestIndex(spark, "t_digests_a")
-    spark.sql("drop table if exists t_digests_a")
-    got = index.append(spark.createDataFrame(rows, SCHEMA))
-    assert sorted(map(tuple, got.collect())) == brute_exact(rows)
-    before = index.read().count()
-    more = spark.createDataFrame([(9000, " " + rows[0][1], "q", 0), (9001, "new text here", "q", 0)], SCHEMA)
-    again = {r.doc_id: r for r in index.append(more).collect()}
-    assert again[9000].keep_id == dict((r[0], r[1]) for r in brute_exact(rows))[rows[0][0]] and not again[9000].kept
-    assert again[9001].kept and index.read().count() == before + 1
-    assert index.append(more.limit(0)).count() == 0
-    spark.sql("drop table t_digests_a")
+    docs = spark.createDataFrame(rows, SCHEMA)
+    assert sorted(map(tuple, exact_dedup.dedup(docs).collect())) == brute_exact(rows)
+    assert exact_dedup.dedup(docs.limit(0)).count() == 0 and not [t for t in spark.catalog.listTables() if t.name.startswith("digests_")]
+
+
+@pytest.mark.parametrize("order", [(0, 1, 2), (2, 1, 0), (1, 2, 0)])
+def test_keepers_do_not_depend_on_the_order_of_batches(spark, order):
+    rows = [*corpus(), (None, "null id", "q", 0), (7000, "null  id", "q", 0), (6999, "null  id", "q", 0), (9000, " " + corpus()[0][1] + "  ", "q", 0)]
+    rows = exact_dedup.digests(spark.createDataFrame(rows, SCHEMA)).withColumn("part", F.abs(F.hash("doc_id", "points")) % 3)
+    index = exact_dedup.DigestIndex(spark, f"t_order_{order[0]}_{order[1]}")
+    for k in order:
+        index.append(rows.filter(F.col("part") == k))
+    got = sorted(map(tuple, index.verdicts(rows).collect()), key=repr)
+    index.drop()
+    want = brute_exact([*corpus(), (9000, " " + corpus()[0][1] + "  ")])
+    assert [r for r in got if r[1] != 6999] == sorted(want, key=repr)
+    assert [(r[0], r[2], r[3]) for r in got if r[1] == 6999] == [(6999, 3, True), (7000, 3, False), (None, 3, False)]
+
+
+def test_index_is_reopened_and_only_the_batch_is_shuffled(spark):
+    docs = exact_dedup.digests(spark.createDataFrame(corpus(), SCHEMA))
+    index = exact_dedup.DigestIndex(spark, "t_reopened", buckets=3)
+    index.append(docs)
+    held = index.read().count()
+    again = exact_dedup.DigestIndex(spark, "t_reopened")  # the session has four shuffle partitions
+    assert again.buckets == 3
+    new = again.fresh(docs)
+    assert new.count() == 0
+    plan = new._jdf.queryExecution().executedPlan().toString()
+    plan = plan[plan.index("Initial Plan"):] if "Initial Plan" in plan else plan
+    batch, known = plan[plan.index("SortMergeJoin"):].split("FileScan parquet spark_catalog")[0], plan.split("FileScan parquet spark_catalog")[1]
+    assert "LeftAnti" in batch and "Bucketed: true" in known
+    below = batch[batch.rindex(":"):]  # what stands between the join and the index's scan
+    assert "Exchange" not in below and "Sort" in below
+    again.append(docs)
+    more = exact_dedup.digests(spark.createDataFrame([(1, "quite new", "q", 0), (2, "quite  new", "q", 0)], SCHEMA))
+    again.append(more)
+    assert again.read().count() == held + 1
+    assert {(r.doc_id, r.keep_id, r.kept) for r in again.verdicts(more).collect()} == {(1, 2, False), (2, 2, True)}
+    again.drop()
 
 
 def test_exact_drop_keeps_columns_and_one_of_repeats(spark):
     rows = [(1, "a b", "x", 1), (1, "a b", "x", 1), (2, "ab", "y", 2), (3, "c", None, None), (None, "d", "n", 3)]
     docs = spark.createDataFrame(rows, SCHEMA)
-    spark.sql("drop table if exists t_digests_b")
-    verdicts = exact_dedup.DigestIndex(spark, "t_digests_b").append(docs)
-    left = exact_dedup.drop_copies(docs, verdicts)
+    left = exact_dedup.drop_copies(docs, exact_dedup.dedup(docs))
     assert left.columns == docs.columns
     assert sorted((r.doc_id or -1) for r in left.collect()) == [-1, 1, 3]
-    spark.sql("drop table t_digests_b")
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.tiktoken"])
@@ -165,7 +192,7 @@ def test_bpe_equals_the_rank_file_library(spark, name):
 def test_one_row_of_equal_texts_stays_when_ids_repeat_or_are_null(spark, tmp_path):
     rows = [(5, "A a"), (3, "B"), (5, "B"), (None, "C"), (None, "C"), (4, "D"), (None, "D"), (None, "E"), (7, "F"), (7, " F "), (7, "G"), (8, None), (8, ""), (None, "")]
     docs = spark.createDataFrame([(*r, "x", k) for k, r in enumerate(rows)], SCHEMA).repartition(3)
-    left = exact_dedup.drop_copies(docs, exact_dedup.DigestIndex(spark, "digests_of_repeated_ids").append(docs))
+    left = exact_dedup.drop_copies(docs, exact_dedup.dedup(docs))
     assert left.columns == docs.columns
     got = sorted(((r.doc_id, r.text or "") for r in left.collect()), key=repr)
     assert got == sorted([(5, "A a"), (3, "B"), (None, "C"), (4, "D"), (None, "E"), (7, " F "), (7, "G"), (8, "")], key=repr)
