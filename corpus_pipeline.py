@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from notelake.llm import byte_bpe, decontaminate, exact_dedup, simhash, toxicity
-from notelake.llm.common import keep, new_path
+from notelake.llm.common import keep
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -23,8 +23,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    table = new_path(spark, "digests").rpartition("/")[2].replace("-", "_")
-    return exact_dedup.drop_copies(docs, exact_dedup.DigestIndex(spark, table).append(docs))
+    return exact_dedup.drop_copies(docs, exact_dedup.dedup(docs))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
