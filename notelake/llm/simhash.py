@@ -1,25 +1,34 @@
 """SimHash near-dedup with pivot distance tables.
 
-Each document gets a 64-bit fingerprint of its 3-word shingles. Distinct
-fingerprints are dealt into buckets by pigeonhole: the 64 bits are cut into five
-blocks, three differing bits leave two blocks untouched, so two fingerprints
-that link share one of ten (mask, bits) keys. A bucket that holds more than
-``BUCKET`` fingerprints is dealt again on its free bits by the same rule; after
-four rounds fewer than ten bits are free, which bounds every bucket whatever the
-data. Inside a bucket a pivot table (distances to ``PIVOTS`` reference
-fingerprints) discards pairs whose largest coordinate difference is over three
-(triangle inequality), and the survivors are verified by Hamming distance. Only
-a spanning forest of each bucket leaves it, so a group of n near copies costs n
-links; components are then found by star rounds.
+Each document gets a 64-bit fingerprint of its 3-word shingles. The Hamming
+distances of every distinct fingerprint to 16 pivots (reference fingerprints from
+a fixed seed) are worked out once and written: the pivot table. By the triangle
+inequality two fingerprints that differ in three bits at most have no coordinate
+that differs by more than three, so a pair is discarded by its largest coordinate
+difference, and survivors are verified by their own Hamming distance.
+
+Coordinates of random fingerprints lie close together (32 +- 4), so they discard
+pairs well but are no join key. Which pairs are looked at is therefore settled
+by pigeonhole: the 64 bits are cut into five blocks, three differing bits leave
+two blocks untouched, so two fingerprints that link share one of ten (mask, bits)
+buckets. A bucket of two is judged in the aggregation that counts it; a bucket of
+up to ``BUCKET`` brings its rows of the pivot table together; a larger one is
+dealt again on its free bits by the same rule, and after four rounds fewer than
+ten bits are free, which bounds every bucket whatever the data. Only a spanning
+forest of each bucket leaves it, so a group of n near copies costs n links;
+components are then found by star rounds.
 
 Defined results: null and empty texts have fingerprint zero and link like any
 other; fewer than three words are one shingle; rows that repeat an id are kept;
-null ids never are a component's id unless it has no other.
+null ids never are a component's id unless it has no other; an empty table has no
+rows; very long texts are hashed in parts of bounded memory; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -37,7 +46,8 @@ BUCKET = 1024
 BLOCKS, AGREE = 5, 2
 #: Reference fingerprints, made from a fixed seed.
 PIVOTS = np.random.default_rng(64).integers(0, 1 << 64, 16, dtype=np.uint64)
-ALL = (1 << 64) - 1
+#: Columns of the pivot table: fingerprint, distances to the first eight pivots, to the other eight.
+TABLE = ("fp", "near", "far")
 
 
 def fingerprint(text: str | None) -> int:
@@ -81,21 +91,33 @@ def refine(mask: int) -> list[int]:
     return sorted({mask | cut[i] | cut[j] for i in range(BLOCKS) for j in range(i)})
 
 
+def pivot_table(fps: DataFrame) -> DataFrame:
+    """(fp, near, far) of distinct fingerprints: the Hamming distances to the 16 pivots, a byte each, packed in two longs. Worked out once; every bucket reads them from here."""
+    distance = lambda p: F.bit_count(F.col("fp").bitwiseXOR(F.lit(_signed(int(p))).cast("long"))).cast("long")
+    packed = lambda ps: reduce(Column.bitwiseOR, [F.shiftleft(distance(p), 8 * k) for k, p in enumerate(ps)])
+    return fps.select("fp", packed(PIVOTS[:8]).alias("near"), packed(PIVOTS[8:]).alias("far"))
+
+
+def apart(a: Column, b: Column) -> Column:
+    """The largest coordinate difference of two rows of the pivot table: a lower bound of their Hamming distance."""
+    coordinate = lambda row, name, k: F.shiftrightunsigned(row[name], 8 * k).bitwiseAND(F.lit(255).cast("long"))
+    return F.greatest(*[F.abs(coordinate(a, n, k) - coordinate(b, n, k)) for n in ("near", "far") for k in range(8)])
+
+
 def _deal(rows: DataFrame, masks: list[int]) -> DataFrame:
-    """(mask, fp) rows dealt to every finer mask: (mask, key, fp). The table of masks has at most ten rows for each of ``masks``."""
+    """(mask, fp, near, far) rows dealt to every finer mask: (mask, key, fp, near, far). The table of masks has at most ten rows for each of ``masks``."""
     finer = [(_signed(m), _signed(f)) for m in masks for f in refine(m)]
     if masks == [0]:
-        dealt = rows.select(F.explode(F.array(*[F.lit(f) for _, f in finer])).alias("mask"), "fp")
+        dealt = rows.select(F.explode(F.array(*[F.lit(f) for _, f in finer])).alias("mask"), *TABLE)
     else:
         table = F.broadcast(rows.sparkSession.createDataFrame(finer, "mask long, finer long"))
-        dealt = rows.join(table, "mask").select(F.col("finer").alias("mask"), "fp")
-    dealt = dealt.select("mask", F.col("mask").bitwiseAND(F.col("fp")).alias("key"), "fp")
+        dealt = rows.join(table, "mask").select(F.col("finer").alias("mask"), *TABLE)
+    dealt = dealt.select("mask", F.col("mask").bitwiseAND(F.col("fp")).alias("key"), *TABLE)
     return dealt.distinct() if len(masks) > 1 else dealt  # two masks may be refined to the same one
 
 
-def spanning(bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links within one bucket of distinct fingerprints."""
-    table = np.bitwise_count(bucket[:, None] ^ PIVOTS[None, :]).astype(np.int16)
+def spanning(bucket: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links within one bucket of distinct fingerprints; ``table`` has their pivot distances."""
     rest, stack = np.arange(len(bucket)), []
     a, b = [], []
     while len(rest):
@@ -115,40 +137,34 @@ def spanning(bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _bucket_links(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
-        a, b = [], []
-        two = [m for m in frame["members"] if len(m) == 2]
-        if two:
-            pairs = np.array(two, np.int64).view(np.uint64)
-            left, right = pairs[:, 0], pairs[:, 1]
-            far = np.zeros(len(pairs), np.int64)
-            for p in PIVOTS:
-                far = np.maximum(far, np.abs(np.bitwise_count(left ^ p).astype(np.int64) - np.bitwise_count(right ^ p)))
-            keep_ = far <= RADIUS
-            keep_[keep_] = np.bitwise_count(left[keep_] ^ right[keep_]) <= RADIUS
-            a, b = [left[keep_]], [right[keep_]]
-        for m in frame["members"]:
-            if len(m) > 2:
-                x, y = spanning(np.asarray(m, np.int64).view(np.uint64))
-                a.append(x)
-                b.append(y)
-        join = lambda parts: np.concatenate([np.zeros(0, np.uint64), *parts]).view(np.int64)
-        yield pd.DataFrame({"a": join(a), "b": join(b)})
+        pairs = []
+        for fps, near, far in zip(frame["fps"], frame["nears"], frame["fars"], strict=True):
+            table = np.stack((near, far), axis=1).astype("<i8").view(np.uint8).astype(np.int16)
+            pairs.append(spanning(np.asarray(fps, np.int64).view(np.uint64), table))
+        a, b = (np.concatenate([np.zeros(0, np.uint64), *(p[k] for p in pairs)]).view(np.int64) for k in (0, 1))
+        yield pd.DataFrame({"a": a, "b": b})
 
 
 def links(fps: DataFrame) -> DataFrame:
     """fps: distinct (fp). Returns (a, b): a spanning forest of each bucket's links at RADIUS or fewer differing bits."""
-    rows, masks, out = fps.select(F.lit(0).cast("long").alias("mask"), "fp"), [0], None
+    rows, masks, out = keep(pivot_table(fps), "pivot-table").select(F.lit(0).cast("long").alias("mask"), *TABLE), [0], None
     while True:
-        dealt = _deal(rows, masks)
-        sizes = keep(dealt.groupBy("mask", "key").count().filter("count > 1"), "buckets")
+        dealt, row = _deal(rows, masks), F.struct(*TABLE)
+        sizes = dealt.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("count"), F.min(row).alias("x"), F.max(row).alias("y")).filter("count > 1")
+        sizes = keep(sizes, "buckets")
+        # two rows are judged where they were counted: the pivots discard the pair, or it is verified
+        two = sizes.filter((F.col("count") == 2) & (apart(F.col("x"), F.col("y")) <= RADIUS))
+        two = two.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS)
+        more = sizes.filter(F.col("count").between(3, BUCKET)).select("mask", "key")
         # written before it is grouped: a grouping by the join's own keys would keep AQE from splitting a hot bucket in the join
-        small = keep(dealt.join(sizes.filter(F.col("count") <= BUCKET), ["mask", "key"]).select("mask", "key", "fp"), "small-buckets")
-        found = small.groupBy("mask", "key").agg(F.collect_list("fp").alias("members")).select("members").mapInPandas(_bucket_links, "a long, b long")
+        small = keep(dealt.join(more, ["mask", "key"]).select("mask", "key", *TABLE), "small-buckets")
+        lists = small.groupBy("mask", "key").agg(F.collect_list(row).alias("l"))
+        found = lists.select(*[F.col(f"l.{c}").alias(f"{c}s") for c in TABLE]).mapInPandas(_bucket_links, "a long, b long").unionByName(two)
         out = found if out is None else out.unionByName(found)
-        large = sizes.filter(F.col("count") > BUCKET)
+        large = sizes.filter(F.col("count") > BUCKET).select("mask", "key")
         if large.isEmpty():
             return out.distinct()
-        rows = keep(dealt.join(large, ["mask", "key"]).select("mask", "fp").distinct(), "large-buckets")
+        rows = keep(dealt.join(large, ["mask", "key"]).select("mask", *TABLE).distinct(), "large-buckets")
         masks = [r.mask % (1 << 64) for r in rows.select("mask").distinct().collect()]  # ten in the first round, at most ten times as many in each of the next three
 
 

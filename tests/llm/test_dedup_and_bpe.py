@@ -84,6 +84,21 @@ def test_large_buckets_are_dealt_again_and_lose_no_link(spark, monkeypatch):
     assert {s: roots.get(s, s) for s in signed.values()} == brute_classes(list(signed.values()), linked)
 
 
+def test_pivots_discard_most_pairs_and_no_link(spark):
+    rnd = random.Random(9)
+    fps = sorted({rnd.getrandbits(64) for _ in range(300)})
+    fps += [f ^ 1 << rnd.randrange(64) ^ 1 << rnd.randrange(64) ^ 1 << rnd.randrange(64) for f in fps[:100]]
+    table = simhash.pivot_table(spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long"))
+    for r in table.limit(20).collect():
+        assert list((r.near % 2**64).to_bytes(8, "little") + (r.far % 2**64).to_bytes(8, "little")) == [bin(r.fp % 2**64 ^ int(p)).count("1") for p in simhash.PIVOTS]
+    x, y = (table.select(*[F.col(c).alias(f"{n}_{c}") for c in simhash.TABLE], F.struct(*simhash.TABLE).alias(n)) for n in "xy")
+    pairs = x.join(y, F.col("x_fp") < F.col("y_fp"))  # a test's own table of pairs
+    pairs = pairs.select(simhash.apart(F.col("x"), F.col("y")).alias("apart"), F.bit_count(F.col("x_fp").bitwiseXOR(F.col("y_fp"))).alias("bits"))
+    assert pairs.filter("apart > bits").count() == 0
+    assert pairs.filter("bits <= 3").count() >= 100 and pairs.filter("bits <= 3 and apart > 3").count() == 0
+    assert pairs.filter("bits > 3 and apart <= 3").count() < 0.001 * pairs.count()
+
+
 def test_masks_cover_every_choice():
     masks = simhash.refine(0)
     assert len(masks) == 10 and all(bin(m).count("1") in (25, 26) for m in masks)
