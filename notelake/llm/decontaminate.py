@@ -1,27 +1,26 @@
 """Benchmark decontamination by an FM-index over each training shard.
 
-A task cuts its documents into shards. A word that stands in no benchmark item
-can't be part of a window, so a shard's text is the runs of benchmark words that
-are long enough for the shortest window; those runs are indexed, every window is
-searched backward through wavelet-tree ranks, occurrences are located by sampled
-suffix positions, and their spans are merged per document. Documents are never
-shuffled: the windows of a block of items travel to them (a block is bounded by
-``BLOCK_WORDS``; a larger benchmark takes several passes one after the other,
-whose hits, and nothing of the texts, are written and joined to the documents by
-id and text digest).
+A task cuts its documents into shards of bounded size and indexes every word of a
+shard. The benchmark's windows are searched backward through wavelet-tree ranks,
+occurrences are located by sampled suffix positions, and their spans are merged
+per document. Documents are never shuffled: the windows travel to them, in blocks
+of ``BLOCK_WORDS`` words, and a task looks up all blocks in a shard's one index,
+one block after the other. However many blocks there are, each row is judged
+once, where it stands. The driver makes a block at a time from pieces of items
+(``PIECE_WORDS``), so neither a large benchmark nor a huge item passes it whole.
 
 Defined results: null and empty texts have no words; an item without words has
 no window, one of fewer than ``WINDOW`` words is one window; a null item id is
-named "null"; every row is judged, whether or not its id repeats or is null; extra
-columns are ignored.
+named "null"; every row is judged, whether or not its id repeats or is null; empty
+tables give no rows or no hits; a very long text is a shard of its own; extra
+columns are ignored, or passed through where rows are dropped.
 """
 
 from __future__ import annotations
 
-import math
+from collections import defaultdict
 from collections.abc import Iterator
-from functools import reduce
-from itertools import chain, repeat
+from itertools import chain, count, repeat
 
 import numpy as np
 import pandas as pd
@@ -30,22 +29,19 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notelake.llm.common import id_and_text, keep
+from notelake.llm.common import id_and_text
 from notelake.llm.fm_index import FmIndex
 
 WINDOW = 10
-#: Words of benchmark text that one pass searches for, and indexed words of one shard.
-BLOCK_WORDS, SHARD_WORDS = 2_000_000, 1_000_000
-#: Bytes of documents that wait in a task for the search of their shard.
-SHARD_BYTES = 32_000_000
+#: Words of benchmark text in one block, in one piece of an item, and indexed words of one shard.
+BLOCK_WORDS, PIECE_WORDS, SHARD_WORDS = 250_000, 50_000, 500_000
 #: Rows that are located at a time.
 LOCATE_ROWS = 1_000_000
 #: Bytes: A-Z to lower case, every other ASCII character but 0-9 and a-z to a space.
 TO_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b > 127 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
-FOUND_SPANS = "array<struct<start:long,end:long>>"
-FOUND = f"doc_id long, n_words long, spans {FOUND_SPANS}, items array<string>"
-HITS = f"doc_id long, digest binary, spans {FOUND_SPANS}, items array<string>"
+SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64())])
+FOUND = "doc_id long, n_words long, spans array<struct<start:long,end:long>>, items array<string>"
 
 
 def split_words(text: str | None) -> list[bytes]:
@@ -53,84 +49,120 @@ def split_words(text: str | None) -> list[bytes]:
 
 
 class Windows:
-    """The distinct windows of some benchmark items."""
-
-    def __init__(self, items: list[tuple[str, str]], width: int = WINDOW):
-        self.vocabulary: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], set[str]] = {}
-        for item, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in split_words(text)]
-            for i in range(max(len(ids) - width + 1, 1 if ids else 0)):
-                owners.setdefault(tuple(ids[i : i + width]), set()).add(item)
-        self.owners = [sorted(s) for s in owners.values()]
-        self.lengths = np.array([len(w) for w in owners], np.int64)
-        self.phrases = np.zeros((len(owners), width), np.int32)
-        for row, w in zip(self.phrases, owners, strict=True):
-            row[width - len(w) :] = w
-        self.shortest = int(self.lengths.min(initial=width))
+    """The distinct windows of one block of benchmark pieces, as arrays."""
+
+    def __init__(self, pieces: list[tuple[str, list[bytes]]], width: int = WINDOW):
+        ids = defaultdict(count(1).__next__)
+        names = defaultdict(count().__next__)
+        rows, owners = [np.zeros((0, width), np.int32)], [np.zeros(0, np.int64)]
+        for item, words in pieces:
+            if not words:
+                continue
+            symbols = np.fromiter(map(ids.__getitem__, words), np.int32, len(words))
+            symbols = np.concatenate((np.zeros(max(0, width - len(words)), np.int32), symbols))  # a short item stands at the right
+            rows.append(np.lib.stride_tricks.sliding_window_view(symbols, width))
+            owners.append(np.full(len(rows[-1]), names[item]))
+        self.vocabulary, self.names = list(ids), list(names)
+        self.phrases, window = np.unique(np.concatenate(rows), axis=0, return_inverse=True)
+        self.lengths = (self.phrases > 0).sum(axis=1)
+        pairs = np.unique(np.stack((window.ravel(), np.concatenate(owners)), axis=1), axis=0)
+        self.owners, self.first = pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(self.phrases) + 1))
+
+    def items(self, windows: np.ndarray) -> set[str]:
+        """Names of the items that hold any of the windows."""
+        return {self.names[o] for w in windows.tolist() for o in self.owners[self.first[w] : self.first[w + 1]].tolist()}
+
+
+def _pieces(width: int):
+    """Items cut into pieces that overlap by what a window needs, so that each window is in one piece."""
+
+    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for item, text in zip(frame["item"], frame["text"], strict=True):
+                words = split_words(text)
+                for at in range(0, max(1, len(words) - width + 1), PIECE_WORDS):
+                    yield pd.DataFrame({"item": [item], "words": [b" ".join(words[at : at + PIECE_WORDS + width - 1])]})
+
+    return cut
+
+
+def blocks(benchmark: DataFrame, width: int = WINDOW) -> list[Broadcast]:
+    """The windows of the benchmark in broadcasts of bounded size; at least one, which may hold no window."""
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.coalesce("text", F.lit("")).alias("text"))
+    context, out, held, size = benchmark.sparkSession.sparkContext, [], [], 0
+    for r in items.mapInPandas(_pieces(width), "item string, words binary").toLocalIterator():
+        held.append((r.item, bytes(r.words).split()))
+        size += len(held[-1][1])
+        if size >= BLOCK_WORDS:
+            out.append(context.broadcast(Windows(held, width)))
+            held, size = [], 0
+    if held or not out:
+        out.append(context.broadcast(Windows(held, width)))
+    return out
 
 
 class Shard:
     """Documents gathered for one index."""
 
-    def __init__(self, windows: Windows):
-        self.windows = windows
-        self.ids, self.words, self.runs = [], [], []
+    def __init__(self):
+        self.symbols = defaultdict(count(1).__next__)
+        self.parts: list[np.ndarray] = []
         self.size = 0
 
-    def add(self, ids: list, texts: list) -> None:
-        words = [split_words(t) for t in texts]
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        symbols = np.fromiter(map(self.windows.vocabulary.get, chain.from_iterable(words), repeat(0)), np.int32, int(lengths.sum()))
-        ends = np.cumsum(lengths)
-        known = symbols > 0
-        first = known & ~np.concatenate(([False], known[:-1]))
-        last = known & ~np.concatenate((known[1:], [False]))
-        edges = ends[(ends > 0) & (ends < len(symbols))]
-        first[edges] = known[edges]
-        last[edges - 1] = known[edges - 1]
-        start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-        long = end - start >= self.windows.shortest
-        start, end = start[long], end[long]
-        doc = np.searchsorted(ends, start, "right")
-        self.runs.append((doc + len(self.ids), start - (ends - lengths)[doc], [symbols[s:e] for s, e in zip(start.tolist(), end.tolist(), strict=True)]))
-        self.size += int((end - start + 1).sum())
-        self.ids += ids
-        self.words += lengths.tolist()
-
-    def search(self) -> pd.DataFrame:
-        out = pd.DataFrame({"doc_id": pd.array(self.ids, "Int64"), "n_words": self.words})
-        spans, items = [[] for _ in self.ids], [[] for _ in self.ids]
-        out["spans"], out["items"] = spans, items
-        if not self.size or not len(self.windows.lengths):
-            return out
-        parts = [r for _, _, runs in self.runs for r in runs]
-        text = np.zeros(self.size, np.int32)
-        offsets = np.concatenate(([0], np.cumsum([len(p) + 1 for p in parts])))[:-1]
-        for at, p in zip(offsets.tolist(), parts, strict=True):
-            text[at : at + len(p)] = p
-        run_doc = np.concatenate([d for d, _, _ in self.runs])
-        run_word = np.concatenate([w for _, w, _ in self.runs])
-        index = FmIndex(text)
-        lo, hi = index.ranges(self.windows.phrases, self.windows.lengths)
+    def add(self, texts: list, at: int) -> int:
+        """Take texts from place ``at`` on until the shard is full; how many were taken."""
+        begin = len(self.parts)
+        for text in texts[at:] if at else texts:
+            words = split_words(text)
+            self.parts.append(np.fromiter(map(self.symbols.__getitem__, words), np.int32, len(words)))
+            self.size += len(words)
+            if self.size >= SHARD_WORDS:
+                break
+        return len(self.parts) - begin
+
+    def search(self, shared: list[Broadcast]) -> tuple[list[int], list[list[dict]], list[list[str]]]:
+        """Per document: the number of words, merged spans of hit words, names of the items found."""
+        lengths = np.fromiter(map(len, self.parts), np.int64, len(self.parts))
+        ends = np.cumsum(lengths + 1)
+        text = np.zeros(int(ends[-1]), np.int32)
+        for part, end in zip(self.parts, ends.tolist(), strict=True):
+            text[end - 1 - len(part) : end - 1] = part
+        index, hits, items = FmIndex(text), [], [set() for _ in self.parts]
+        for block in shared:
+            windows = block.value
+            for doc, start, window in self._occurrences(index, windows, ends):
+                hits.append(np.stack((doc, start, start + windows.lengths[window])))
+                both = np.unique(np.stack((doc, window)), axis=1)
+                places, firsts = np.unique(both[0], return_index=True)
+                for d, w in zip(places.tolist(), np.split(both[1], firsts[1:]), strict=True):
+                    items[d] |= windows.items(w)
+            if len(shared) > 1:
+                block.__dict__.pop("_value", None)  # the worker keeps one block in memory, not all
+        spans: list[list[dict]] = [[] for _ in self.parts]
+        doc, start, end = np.concatenate(hits, axis=1) if hits else np.zeros((3, 0), np.int64)
+        by = np.lexsort((start, doc))
+        doc, start, end = doc[by], start[by], end[by]
+        places, firsts = np.unique(doc, return_index=True)
+        for d, s, e in zip(places.tolist(), np.split(start, firsts[1:]), np.split(end, firsts[1:]), strict=False):
+            spans[d] = merge(s, e)
+        return lengths.tolist(), spans, [sorted(i) for i in items]
+
+    def _occurrences(self, index: FmIndex, windows: Windows, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(document, first word, window) of occurrences, some at a time."""
+        absent = index.symbols  # a word that the shard lacks
+        known = np.fromiter(map(self.symbols.get, windows.vocabulary, repeat(absent)), np.int64, len(windows.vocabulary))
+        phrases = np.concatenate(([0], known))[windows.phrases]
+        lo, hi = index.ranges(phrases, windows.lengths)
         found = np.flatnonzero(hi > lo)
-        hits: list[np.ndarray] = []
         counts = (hi - lo)[found]
-        bounds = np.searchsorted(np.cumsum(counts), np.arange(0, counts.sum(), LOCATE_ROWS), "right")
-        for part in np.split(np.arange(len(found)), np.unique(bounds[1:])):
-            n = counts[part]
-            rows = np.repeat(lo[found[part]] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-            at = index.locate(rows)
-            run = np.searchsorted(offsets, at, "right") - 1
-            hits.append(np.stack((run_doc[run], run_word[run] + at - offsets[run], np.repeat(found[part], n))))
-        doc, start, window = np.concatenate(hits, axis=1) if hits else np.zeros((3, 0), np.int64)
-        by = np.lexsort((start, doc))
-        doc, start, window = doc[by], start[by], window[by]
-        for d, at in zip(*np.unique(doc, return_index=True), strict=True):
-            to = np.searchsorted(doc, d, "right")
-            spans[d] += merge(start[at:to], start[at:to] + self.windows.lengths[window[at:to]])
-            items[d] += sorted({i for w in set(window[at:to].tolist()) for i in self.windows.owners[w]})
-        return out
+        total = np.cumsum(counts)
+        for part in np.split(np.arange(len(found)), np.unique(np.searchsorted(total, np.arange(LOCATE_ROWS, counts.sum(), LOCATE_ROWS), "right"))):
+            if len(part):
+                n = counts[part]
+                rows = np.repeat(lo[found[part]] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+                at = index.locate(rows)
+                doc = np.searchsorted(ends, at, "right")
+                yield doc, at - np.concatenate(([0], ends))[doc], np.repeat(found[part], n)
 
 
 def merge(start: np.ndarray, end: np.ndarray) -> list[dict]:
@@ -141,76 +173,50 @@ def merge(start: np.ndarray, end: np.ndarray) -> list[dict]:
     return [{"start": int(s), "end": int(e)} for s, e in zip(start[new], reach[last], strict=True)]
 
 
-def _blocks(benchmark: DataFrame, width: int) -> tuple[int, Iterator[Windows]]:
-    """How many blocks of bounded size the benchmark has, and their windows, of which each block's are made when they are asked for."""
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.coalesce("text", F.lit("")).alias("text"))
-    points = items.agg(F.sum(F.char_length("text"))).first()[0] or 0
-    blocks = math.ceil(points / 2 / BLOCK_WORDS) or 1  # a word and its separator are two characters at least
+def _per_shard(docs: DataFrame, text_col: str, finish, schema) -> DataFrame:
+    """Rows dealt into shards in the tasks that hold them; ``finish`` makes output batches of a shard and its rows."""
+    at = docs.columns.index(text_col)
 
-    def block(k: int) -> Windows:
-        part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
-        return Windows([tuple(r) for r in part.collect()], width)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, held = Shard(), []
+        for batch in batches:
+            texts, done = batch.column(at).to_pylist(), 0
+            while done < len(texts):
+                took = shard.add(texts, done)
+                held.append(batch.slice(done, took))
+                done += took
+                if shard.size >= SHARD_WORDS:
+                    yield from finish(shard, held)
+                    shard, held = Shard(), []
+        if held:
+            yield from finish(shard, held)
 
-    return blocks, map(block, range(blocks))
+    return docs.mapInArrow(run, schema)
 
 
-def _search(docs: DataFrame, shared: Broadcast, hits: bool = False) -> DataFrame:
-    """Every row of (doc_id, text) with what is found in it; with ``hits`` only the rows of (doc_id, text, digest) in which something is."""
+def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
+    """(doc_id, n_words, spans, items) of every document: merged spans of hit words, names of the items found."""
+    shared = blocks(benchmark, width)
 
-    def result(shard: Shard, digests: list) -> pd.DataFrame:
-        out = shard.search()
-        if not hits:
-            return out
-        out.insert(1, "digest", digests)
-        return out[out["spans"].str.len() > 0].drop(columns="n_words")
+    def finish(shard: Shard, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n_words, spans, items = shard.search(shared)
+        ids = pa.concat_arrays([b.column(0) for b in held]).cast(pa.int64())
+        yield pa.RecordBatch.from_arrays([ids, pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(SPAN)), pa.array(items, pa.list_(pa.string()))], ["doc_id", "n_words", "spans", "items"])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shard, digests = Shard(shared.value), []
-        for frame in frames:
-            shard.add([None if pd.isna(i) else int(i) for i in frame["doc_id"]], frame["text"].tolist())
-            digests += frame["digest"].tolist() if hits else []
-            if shard.size >= SHARD_WORDS or len(shard.ids) >= SHARD_WORDS // 10:
-                yield result(shard, digests)
-                shard, digests = Shard(shared.value), []
-        if shard.ids:
-            yield result(shard, digests)
+    return _per_shard(id_and_text(docs), "text", finish, FOUND)
 
-    return docs.mapInPandas(run, HITS if hits else FOUND)
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
+    """The rows of ``docs`` without any hit, all columns. Rows pass through the tasks that search them, so nothing is shuffled."""
+    shared = blocks(benchmark, width)
 
-def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
-    """(doc_id, n_words, spans, items) of every document: merged spans of hit words, names of the items found."""
-    docs, context = id_and_text(docs), docs.sparkSession.sparkContext
-    blocks, each = _blocks(benchmark, width)
-    if blocks == 1:
-        return _search(docs, context.broadcast(next(each)))
-    keyed = docs.withColumn("digest", F.unhex(F.sha2("text", 256)))
-    parts = []
-    for windows in each:
-        shared = context.broadcast(windows)
-        del windows  # before the next block's are made
-        # rows that share id and text have the same hits: one stands for all, so a group has a row a block at most
-        parts.append(keep(_search(keyed, shared, hits=True).dropDuplicates(["doc_id", "digest"]), "block-hits"))
-        shared.destroy()
-    found = reduce(DataFrame.unionByName, parts).groupBy("doc_id", "digest")
-    found = found.agg(F.flatten(F.collect_list("spans")).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    found = keep(found.select(F.col("doc_id").alias("i"), F.col("digest").alias("d"), F.pandas_udf(_merge_lists, FOUND_SPANS)("s").alias("spans"), "items"), "hits")
-    rows = keyed.select("doc_id", "digest", F.pandas_udf(_word_counts, "long")("text").alias("n_words"))
-    joined = rows.join(found.hint("merge"), rows["doc_id"].eqNullSafe(found["i"]) & (rows["digest"] == found["d"]), "left")
-    none = lambda c, kind: F.coalesce(c, F.array().cast(kind)).alias(c)
-    return joined.select("doc_id", "n_words", none("spans", FOUND_SPANS), none("items", "array<string>"))
-
-
-def _word_counts(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: len(split_words(t))).astype("int64")
-
-
-def _merge_lists(lists: pd.Series) -> pd.Series:
-    def one(spans):
-        pairs = np.array(sorted((s["start"], s["end"]) for s in spans), np.int64).reshape(-1, 2)
-        return merge(pairs[:, 0], pairs[:, 1]) if len(pairs) else []
-
-    return pd.Series([one(x) for x in lists])
+    def finish(shard: Shard, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        good, done = pa.array([not s for s in shard.search(shared)[1]], pa.bool_()), 0
+        for batch in held:
+            yield batch.filter(good.slice(done, batch.num_rows))
+            done += batch.num_rows
+
+    return _per_shard(docs, "text", finish, docs.schema)
 
 
 def digests(found: DataFrame) -> DataFrame:
@@ -220,35 +226,3 @@ def digests(found: DataFrame) -> DataFrame:
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
     )
-
-
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
-    """The rows of ``docs`` without any hit, all columns. Rows pass through the tasks that search them, so nothing is shuffled; a block's hits are gone before the next block's pass."""
-    for windows in _blocks(benchmark, width)[1]:
-        docs = _without(docs, windows)
-    return docs
-
-
-def _without(docs: DataFrame, windows: Windows) -> DataFrame:
-    shared, at = docs.sparkSession.sparkContext.broadcast(windows), docs.columns.index("text")
-
-    def clean(shard: Shard, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        good = pa.array([not spans for spans in shard.search()["spans"]], pa.bool_())
-        done = 0
-        for batch in held:
-            yield batch.filter(good.slice(done, batch.num_rows))
-            done += batch.num_rows
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, held, size = Shard(shared.value), [], 0
-        for batch in batches:
-            shard.add([None] * batch.num_rows, batch.column(at).to_pylist())
-            held.append(batch)
-            size += batch.nbytes
-            if shard.size >= SHARD_WORDS or size >= SHARD_BYTES:
-                yield from clean(shard, held)
-                shard, held, size = Shard(shared.value), [], 0
-        if held:
-            yield from clean(shard, held)
-
-    return docs.mapInArrow(run, docs.schema)

@@ -16,23 +16,23 @@ SAMPLE = 8
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
-    n = len(text)
-    zeros = np.flatnonzero(text == 0)
-    rank = text.astype(np.int64) + len(zeros)
-    rank[zeros] = np.arange(len(zeros))
-    step = 1
+    """Prefix doubling in which each round sorts only what is still tied; a rank is the place of the first suffix of its tie."""
+    n, zeros = len(text), np.flatnonzero(text == 0)
+    symbol = text.astype(np.int64) + len(zeros)
+    symbol[zeros] = np.arange(len(zeros))
+    order = np.argsort(symbol, kind="stable")
+    key, slots, rank, step = symbol[order], np.arange(n), np.empty(n, np.int64), 1
     while True:
-        order = np.argsort(rank, kind="stable")
-        ranked = rank[order]
-        dense = np.concatenate(([0], np.cumsum(ranked[1:] != ranked[:-1])))
-        rank = np.empty(n, np.int64)
-        rank[order] = dense
-        if dense[-1] == n - 1:
+        new = np.concatenate(([True], key[1:] != key[:-1]))
+        rank[order[slots]] = slots[np.maximum.accumulate(np.where(new, np.arange(len(slots)), 0))]
+        slots = slots[~(new & np.concatenate((new[1:], [True])))]
+        if not len(slots):
             return order
-        after = np.zeros(n, np.int64)
-        after[: n - step] = rank[step:] + 1
-        rank = rank * (n + 1) + after
-        step *= 2
+        tied = order[slots]
+        # tied suffixes share ``step`` symbols, none of which is a separator, so they don't end here
+        key = rank[tied] * n + rank[tied + step]
+        by = np.argsort(key)
+        order[slots], key, step = tied[by], key[by], 2 * step
 
 
 class WaveletMatrix:
@@ -72,6 +72,7 @@ class FmIndex:
         self.size, bits = len(text), max(1, int(text.max(initial=0)).bit_length())
         self.tree = WaveletMatrix(bwt, bits)
         self.before = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=1 << bits))))
+        self.symbols = 1 << bits
         kept = (order % SAMPLE == 0) | (bwt == 0)
         self.kept = np.concatenate(([0], np.cumsum(kept)))
         self.positions = order[kept]
@@ -79,14 +80,13 @@ class FmIndex:
     def ranges(self, phrases: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows [lo, hi) of each phrase; phrases: right-aligned symbols, 0 on the left of short ones."""
         lo, hi = np.zeros(len(phrases), np.int64), np.full(len(phrases), self.size, np.int64)
-        symbols = len(self.before) - 1
         for k in range(phrases.shape[1]):
             live = np.flatnonzero((lengths > k) & (hi > lo))
             if not len(live):
                 break
             c = phrases[live, -1 - k].astype(np.int64)
-            hi[live[c >= symbols]] = lo[live[c >= symbols]]  # a symbol that this shard lacks
-            live, c = live[c < symbols], c[c < symbols]
+            hi[live[c >= self.symbols]] = lo[live[c >= self.symbols]]  # a symbol that this shard lacks
+            live, c = live[c < self.symbols], c[c < self.symbols]
             lo[live] = self.before[c] + self.tree.rank(c, lo[live])
             hi[live] = self.before[c] + self.tree.rank(c, hi[live])
         return lo, hi

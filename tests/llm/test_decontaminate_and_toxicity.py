@@ -80,20 +80,29 @@ def test_contamination_matches_brute_force(spark):
     check(spark, *tables())
 
 
-def test_contamination_in_small_shards_and_blocks(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 200)
-    monkeypatch.setattr(decontaminate, "SHARD_BYTES", 500)
-    check(spark, *tables(2))
-    one = decontaminate.Shard(decontaminate.Windows([("i", "a b")]))
-    one.add([1], [None])
-    assert one.search().values.tolist() == [[1, 0, [], []]]
+def small(monkeypatch, block):
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", block)
+    monkeypatch.setattr(decontaminate, "PIECE_WORDS", 7)
+    monkeypatch.setattr(decontaminate, "SHARD_WORDS", 90)
     monkeypatch.setattr(decontaminate, "LOCATE_ROWS", 3)
-    docs, items = tables(3)
-    shard = decontaminate.Shard(decontaminate.Windows([(str(i) if i is not None else "null", t) for i, t in items]))
-    shard.add([d for d, _ in docs], [t for _, t in docs])
-    want = brute(docs, items)
-    for r in shard.search().itertuples():
-        assert (r.n_words, sum(s["end"] - s["start"] for s in r.spans), len(r.items)) == want[r.doc_id][:3]
+
+
+def test_contamination_in_small_shards_blocks_and_pieces(spark, monkeypatch):
+    small(monkeypatch, 20)
+    docs, items = tables(2)
+    b = spark.createDataFrame(items, "item_id long, text string")
+    assert len(decontaminate.blocks(b)) > 3
+    check(spark, docs, items)
+
+
+def test_every_window_is_in_one_piece(monkeypatch):
+    monkeypatch.setattr(decontaminate, "PIECE_WORDS", 7)
+    for n in (0, 1, 9, 10, 16, 17, 18, 40):
+        words = [b"%d" % i for i in range(n)]
+        frame = __import__("pandas").DataFrame({"item": ["a"], "text": [b" ".join(words).decode()]})
+        pieces = [(r, bytes(w).split()) for f in decontaminate._pieces(10)(iter([frame])) for r, w in f.values]
+        whole, cut = decontaminate.Windows([("a", words)]), [decontaminate.Windows([p]) for p in pieces]
+        assert len(whole.phrases) == sum(len(c.phrases) for c in cut) == max(n - 9, 1 if n else 0)
 
 
 def test_rows_that_share_an_id_are_judged_each_whatever_the_blocks(spark, monkeypatch):
@@ -102,8 +111,9 @@ def test_rows_that_share_an_id_are_judged_each_whatever_the_blocks(spark, monkey
     d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     b = spark.createDataFrame(items, "item_id long, text string")
     want = sorted(((i, *brute([(0, t)], items)[0]) for i, t in docs), key=repr)
-    for words in (decontaminate.BLOCK_WORDS, 100):
-        monkeypatch.setattr(decontaminate, "BLOCK_WORDS", words)
+    for block in (None, 30):
+        if block:
+            small(monkeypatch, block)
         assert sorted(map(tuple, decontaminate.digests(decontaminate.contamination(d, b)).collect()), key=repr) == want
 
 
