@@ -1,17 +1,26 @@
 """Toxicity by non-negative positive-unlabelled (nnPU) learning.
 
 A linear model over hashed words and word beginnings is fitted in numpy from
-confirmed toxic texts and from texts whose label nobody looks at. The risk of
-calling unlabelled text toxic is corrected by the class prior; where the
-corrected negative risk falls below zero it is not followed further down (the
-non-negative estimator). The prior is the share of toxic rows among all training
-labels. The two samples are bounded (``POSITIVES``, ``UNLABELLED``) and chosen by
-a hash of the id, so the fit costs the same at any size; scoring is a narrow map
-with weights of a fixed size as the only thing broadcast.
+confirmed toxic texts (P) and from texts whose label nobody looks at (U). With the
+class prior pi the risk that is minimised is
+
+    a * mean_P loss(+1) + c * max(0, mean_U loss(-1) - pi * mean_P loss(-1)) + L1 * |w|
+
+with the logistic loss, a = ``SHARE`` and c = (1 - SHARE) / (1 - pi): toxic texts
+are few, so both classes are weighted as if toxic ones had that share. Where the
+corrected negative risk falls below zero it isn't followed further down (the
+non-negative estimator). Every hashed feature takes part; the L1 term, applied as
+a proximal step, leaves weights of no use at zero. pi is the share of toxic rows
+among all training labels. P and U are bounded samples of the *labelled* rows
+(``POSITIVES``, ``UNLABELLED``; U takes all of them alike), chosen by a hash of
+the id, so the fit costs the same at any size; scoring is a narrow map over every
+document, with weights of a fixed size as the only thing broadcast.
 
 Defined results: null and empty texts get the score of the intercept; a null id
-counts as held out; with no toxic training label every score is 0; rows that
-repeat an id are scored each; a null label is no label.
+counts as held out; with no toxic training label, or none whose text is known,
+every score is 0; rows that repeat an id are scored each; a null label is no
+label; an empty table has no rows; a very long text counts once for each of its
+distinct words; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,23 +30,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
-from notelake.llm.common import id_and_text, keep
+from notelake.llm.common import id_and_text
 
 #: Bounds of the training samples, in rows.
 POSITIVES, UNLABELLED = 3_000, 9_000
 #: Hashed features; words beginnings of these lengths count besides the words (bytes).
-SIZE, BEGINNINGS = 1 << 18, (4, 5, 6)
-#: A feature of fewer training texts than this gets no weight.
-LEAST_TEXTS = 4
-#: So many standard errors apart are the shares of a feature that tells toxic from other text.
-LEAST_Z = 4.0
-EPOCHS, RATE, DECAY = 150, 0.05, 1e-5
+SIZE, BEGINNINGS = 1 << 18, (3, 4, 5, 6, 7)
+#: Share that toxic texts count for, weight of the L1 term, epochs and rate of the fit.
+SHARE, L1 = 0.5, 5e-4
+EPOCHS, RATE = 100, 0.05
+#: Features that one step of the fit holds as floats.
+CHUNK = 1_000_000
 FOLDS, HELD_OUT = 5, 0
-#: Words that one worker remembers with their scores before it starts anew.
+#: Words that one worker remembers before it starts anew.
 CACHE = 300_000
 
 #: Bytes: A-Z to lower case, other ASCII characters but letters and digits to a space.
@@ -52,47 +62,61 @@ def word_features(word: bytes) -> list[int]:
     return [zlib.crc32(word) % SIZE, *(zlib.crc32(word[:n] + b"*") % SIZE for n in BEGINNINGS if len(word) > n)]
 
 
-def text_features(text: str | None) -> list[int]:
-    """The features of the distinct words of a text, repeats included."""
-    return [f for w in distinct_words(text) for f in word_features(w)]
+def text_features(text: str | None) -> np.ndarray:
+    """The distinct features of a text."""
+    return np.unique(np.array([f for w in distinct_words(text) for f in word_features(w)], np.int32))
 
 
 class Rows:
-    """Feature counts of n texts, as flat arrays; ``lists`` may be fewer, the rest has no features."""
+    """Distinct features of texts: all values in one array, and how many each text has."""
 
-    def __init__(self, lists: list[np.ndarray], n: int | None = None):
-        self.n = len(lists) if n is None else n
-        self.row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-        self.feature = np.concatenate([np.zeros(0, np.int32), *lists])
+    def __init__(self, features: np.ndarray, sizes: np.ndarray):
+        self.features, self.sizes, self.n = features, sizes, len(sizes)
+        ends = np.cumsum(sizes)
+        cuts = np.unique(np.searchsorted(ends, np.arange(CHUNK, int(sizes.sum()), CHUNK)))
+        self.parts = [(r[0], r[-1] + 1, int(ends[r[0]] - sizes[r[0]]), int(ends[r[-1]])) for r in np.split(np.arange(self.n), cuts) if len(r)]
 
     def scores(self, weights: np.ndarray, intercept: float) -> np.ndarray:
-        return np.bincount(self.row, weights[self.feature], self.n) + intercept
+        out = np.empty(self.n)
+        for i, j, begin, end in self.parts:
+            row = np.repeat(np.arange(j - i), self.sizes[i:j])
+            out[i:j] = np.bincount(row, weights[self.features[begin:end]], j - i)
+        return out + intercept
 
     def gradient(self, slope: np.ndarray) -> np.ndarray:
-        return np.bincount(self.feature, slope[self.row], SIZE)
+        out = np.zeros(SIZE)
+        for i, j, begin, end in self.parts:
+            out += np.bincount(self.features[begin:end], np.repeat(slope[i:j], self.sizes[i:j]), SIZE)
+        return out
 
 
 def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def slopes(zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """What the risk grows by per unit of each score. Where the corrected negative risk is below zero: per unit of its opposite alone, so a step brings it back up."""
+    c = (1 - SHARE) / (1 - prior)
+    negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+    # the loss of z as negative is log(1 + e^z), with slope sigmoid(z); as positive log(1 + e^-z), with slope sigmoid(z) - 1
+    slope_u, slope_p = c * sigmoid(zu) / len(zu), -c * prior * sigmoid(zp) / len(zp)
+    if negative < 0:
+        return -slope_p, -slope_u
+    return slope_p + SHARE * (sigmoid(zp) - 1) / len(zp), slope_u
+
+
 def fit(p: Rows, u: Rows, prior: float) -> tuple[np.ndarray, float]:
-    """Weights and intercept that minimise the non-negative PU risk with the logistic loss, by Adam over all rows."""
-    weights, intercept = np.zeros(SIZE), float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6)))
+    """Weights and intercept that minimise the non-negative PU risk, by proximal Adam over all rows."""
+    weights, intercept = np.zeros(SIZE), float(np.log(SHARE / (1 - SHARE)))
     m, v = np.zeros(SIZE + 1), np.zeros(SIZE + 1)
     for t in range(1, EPOCHS + 1):
-        zp, zu = p.scores(weights, intercept), u.scores(weights, intercept)
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        # slopes of each row's loss: as negative -> sigmoid(z), as positive -> sigmoid(z) - 1
-        slope_u, slope_p = sigmoid(zu) / max(u.n, 1), -prior * sigmoid(zp) / p.n
-        if negative < 0:  # overfitted: step the other way on the negative risk alone
-            slope_u, slope_p = -slope_u, -slope_p
-        else:
-            slope_p = slope_p + prior * (sigmoid(zp) - 1) / p.n
-        g = np.append(u.gradient(slope_u) + p.gradient(slope_p) + DECAY * weights, slope_u.sum() + slope_p.sum())
+        slope_p, slope_u = slopes(p.scores(weights, intercept), u.scores(weights, intercept), prior)
+        g = np.append(u.gradient(slope_u) + p.gradient(slope_p), slope_u.sum() + slope_p.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        step = RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        rate = RATE / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        step = rate * m / (1 - 0.9**t)
         weights, intercept = weights - step[:-1], intercept - step[-1]
+        weights = np.sign(weights) * np.maximum(np.abs(weights) - L1 * rate[:-1], 0)
     return weights.astype(np.float32), float(intercept)
 
 
@@ -100,18 +124,10 @@ def held_out(doc_id: Column | str) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % FOLDS == HELD_OUT
 
 
-def telling(sample: DataFrame, p: int, u: int) -> DataFrame:
-    """Features of ``sample`` (positive, row, f) whose share of positive texts is over their share of unlabelled texts by more than chance explains."""
-    counts = sample.select("positive", F.explode(F.array_distinct("f")).alias("feature")).groupBy("feature").agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("u"))
-    share = (F.col("p") + F.col("u") + 1) / (p + u + 2)
-    z = (F.col("p") / p - F.col("u") / u) / F.sqrt(share * (1 - share) * (1 / p + 1 / u))
-    return counts.filter((F.col("p") + F.col("u") >= LEAST_TEXTS) & (z >= LEAST_Z)).select("feature")
-
-
 def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float] | None:
     """Fit on training rows (crc32 of the id not in the held-out fold); None if none is confirmed toxic.
 
-    Only the telling features of the two bounded samples come to the driver.
+    Only the features of the two bounded samples come to the driver.
     """
     docs = id_and_text(docs).filter(~held_out("doc_id"))
     known = labels.select("doc_id", "toxic").filter(F.col("toxic").isNotNull() & ~held_out("doc_id"))
@@ -119,18 +135,18 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float] | None
     if not prior:
         return None
     some = lambda ids, most, positive: ids.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).withColumn("positive", F.lit(positive))
-    chosen = some(known.filter("toxic = 1"), POSITIVES, True).unionByName(some(docs, UNLABELLED, False))
-    own = F.pandas_udf(lambda texts: pd.Series([np.array(text_features(t), np.int32) for t in texts]), "array<int>")
-    sample = docs.join(F.broadcast(chosen), "doc_id").select("positive", F.monotonically_increasing_id().alias("row"), own("text").alias("f"))
-    sample = keep(sample, "toxicity-sample")
-    n = {r.positive: r["count"] for r in sample.groupBy("positive").count().collect()}
-    if not (n.get(True) and n.get(False)):
-        return None
-    good = F.broadcast(telling(sample, n[True], n[False]))
-    rows = sample.select("positive", "row", F.explode("f").alias("feature")).join(good, "feature")
-    rows = rows.groupBy("positive", "row").agg(F.collect_list("feature").alias("f")).select("positive", "f").toPandas()
-    part = lambda positive: Rows([np.asarray(f, np.int32) for f in rows["f"][rows["positive"] == positive]], n[positive])
-    return fit(part(True), part(False), min(prior, 0.99))
+    chosen = some(known.filter("toxic = 1"), POSITIVES, True).unionByName(some(known, UNLABELLED, False))
+    own = F.pandas_udf(lambda texts: pd.Series([text_features(t) for t in texts]), "array<int>")
+    both = chosen.groupBy("doc_id").agg(F.collect_list("positive").alias("sides"))  # a text in both samples is looked at once
+    sample = docs.join(F.broadcast(both), "doc_id").select("sides", own("text").alias("f")).toArrow().combine_chunks()
+    sides, features = sample.column("sides").to_pylist(), sample.column("f").combine_chunks()
+
+    def rows(positive: bool) -> Rows:
+        mine = features.filter(pa.array([positive in s for s in sides], pa.bool_()))
+        return Rows(mine.flatten().to_numpy(), mine.value_lengths().to_numpy(zero_copy_only=False))
+
+    p, u = rows(True), rows(False)
+    return fit(p, u, min(prior, 0.99)) if p.n and u.n else None
 
 
 def scorer(spark: SparkSession, model: tuple[np.ndarray, float] | None):
@@ -141,19 +157,19 @@ def scorer(spark: SparkSession, model: tuple[np.ndarray, float] | None):
 
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         weights, intercept = shared.value
-        weights, known = weights.tolist(), {}
+        weights, known = weights.tolist(), {}  # words, with those of their features that have a weight
         for batch in batches:
             out = []
             for text in batch:
                 if len(known) > CACHE:
                     known.clear()
-                total = intercept
-                words = distinct_words(text)
-                for word in words:
-                    if (s := known.get(word)) is None:
-                        s = known[word] = sum(map(weights.__getitem__, word_features(word)))
-                    total += s
-                out.append(total)
+                found: set[int] = set()
+                for word in distinct_words(text):
+                    if (features := known.get(word)) is None:
+                        features = known[word] = [f for f in word_features(word) if weights[f]]
+                    if features:
+                        found.update(features)
+                out.append(intercept + sum(map(weights.__getitem__, sorted(found))))
             yield pd.Series(sigmoid(np.array(out, np.float64)))
 
     # the annotations of Iterator make this an iterator-style pandas UDF

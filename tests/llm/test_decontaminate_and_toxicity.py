@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -162,10 +163,56 @@ def test_toxicity_without_labels_or_documents(spark):
     assert toxicity.score_documents(d.limit(0), lb.limit(0)).count() == 0
 
 
+def brute_risk(p, u, prior, weights, intercept):
+    """The risk, and its two parts, of lists of feature lists, in plain Python."""
+    z = lambda x: intercept + sum(weights[f] for f in x)
+    soft = lambda v: math.log1p(math.exp(v))
+    positive = sum(soft(-z(x)) for x in p) / len(p)
+    negative = sum(soft(z(x)) for x in u) / len(u) - prior * sum(soft(z(x)) for x in p) / len(p)
+    return toxicity.SHARE * positive, (1 - toxicity.SHARE) / (1 - prior) * negative
+
+
+def as_rows(lists):
+    return toxicity.Rows(np.array([f for x in lists for f in x], np.int32), np.array([len(x) for x in lists]))
+
+
+def test_slopes_are_the_gradient_of_the_risk_in_both_branches(monkeypatch):
+    monkeypatch.setattr(toxicity, "SIZE", 6)
+    monkeypatch.setattr(toxicity, "CHUNK", 3)
+    p, u, prior = [[0, 1], [0], [0, 2, 5]], [[1, 3], [], [0, 4], [2, 3, 4], [3]], 0.4
+    for weights, branch in ((np.array([0.3, -0.2, 0.1, -0.4, 0.2, 0.0]), 1), (np.array([9.0, 0.5, 1.0, -9.0, -9.0, 1.0]), -1)):
+        rows_p, rows_u = as_rows(p), as_rows(u)
+        slope_p, slope_u = toxicity.slopes(rows_p.scores(weights, -0.5), rows_u.scores(weights, -0.5), prior)
+        got = np.append(rows_p.gradient(slope_p) + rows_u.gradient(slope_u), slope_p.sum() + slope_u.sum())
+        positive, negative = brute_risk(p, u, prior, weights, -0.5)
+        assert (negative >= 0) == (branch > 0)
+        of = lambda w, b: sum(brute_risk(p, u, prior, w, b)) if branch > 0 else -brute_risk(p, u, prior, w, b)[1]
+        for k in range(7):
+            up, down = np.append(weights, -0.5), np.append(weights, -0.5)
+            up[k] += 1e-6
+            down[k] -= 1e-6
+            assert abs((of(up[:6], up[6]) - of(down[:6], down[6])) / 2e-6 - got[k]) < 1e-6
+
+
+def test_fit_comes_near_the_least_risk_found_by_brute_force(monkeypatch):
+    monkeypatch.setattr(toxicity, "SIZE", 2)
+    monkeypatch.setattr(toxicity, "EPOCHS", 600)
+    p, u, prior = [[0], [0, 1], [0], [1]], [[1], [], [1], [0], [0, 1], []], 0.3
+    weights, intercept = toxicity.fit(as_rows(p), as_rows(u), prior)
+
+    def whole(w, b):
+        positive, negative = brute_risk(p, u, prior, w, b)
+        return positive + max(0.0, negative) + toxicity.L1 * sum(map(abs, w))
+
+    grid = np.arange(-6, 6.01, 0.4)
+    best = min(whole((x, y), b) for x in grid for y in grid for b in grid)
+    assert whole(weights, intercept) <= best + 0.02
+
+
 def test_scores_do_not_depend_on_the_cache(spark, monkeypatch):
     weights = np.arange(toxicity.SIZE, dtype=np.float32) / toxicity.SIZE - 0.5
     d = spark.createDataFrame([(i, f"aa{i} bbbbbbb cc") for i in range(20)], "doc_id long, text string").coalesce(1)
-    want = [float(toxicity.sigmoid(0.25 + sum(float(weights[f]) for f in toxicity.text_features(f"aa{i} bbbbbbb cc")))) for i in range(20)]
+    want = [float(toxicity.sigmoid(0.25 + weights[toxicity.text_features(f"aa{i} bbbbbbb cc")].sum())) for i in range(20)]
     monkeypatch.setattr(toxicity, "CACHE", 3)
     got = [r.s for r in d.select(toxicity.scorer(spark, (weights, 0.25))("text").alias("s")).collect()]
     assert np.allclose(got, want)
