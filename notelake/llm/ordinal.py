@@ -15,8 +15,10 @@ the length.
 
 Defined results: null and empty texts have their own bucket features only; with
 fewer than two grades among the ratings every expected grade is that grade (0 if
-there is none); null ratings count as none; rows that repeat an id are scored
-each.
+there is none); null ratings count as none; of ratings that share an id the
+lowest counts; rows that repeat an id, or have none, are scored each; an empty
+table has no rows; a very long text counts once for each of its distinct
+features; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,8 +36,8 @@ from notelake.llm.common import id_and_text
 
 #: Bound of the training sample, in rows.
 RATED = 8_000
-#: Hashed features, features of fewer training texts are ignored, fit settings.
-SIZE, LEAST_TEXTS = 1 << 18, 8
+#: Hashed features, fit settings.
+SIZE = 1 << 18
 EPOCHS, RATE, DECAY = 150, 0.05, 1e-3
 #: Words whose features one worker remembers before it starts anew.
 CACHE = 300_000
@@ -107,41 +109,41 @@ class Model:
         return np.diff(np.hstack((np.zeros((len(score), 1)), below, np.ones((len(score), 1)))), axis=1)
 
 
-def fit(lists: list[np.ndarray], ratings: np.ndarray) -> Model:
-    """Maximum likelihood with weight decay, by Adam over all rows; thresholds stay ordered through their log gaps."""
+def thresholds_of(cut: np.ndarray) -> np.ndarray:
+    """Ordered thresholds from the first one and the logarithms of the gaps after it."""
+    return np.cumsum(np.concatenate((cut[:1], np.exp(cut[1:]))))
+
+
+def slopes(score: np.ndarray, y: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How the mean negative log likelihood of grades ``y`` grows by each score and by each entry of ``cut``."""
+    n, rows = len(score), np.arange(len(score))
+    below = np.hstack((np.zeros((n, 1)), _sigmoid(thresholds_of(cut)[None, :] - score[:, None]), np.ones((n, 1))))
+    slope = below * (1 - below)  # d below / d threshold, also -d below / d score
+    chance = np.maximum(below[rows, y + 1] - below[rows, y], 1e-9)
+    high, low = slope[rows, y + 1] / chance / n, slope[rows, y] / chance / n
+    by_threshold = np.bincount(y, low, len(cut) + 2) - np.bincount(y + 1, high, len(cut) + 2)
+    later = np.cumsum(by_threshold[1 : len(cut) + 1][::-1])[::-1]  # a gap moves its threshold and all later ones
+    return high - low, np.concatenate((later[:1], later[1:] * np.exp(cut[1:])))
+
+
+def fit(features: np.ndarray, sizes: np.ndarray, ratings: np.ndarray) -> Model:
+    """Maximum likelihood with weight decay, by Adam over all rows. ``features``: those of all texts, one after the other; ``sizes``: how many each has."""
     grades = sorted(set(ratings.tolist()))
     if len(grades) < 2:
         return Model(grades or [0.0], np.zeros(SIZE, np.float32), np.zeros(0))
-    y, n, k = np.searchsorted(grades, ratings), len(lists), len(grades) - 1
-    texts = np.zeros(SIZE, np.int64)
-    for x in lists:
-        texts[x] += 1
-    lists = [x[texts[x] >= LEAST_TEXTS] for x in lists]
-    row, feature = np.repeat(np.arange(n), [len(x) for x in lists]), np.concatenate(lists)
+    y, n, k = np.searchsorted(grades, ratings), len(sizes), len(grades) - 1
+    row = np.repeat(np.arange(n, dtype=np.int32), sizes)
     share = np.clip([(y <= j).mean() for j in range(k)], 1e-3, 1 - 1e-3)
     first = np.log(share / (1 - share))
-    cut = np.concatenate((first[:1], np.log(np.maximum(np.diff(first), 1e-3))))  # the first threshold, then log gaps
-    weights = np.zeros(SIZE)
-    m, v = np.zeros(SIZE + k), np.zeros(SIZE + k)
-    rows = np.arange(n)
+    cut = np.concatenate((first[:1], np.log(np.maximum(np.diff(first), 1e-3))))
+    weights, m, v = np.zeros(SIZE), np.zeros(SIZE + k), np.zeros(SIZE + k)
     for t in range(1, EPOCHS + 1):
-        thresholds = np.cumsum(np.concatenate((cut[:1], np.exp(cut[1:]))))
-        score = np.bincount(row, weights[feature], n)
-        below = np.hstack((np.zeros((n, 1)), _sigmoid(thresholds[None, :] - score[:, None]), np.ones((n, 1))))
-        slope = below * (1 - below)  # d below / d threshold, also -d below / d score
-        chance = np.maximum(below[rows, y + 1] - below[rows, y], 1e-9)
-        d_high, d_low = slope[rows, y + 1] / chance / n, slope[rows, y] / chance / n
-        g_threshold = np.zeros(k + 2)
-        np.subtract.at(g_threshold, y + 1, d_high)
-        np.add.at(g_threshold, y, d_low)
-        g_threshold = g_threshold[1:-1]
-        later = np.cumsum(g_threshold[::-1])[::-1]  # a gap moves its threshold and all later ones
-        g_cut = np.concatenate((later[:1], later[1:] * np.exp(cut[1:])))
-        g = np.append(np.bincount(feature, (d_high - d_low)[row], SIZE) + DECAY * weights, g_cut)
+        by_score, by_cut = slopes(np.bincount(row, weights[features], n), y, cut)
+        g = np.append(np.bincount(features, by_score[row], SIZE) + DECAY * weights, by_cut)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         weights, cut = weights - step[:SIZE], cut - step[SIZE:]
-    return Model(grades, weights.astype(np.float32), np.cumsum(np.concatenate((cut[:1], np.exp(cut[1:])))))
+    return Model(grades, weights.astype(np.float32), thresholds_of(cut))
 
 
 def train(docs: DataFrame, ratings: DataFrame, rating: str) -> Model:
@@ -149,10 +151,11 @@ def train(docs: DataFrame, ratings: DataFrame, rating: str) -> Model:
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % FOLDS == HELD_OUT
     rated = ratings.select("doc_id", F.col(rating).cast("double").alias("rating")).filter(F.col("rating").isNotNull() & ~held)
     rated = rated.groupBy("doc_id").agg(F.min("rating").alias("rating")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(RATED)
-    features = Features()
-    own = F.pandas_udf(lambda texts: pd.Series([features.of(t) for t in texts]), "array<int>")
-    rows = id_and_text(docs).join(F.broadcast(rated), "doc_id").select("rating", own("text").alias("f")).toPandas()
-    return fit([np.asarray(x, np.int32) for x in rows["f"]], rows["rating"].to_numpy(float))
+    own_features = Features()
+    own = F.pandas_udf(lambda texts: pd.Series([own_features.of(t) for t in texts]), "array<int>")
+    rows = id_and_text(docs).join(F.broadcast(rated), "doc_id").select("rating", own("text").alias("f")).toArrow().combine_chunks()
+    lists = rows.column("f").combine_chunks()
+    return fit(lists.flatten().to_numpy(), lists.value_lengths().to_numpy(zero_copy_only=False), rows.column("rating").to_numpy())
 
 
 def rate(docs: DataFrame, model: Model, cut: float) -> DataFrame:
