@@ -104,7 +104,9 @@ def blocks(benchmark: DataFrame, width: int = WINDOW) -> list[Broadcast]:
 class Shard:
     """Documents gathered for one index."""
 
-    def __init__(self):
+    def __init__(self, most: int = SHARD_WORDS):
+        """It is full at ``most`` words."""
+        self.most = most
         self.symbols = defaultdict(count(1).__next__)
         self.parts: list[np.ndarray] = []
         self.size = 0
@@ -116,10 +118,13 @@ class Shard:
             words = split_words(text)
             self.parts.append(np.fromiter(map(self.symbols.__getitem__, words), np.int32, len(words)))
             self.size += len(words)
-            if self.size >= SHARD_WORDS:
+            if self.full():
                 break
         return len(self.parts) - begin
 
+    def full(self) -> bool:
+        return self.size >= self.most
+
     def search(self, shared: list[Broadcast]) -> tuple[list[int], list[list[dict]], list[list[str]]]:
         """Per document: the number of words, merged spans of hit words, names of the items found."""
         lengths = np.fromiter(map(len, self.parts), np.int64, len(self.parts))
@@ -175,19 +180,19 @@ def merge(start: np.ndarray, end: np.ndarray) -> list[dict]:
 
 def _per_shard(docs: DataFrame, text_col: str, finish, schema) -> DataFrame:
     """Rows dealt into shards in the tasks that hold them; ``finish`` makes output batches of a shard and its rows."""
-    at = docs.columns.index(text_col)
+    at, most = docs.columns.index(text_col), SHARD_WORDS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, held = Shard(), []
+        shard, held = Shard(most), []
         for batch in batches:
             texts, done = batch.column(at).to_pylist(), 0
             while done < len(texts):
                 took = shard.add(texts, done)
                 held.append(batch.slice(done, took))
                 done += took
-                if shard.size >= SHARD_WORDS:
+                if shard.full():
                     yield from finish(shard, held)
-                    shard, held = Shard(), []
+                    shard, held = Shard(most), []
         if held:
             yield from finish(shard, held)
 

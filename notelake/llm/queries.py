@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notelake.llm import byte_bpe, decontaminate, exact_dedup, licences, ordinal, pii, simhash, suffix_dedup, toxicity, warc
-from notelake.llm.common import new_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,10 +34,8 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw, clean = new_path(spark, "warc-raw"), new_path(spark, "warc")
-    warc.write_responses(_table(spark, sf_dir, "pages"), raw)
-    warc.deduplicate(spark, raw, clean)
-    return warc.read_archives(spark, clean).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    records = warc.round_trip(_table(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

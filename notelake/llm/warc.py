@@ -1,17 +1,28 @@
 """WARC archives with revisit resolution.
 
-Pages are written as WARC response records by Spark's text writer (a record per
-row; the line separator is the blank line that ends a record, gzip around the
-file). Archives are read back file by file and record by record, lengths taken
-from the headers. To resolve revisits only headers are shuffled: they are grouped
-by payload digest, the record of the smallest page becomes the original, and
-every record learns it in a join (one hot digest is one row after the partial
-aggregation; AQE splits it in the join). The deduplicated archives hold each
-payload once; revisit records get fresh headers and no payload.
+Pages become WARC response records. A task packs its records into archives: one
+gzip member a record, a warcinfo record first, and a new archive once the old one
+holds ``FILE_BYTES``, so a row of packed bytes is bounded and Spark's text writer
+puts each into a file of its own. Archives are read back record by record, whether
+this module wrote them or another tool did (any headers, compressed or not).
+
+To resolve revisits only headers are shuffled: among responses with equal payload
+digests the one of the smallest page becomes the original, and every record learns
+it in a join (one hot digest is one row after the partial aggregation; AQE splits
+it in the join). Archives then meet the verdicts on their records and are written
+anew: each payload once, revisit records without one, and fresh headers and record
+ids throughout. A revisit that was there before never turns into a response, as it
+has no payload: it refers to the original of its digest, or, where no response has
+that digest, stays as it was. So deduplicating twice changes nothing but ids.
 
 Defined results: null html is an empty payload; null urls are empty; rows that
 repeat a page id are records of their own, the first in file order counting as
-smaller; null page ids come last; an empty table gives empty archives.
+smaller; null page ids come last; records without a page id (of other tools) come
+after those with one, in file order; one without a digest gets that of its payload;
+records of other types (request, metadata, ...) are copied, warcinfo records are
+replaced; an empty table gives no archives, and no archives give no rows; a very
+long page is an archive of its own (a record of another tool's archive may be as
+long as one Spark cell, 2 GB); other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,175 +31,247 @@ import base64
 import gzip
 import hashlib
 import io
+import uuid
+import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.column import Column
 
-from notelake.llm.common import keep
+from notelake.llm.common import keep, new_path
 
-END = "\r\n\r\n"
-#: Records of one archive file, at most; gzip level (the fastest takes a third of the time for a tenth more bytes).
-FILE_RECORDS, LEVEL = 1_000, "BEST_SPEED"
-#: Date of the records, profile of a revisit, HTTP status lines of the blocks, base-32 alphabet.
+#: Compressed bytes after which an archive is closed, gzip level (the fastest takes a third of the time for a tenth more bytes).
+FILE_BYTES, LEVEL = 8_000_000, 1
+#: Bytes of one gzip member at most: under 2^24 the last byte of a member, the high byte of its length, is zero (see _write).
+MEMBER = (1 << 24) - 1
+#: Records, and about how many bytes of payloads, that a task hands on at a time.
+BATCH_RECORDS, BATCH_BYTES = 500, 16_000_000
+#: Date of the records, profile of a revisit, HTTP head of the blocks, base-32 alphabet.
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8"
+HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
-DECIDED = "page_id long, url string, payload string, payload_digest string, payload_bytes long, record_type string, refers_to long"
-READ = "file string, number long, page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload string, intact boolean"
+READ = pa.schema([
+    ("file", pa.string()), ("number", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("record_id", pa.string()), ("record_type", pa.string()),
+    ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("refers_to", pa.int64()), ("payload", pa.binary()), ("intact", pa.bool_()),
+])
+READ_DDL = "file string, number long, page_id long, url string, record_id string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary, intact boolean"
 
 
-def digest32(sha1_hex: Column) -> list[Column]:
-    """The eight four-digit parts of the upper-case base-32 form of a SHA-1 in hex: five hex digits are four base-32 digits."""
-    table = [a + b for a in BASE32 for b in BASE32]
-    pairs = F.array(*[F.lit(p) for p in table])
-    twenty = lambda i: F.conv(F.substring(sha1_hex, 5 * i + 1, 5), 16, 10).cast("int")
-    return [F.transform(F.array(twenty(i)), lambda n: F.concat(F.get(pairs, F.shiftright(n, 10)), F.get(pairs, n.bitwiseAND(1023))))[0] for i in range(8)]
+def digest32(payload: bytes) -> str:
+    return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def _record_id(page_id: Column, kind: str) -> Column:
-    h = F.md5(F.concat_ws(":", F.lit(kind), page_id.cast("string")))
-    return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]), F.lit(">"))
+def record_id(*parts) -> str:
+    """A record id made from what it stands for: the archive folder, and the place in it or in its source."""
+    return f"<urn:uuid:{uuid.UUID(hashlib.md5(repr(parts).encode()).hexdigest())}>"
 
 
-def _clean(value: Column) -> Column:
+def _clean(value: str) -> str:
     """A header value: no line ends."""
-    return F.regexp_replace(F.coalesce(value, F.lit("")), r"[\r\n]+", " ")
-
-
-def _write(records: DataFrame, folder: str) -> None:
-    """records: page_id, url, payload, payload_digest, payload_bytes, record_type, refers_to. One WARC record each."""
-    block = F.concat(F.lit(HTTP), F.lit("\r\nContent-Length: "), F.octet_length("payload").cast("string"), F.lit(END), F.col("payload"))
-    revisit = F.col("record_type") == "revisit"
-    header = lambda name, value, when=None: F.when(F.lit(True) if when is None else when, F.concat(F.lit(f"{name}: "), value))
-    lines = F.concat_ws(
-        "\r\n",
-        F.lit("WARC/1.1"),
-        header("WARC-Type", F.col("record_type")),
-        header("WARC-Record-ID", _record_id(F.col("page_id"), "page")),
-        header("WARC-Date", F.lit(DATE)),
-        header("WARC-Target-URI", _clean(F.col("url"))),
-        header("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
-        header("WARC-Profile", F.lit(PROFILE), revisit),
-        header("WARC-Refers-To", _record_id(F.col("refers_to"), "page"), revisit),
-        header("WARC-Refers-To-Date", F.lit(DATE), revisit),
-        header("X-Page-Id", F.col("page_id").cast("string")),
-        header("X-Refers-To-Page-Id", F.col("refers_to").cast("string")),
-        header("X-Payload-Bytes", F.col("payload_bytes").cast("string")),
-        F.lit("Content-Type: application/http; msgtype=response"),
-        header("Content-Length", F.octet_length("block").cast("string")),
-    )
-    rows = records.withColumn("block", block).select(F.concat(lines, F.lit(END), F.col("block")).alias("value"))
-    options = {"lineSep": END, "compression": "gzip", "zlib.compress.level": LEVEL, "maxRecordsPerFile": FILE_RECORDS}
-    rows.write.options(**options).text(folder)
-
-
-def write_responses(pages: DataFrame, folder: str) -> None:
+    return " ".join(value.splitlines())
+
+
+def record(headers: list[tuple[str, str | None]], block: bytes) -> bytes:
+    lines = ["WARC/1.1", *(f"{name}: {_clean(value)}" for name, value in headers if value is not None), f"Content-Length: {len(block)}"]
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def response(own: str, url: str, digest: str, size: int, page: int | None, block: bytes, date: str = DATE) -> bytes:
+    return record([
+        ("WARC-Type", "response"), ("WARC-Record-ID", own), ("WARC-Date", date), ("WARC-Target-URI", url), ("WARC-Payload-Digest", f"sha1:{digest}"),
+        ("X-Page-Id", None if page is None else str(page)), ("X-Payload-Bytes", str(size)), ("Content-Type", "application/http; msgtype=response"),
+    ], block)
+
+
+def revisit(own: str, url: str, digest: str, size: int, page: int | None, head: bytes, first: dict, date: str = DATE) -> bytes:
+    return record([
+        ("WARC-Type", "revisit"), ("WARC-Record-ID", own), ("WARC-Date", date), ("WARC-Target-URI", url), ("WARC-Payload-Digest", f"sha1:{digest}"),
+        ("WARC-Profile", PROFILE), ("WARC-Refers-To", first["record_id"]), ("WARC-Refers-To-Target-URI", first["url"]), ("WARC-Refers-To-Date", first["date"]),
+        ("X-Page-Id", None if page is None else str(page)), ("X-Refers-To-Page-Id", None if first["page_id"] is None else str(first["page_id"])),
+        ("X-Payload-Bytes", str(size)), ("Content-Type", "application/http; msgtype=response"),
+    ], head)
+
+
+def members(data: bytes) -> bytes:
+    """A record as gzip: one member, or several in a row where it is longer than ``MEMBER``."""
+    out = []
+    for at in range(0, len(data), MEMBER):
+        pack = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
+        out.append(pack.compress(data[at : at + MEMBER]) + pack.flush())
+    return b"".join(out)
+
+
+def _archives(records: Iterator[bytes], folder: str, most: int) -> Iterator[pa.RecordBatch]:
+    """Packed archives of bounded size, a row each, without their last byte (see _write)."""
+    part, number, held, size = TaskContext.get().partitionId(), 0, [], 0
+
+    def close() -> pa.RecordBatch:
+        info = record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", record_id(folder, "info", part, number)), ("WARC-Date", DATE), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n")
+        return pa.RecordBatch.from_arrays([pa.array([b"".join([members(info), *held])[:-1]], pa.binary())], ["archive"])
+
+    for data in records:
+        held.append(members(data))
+        size += len(held[-1])
+        if size >= most:
+            yield close()
+            number, held, size = number + 1, [], 0
+    if held:
+        yield close()
+
+
+def _write(packed: DataFrame, folder: str) -> None:
+    """A file per row. Spark's text writer ends each with a line separator, for which the zero byte stands that every member ends with."""
+    packed.select(F.col("archive").cast("string").alias("value")).write.options(lineSep="\0", compression="none", maxRecordsPerFile=1).text(folder)
+
+
+def write_responses(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> None:
     """Every page as a response record with its whole payload."""
-    rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("payload"))
-    rows = rows.select("*", F.sha1(F.encode("payload", "UTF-8")).alias("hex"), F.octet_length("payload").cast("long").alias("payload_bytes"))
-    _write(rows.select("page_id", "url", "payload", F.concat(*digest32(F.col("hex"))).alias("payload_digest"), "payload_bytes", F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to")), folder)
+    rows = pages.select("page_id", F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
+
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
+        part, number = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            for page, url, payload in zip(*(batch.column(k) for k in range(3)), strict=True):
+                payload = payload.as_py()
+                block = HTTP.format(len(payload)).encode() + b"\r\n\r\n" + payload
+                yield response(record_id(folder, part, number), url.as_py(), digest32(payload), len(payload), page.as_py(), block)
+                number += 1
+
+    _write(rows.mapInArrow(lambda batches: _archives(records(batches), folder, file_bytes), "archive binary"), folder)
 
 
 def parse(stream) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and block of each record of an open archive."""
+    """Headers (names in lower case) and block of each record of an open archive."""
     while line := stream.readline():
         if not line.strip():
             continue
         if not line.startswith(b"WARC/"):
             raise ValueError(f"no WARC record begins with {line[:40]!r}")
         headers = {}
-        while (line := stream.readline().rstrip(b"\r\n")):
-            name, _, value = line.decode().partition(": ")
-            headers[name.lower()] = value
+        while line := stream.readline().rstrip(b"\r\n"):
+            name, _, value = line.decode("utf-8", "replace").partition(":")
+            headers[name.lower()] = value.strip()
         yield headers, stream.read(int(headers["content-length"]))
 
 
-def _rows(with_payload: bool):
-    number = lambda s: int(s) if s else None
+def opened(content: bytes):
+    """An archive's bytes as a stream of records, whether compressed or not."""
+    raw = io.BytesIO(content)
+    return gzip.GzipFile(fileobj=raw) if content[:2] == b"\x1f\x8b" else raw
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [c.split()[0] for c in READ.split(", ")]
-        for frame in frames:
-            for path, content in zip(frame["path"], frame["content"], strict=True):
-                out = []
-                for n, (headers, block) in enumerate(parse(gzip.GzipFile(fileobj=io.BytesIO(content)))):
-                    payload = block.partition(b"\r\n\r\n")[2]
-                    want = headers["warc-payload-digest"].removeprefix("sha1:")
-                    full = headers["warc-type"] == "response"
-                    size = len(payload) if full else int(headers["x-payload-bytes"])
-                    intact = not full or base64.b32encode(hashlib.sha1(payload).digest()).decode() == want
-                    out.append((path, n, number(headers.get("x-page-id")), headers.get("warc-target-uri", ""), headers["warc-type"], want, size, number(headers.get("x-refers-to-page-id")), payload.decode() if with_payload else None, intact))
-                    if len(out) >= 500:
-                        yield _frame(out, columns)
-                        out = []
-                yield _frame(out, columns)
 
-    return run
+def _number(value: str | None) -> int | None:
+    return int(value) if value and value.lstrip("-").isdigit() else None
 
 
-def _frame(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
-    frame = pd.DataFrame(rows, columns=columns)
-    for c in ("page_id", "refers_to"):
-        frame[c] = frame[c].astype("Int64")
-    return frame.astype({"number": "int64", "payload_bytes": "int64", "intact": "bool"})
+def _facts(headers: dict[str, str], block: bytes) -> dict:
+    """What a record says, with what it lacks filled in from its block."""
+    kind, head, payload = headers.get("warc-type", ""), b"", block
+    if headers.get("content-type", "").startswith("application/http") or block.startswith(b"HTTP/"):
+        head, _, payload = block.partition(b"\r\n\r\n")
+    digest, full = headers.get("warc-payload-digest", "").removeprefix("sha1:"), kind == "response"
+    own = digest32(payload) if full else ""
+    return {
+        "page_id": _number(headers.get("x-page-id")), "url": headers.get("warc-target-uri", ""), "record_id": headers.get("warc-record-id", ""), "record_type": kind,
+        "payload_digest": digest or own, "payload_bytes": len(payload) if full else _number(headers.get("x-payload-bytes")), "refers_to": _number(headers.get("x-refers-to-page-id")),
+        "payload": payload if full else b"", "intact": not full or not digest or digest == own, "head": head, "date": headers.get("warc-date", DATE),
+    }
+
+
+def _batched(rows: Iterator[dict], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row.get("payload") or b"")
+        if len(held) >= BATCH_RECORDS or size >= BATCH_BYTES:
+            yield pa.RecordBatch.from_pylist(held, schema)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_pylist(held, schema)
 
 
 def _files(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "[!._]*").option("recursiveFileLookup", "true").load(folder)
+    return files.select("path", "content").filter(F.octet_length("content") > 0)
 
 
 def read_archives(spark: SparkSession, folder: str, with_payload: bool = False) -> DataFrame:
-    """A row per record: file, number in it, page_id, url, record_type, payload_digest, payload_bytes (of the full payload), refers_to, payload, intact."""
-    return _files(spark, folder).mapInPandas(_rows(with_payload), READ)
+    """A row per response or revisit: file, number in it, page_id, url, record_id, record_type, payload_digest, payload_bytes (of the full payload; null where a revisit doesn't say), refers_to, payload, intact."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows():
+            for batch in batches:
+                for path, content in zip(batch.column(0), batch.column(1), strict=True):
+                    for n, (headers, block) in enumerate(parse(opened(content.as_py()))):
+                        if headers.get("warc-type") in ("response", "revisit"):
+                            row = _facts(headers, block)
+                            yield row | {"file": path.as_py(), "number": n, "payload": row["payload"] if with_payload else None}
+
+        yield from _batched(rows(), READ)
+
+    return _files(spark, folder).mapInArrow(run, READ_DDL)
 
 
 def resolve(headers: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """(file, number, record_type, refers_to): of records with equal payloads of at least ``least_bytes`` bytes the smallest page is the original."""
-    key = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "file", "number")
-    originals = keep(headers.groupBy("payload_digest").agg(F.min(key).alias("first")), "originals")
+    """Revisits only: (file, number, first), ``first`` being the original: (page_id, file, number, url, payload_bytes).
+
+    Of responses with equal payloads of at least ``least_bytes`` bytes the smallest
+    page is the original; all others revisit it, and so do revisits of its digest.
+    """
+    order = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "file", "number", "url", "payload_bytes")
+    responses = headers.filter((F.col("record_type") == "response") & (F.col("payload_bytes") >= least_bytes))
+    originals = keep(responses.groupBy("payload_digest").agg(F.min(order).alias("first")), "originals")
     joined = headers.join(originals, "payload_digest")
-    again = (F.col("payload_bytes") >= least_bytes) & ~((F.col("first.file") == F.col("file")) & (F.col("first.number") == F.col("number")))
-    return joined.select(
-        "file", "number", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first.page_id")).alias("refers_to"),
-    )
-
-
-def _decided(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Archives with the verdicts on their records, parsed into what is to be written."""
-    for frame in frames:
-        for content, verdicts in zip(frame["content"], frame["verdicts"], strict=True):
-            originals = {v["number"]: v["refers_to"] for v in verdicts if v["record_type"] == "revisit"}
-            out = []
-            for n, (headers, block) in enumerate(parse(gzip.GzipFile(fileobj=io.BytesIO(content)))):
-                again = n in originals
-                payload = block.partition(b"\r\n\r\n")[2]
-                page = headers.get("x-page-id")
-                out.append((int(page) if page else None, headers.get("warc-target-uri", ""), "" if again else payload.decode(), headers["warc-payload-digest"].removeprefix("sha1:"), len(payload), "revisit" if again else "response", originals.get(n)))
-                if len(out) >= 500:
-                    yield _typed(out)
-                    out = []
-            yield _typed(out)
-
-
-def _typed(rows: list[tuple]) -> pd.DataFrame:
-    frame = pd.DataFrame(rows, columns=[c.split()[0] for c in DECIDED.split(", ")])
-    for c in ("page_id", "refers_to"):
-        frame[c] = frame[c].astype("Int64")
-    return frame.astype({"payload_bytes": "int64"})
-
-
-def deduplicate(spark: SparkSession, source: str, target: str, least_bytes: int = 0) -> None:
+    itself = (F.col("first.file") == F.col("file")) & (F.col("first.number") == F.col("number"))
+    large = (F.col("record_type") == "revisit") | (F.col("payload_bytes") >= least_bytes)
+    return joined.filter(~itself & large).select("file", "number", "first")
+
+
+def deduplicate(spark: SparkSession, source: str, target: str, least_bytes: int = 0, file_bytes: int = FILE_BYTES) -> None:
     """Read the archives of ``source`` and write them to ``target`` with one response per payload and revisits for the rest.
 
-    The verdicts (FILE_RECORDS a file at most) join the archives as they are, so
-    payloads are shuffled compressed, once.
+    The verdicts on its records join an archive as it is, so payloads are shuffled
+    compressed, once.
     """
     headers = keep(read_archives(spark, source).drop("payload", "intact"), "headers")
-    verdicts = resolve(headers, least_bytes).groupBy("file").agg(F.collect_list(F.struct("number", "record_type", "refers_to")).alias("verdicts"))
-    archives = _files(spark, source).join(verdicts.hint("merge"), F.col("path") == F.col("file"))
-    _write(archives.select("content", "verdicts").mapInPandas(_decided, DECIDED), target)
+    verdicts = resolve(headers, least_bytes).groupBy("file").agg(F.collect_list(F.struct("number", "first")).alias("verdicts"))
+    archives = _files(spark, source).join(verdicts.hint("merge"), F.col("path") == F.col("file"), "left").select("path", "content", "verdicts")
+    _write(archives.mapInArrow(lambda batches: _archives(_rewritten(batches, target), target, file_bytes), "archive binary"), target)
+
+
+def _rewritten(batches: Iterator[pa.RecordBatch], target: str) -> Iterator[bytes]:
+    """The records of archives with the verdicts on them, with fresh headers."""
+    for batch in batches:
+        for path, content, verdicts in zip(*(batch.column(k) for k in range(3)), strict=True):
+            path, firsts = path.as_py(), {v["number"]: v["first"] for v in verdicts.as_py() or ()}
+            for n, (headers, block) in enumerate(parse(opened(content.as_py()))):
+                kind, own = headers.get("warc-type"), record_id(target, path, n)
+                if kind == "warcinfo":
+                    continue
+                if kind not in ("response", "revisit"):
+                    yield record([(k, own if k == "warc-record-id" else v) for k, v in headers.items() if k != "content-length"], block)
+                    continue
+                row, first = _facts(headers, block), firsts.get(n)
+                known = own, row["url"], row["payload_digest"]
+                if first is not None:
+                    size = first["payload_bytes"]
+                    first = {"record_id": record_id(target, first["file"], first["number"]), "url": first["url"], "date": DATE, "page_id": first["page_id"]}
+                    yield revisit(*known, size, row["page_id"], row["head"] + b"\r\n\r\n", first, row["date"])
+                elif kind == "revisit":  # of a response that isn't here
+                    there = {"record_id": headers.get("warc-refers-to"), "url": headers.get("warc-refers-to-target-uri"), "date": headers.get("warc-refers-to-date"), "page_id": row["refers_to"]}
+                    yield revisit(*known, row["payload_bytes"] or 0, row["page_id"], block, there, row["date"])
+                else:
+                    yield response(*known, row["payload_bytes"], row["page_id"], block, row["date"])
+
+
+def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
+    """Pages written as archives and deduplicated, and the records of those read back."""
+    spark = pages.sparkSession
+    raw, clean = new_path(spark, "warc-raw"), new_path(spark, "warc")
+    write_responses(pages, raw)
+    deduplicate(spark, raw, clean, least_bytes)
+    return read_archives(spark, clean)

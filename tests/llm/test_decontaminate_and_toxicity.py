@@ -85,7 +85,6 @@ def small(monkeypatch, block):
     monkeypatch.setattr(decontaminate, "BLOCK_WORDS", block)
     monkeypatch.setattr(decontaminate, "PIECE_WORDS", 7)
     monkeypatch.setattr(decontaminate, "SHARD_WORDS", 90)
-    monkeypatch.setattr(decontaminate, "LOCATE_ROWS", 3)
 
 
 def test_contamination_in_small_shards_blocks_and_pieces(spark, monkeypatch):
@@ -94,6 +93,12 @@ def test_contamination_in_small_shards_blocks_and_pieces(spark, monkeypatch):
     b = spark.createDataFrame(items, "item_id long, text string")
     assert len(decontaminate.blocks(b)) > 3
     check(spark, docs, items)
+    monkeypatch.setattr(decontaminate, "LOCATE_ROWS", 3)
+    shard = decontaminate.Shard(10**9)
+    assert shard.add([t for _, t in docs], 0) == len(docs)
+    want = brute(docs, items)
+    for (d, _), n_words, spans, names in zip(docs, *shard.search(decontaminate.blocks(b)), strict=True):
+        assert (n_words, sum(s["end"] - s["start"] for s in spans), len(names)) == want[d][:3]
 
 
 def test_every_window_is_in_one_piece(monkeypatch):

@@ -1,8 +1,10 @@
 import base64
-import gzip
 import glob
+import gzip
 import hashlib
 import io
+import os
+import zlib
 
 from notelake.llm import warc
 
@@ -17,29 +19,95 @@ def brute(rows):
     return sorted((i, len((h or "").encode()), digest(h), "response" if first[digest(h)] == i else "revisit", None if first[digest(h)] == i else first[digest(h)]) for i, _, h, *_ in rows)
 
 
+COLUMNS = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+
+
+def records(folder):
+    return [h for f in sorted(glob.glob(f"{folder}/part-*")) for h, _ in warc.parse(warc.opened(open(f, "rb").read()))]
+
+
+def read(spark, folder):
+    return sorted(map(tuple, warc.read_archives(spark, str(folder)).select(*COLUMNS).collect()), key=repr)
+
+
 def test_round_trip_and_revisits(spark, tmp_path):
     html = ["<p>é🎹</p>", None, "", "a\r\n\r\nWARC/1.1\r\nb", "x" * 100_000, "\r\n", "a\r\n\r\nWARC/1.1\r\nb", "\x00\x01", "<p>é🎹</p>", "<p>é🎹</p>"]
     rows = [(i * 7 % 11 + 1, f"http://h/{i}\r\nX: y" if i else None, h, "z", 3) for i, h in enumerate(html)]
     pages = spark.createDataFrame(rows, SCHEMA).repartition(3)
-    raw, clean = str(tmp_path / "raw"), str(tmp_path / "clean")
+    raw, clean, again = (str(tmp_path / n) for n in ("raw", "clean", "again"))
     warc.write_responses(pages, raw)
-    assert {r.page_id: r.payload for r in warc.read_archives(spark, raw, True).collect()} == {r[0]: r[2] or "" for r in rows}
+    assert {r.page_id: r.payload.decode() for r in warc.read_archives(spark, raw, True).collect()} == {r[0]: r[2] or "" for r in rows}
     warc.deduplicate(spark, raw, clean)
-    back = warc.read_archives(spark, clean, True)
-    got = back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()
-    assert sorted(map(tuple, got)) == brute(rows)
-    assert all(r.intact for r in back.collect())
-    assert {r.payload for r in back.filter("record_type = 'revisit'").collect()} == {""}
-    records = [h for f in glob.glob(f"{clean}/part-*") for h, _ in warc.parse(io.BytesIO(gzip.open(f).read()))]
-    ids = {h["x-page-id"]: h["warc-record-id"] for h in records}
-    for h in records:
+    assert read(spark, clean) == sorted(brute(rows), key=repr)
+    back = warc.read_archives(spark, clean, True).collect()
+    assert all(r.intact for r in back) and {r.payload for r in back if r.record_type == "revisit"} == {b""}
+    for folder in (raw, clean):
+        ids = [h["warc-record-id"] for h in records(folder)]
+        assert len(ids) == len(set(ids))
+    assert not {h["warc-record-id"] for h in records(raw)} & {h["warc-record-id"] for h in records(clean)}
+    known = {h.get("x-page-id"): h for h in records(clean)}
+    for h in records(clean):
         if h["warc-type"] == "revisit":
-            assert h["warc-refers-to"] == ids[h["x-refers-to-page-id"]] and h["warc-profile"] == warc.PROFILE
+            first = known[h["x-refers-to-page-id"]]
+            assert h["warc-refers-to"] == first["warc-record-id"] and h["warc-refers-to-target-uri"] == first["warc-target-uri"] and h["warc-profile"] == warc.PROFILE
+    # once more: nothing but the ids changes, and no payload is lost
+    warc.deduplicate(spark, clean, again)
+    assert read(spark, again) == read(spark, clean)
+    assert sorted(r.payload for r in warc.read_archives(spark, again, True).collect()) == sorted(r.payload for r in back)
     bare = str(tmp_path / "bare")
     warc.deduplicate(spark, raw, bare, least_bytes=1_000_000)
     assert warc.read_archives(spark, bare).filter("record_type = 'revisit'").count() == 0
 
 
+def test_one_gzip_member_a_record_and_files_bounded_by_bytes(spark, tmp_path):
+    rows = [(i, "u", base64.b64encode(hashlib.sha512(b"%d" % i).digest() * 40).decode(), "", 0) for i in range(30)]
+    warc.write_responses(spark.createDataFrame(rows, SCHEMA).coalesce(1), str(tmp_path / "r"), 1000)
+    files = glob.glob(f"{tmp_path}/r/part-*")
+    assert len(files) > 3 and max(map(os.path.getsize, files)) < 6000
+    warc.write_responses(spark.createDataFrame(rows, SCHEMA).coalesce(1), str(tmp_path / "s"))
+    for f in glob.glob(f"{tmp_path}/s/part-*"):
+        data, starts = open(f, "rb").read(), 0
+        while data:
+            one = zlib.decompressobj(31)
+            assert one.decompress(data).startswith(b"WARC/1.1\r\n") and one.eof
+            data, starts = one.unused_data, starts + 1
+        assert starts == sum(1 for _ in warc.parse(warc.opened(open(f, "rb").read())))
+    assert {r.page_id for r in warc.read_archives(spark, str(tmp_path / "r")).collect()} == set(range(30))
+    large = bytes(40_000_000)
+    assert warc.members(large).endswith(b"\0") and gzip.decompress(warc.members(large)) == large
+
+
+def foreign(kind, url, payload=None, digest=None, **more):
+    block = b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n" + (payload or b"")
+    headers = {"WARC-Type": kind, "WARC-Record-ID": f"<urn:x:{url}>", "WARC-Date": "2020-02-02T00:00:00Z", "WARC-Target-URI": url, "Content-Type": "application/http; msgtype=response"} | more
+    if digest:
+        headers["WARC-Payload-Digest"] = f"sha1:{digest}"
+    return ["WARC/1.0", *(f"{k}: {v}" for k, v in headers.items()), f"Content-Length: {len(block)}"], block
+
+
+def test_archives_of_other_tools_with_revisits_and_missing_headers(spark, tmp_path):
+    a, b = warc.digest32(b"payload a"), warc.digest32(b"payload b")
+    made = [
+        foreign("revisit", "r1", digest=a, **{"X-Page-Id": "1"}),  # smaller than its original
+        foreign("response", "o1", b"payload a", a, **{"X-Page-Id": "7"}),
+        foreign("response", "o2", b"payload a"),  # no digest, no page
+        foreign("request", "q"),
+        foreign("revisit", "lost", digest=b, **{"WARC-Refers-To": "<urn:x:elsewhere>"}),
+        foreign("response", "o3", b"\xff\xfe not utf-8"),
+    ]
+    os.makedirs(tmp_path / "in")
+    data = b"".join("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n" for lines, block in made)
+    (tmp_path / "in" / "plain.warc").write_bytes(data)
+    for source, target in (("in", "out"), ("out", "again")):
+        warc.deduplicate(spark, str(tmp_path / source), str(tmp_path / target))
+        back = {r.url: r for r in warc.read_archives(spark, str(tmp_path / target), True).collect()}
+        assert {u: r.record_type for u, r in back.items()} == {"r1": "revisit", "o1": "response", "o2": "revisit", "lost": "revisit", "o3": "response"}
+        assert back["o1"].payload == b"payload a" and back["o3"].payload == b"\xff\xfe not utf-8" and all(r.intact for r in back.values())
+        assert (back["r1"].refers_to, back["o2"].refers_to, back["r1"].payload_bytes, back["o2"].payload_bytes) == (7, 7, 9, 9)
+        heads = {h["warc-target-uri"]: h for h in records(tmp_path / target) if "warc-target-uri" in h}
+        assert heads["lost"]["warc-refers-to"] == "<urn:x:elsewhere>" and heads["q"]["warc-type"] == "request" and heads["o2"]["warc-refers-to"] == heads["o1"]["warc-record-id"]
+
+
 def test_repeated_and_null_ids_and_empty_tables(spark, tmp_path):
     rows = [(1, "u", "same", "", 0), (1, "u", "same", "", 0), (None, "u", "same", "", 0), (None, None, "own", "", 0)]
     warc.write_responses(spark.createDataFrame(rows, SCHEMA).coalesce(1), str(tmp_path / "r"))
