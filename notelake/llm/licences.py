@@ -1,115 +1,143 @@
 """Licence scan by sentence rules, in DataFrame functions only.
 
-A text is cut into sentences; sentences are normalised and looked up among known
-licence sentences; the sequence of identifiers found is matched against ordered
-licence rules, longest evidence first. A matched part of the sequence is used up,
-so that a full licence text isn't also reported as its short notice. Only
-sentences that hold an anchor word are normalised (every known sentence has
-one). Nothing is shuffled.
+A text is normalised (lower case; whatever is no letter, digit or sentence mark
+is a space, so comment marks vanish) and cut into sentences: at sentence marks
+before white space, at blank lines, and where the first words of a known sentence
+stand. Line ends within a paragraph don't cut, so wrapped texts are read as they
+are meant. A sentence is looked up among known licence sentences, as a whole or,
+if it is none, line by line; a sentence or line that isn't known may still name a
+licence ("released under the MIT License, see ...", an SPDX line). The sequence of
+identifiers found is matched against ordered licence rules, longest evidence
+first; a matched part of the sequence is used up, so that a full licence text
+isn't also reported as its short notice. Nothing is shuffled.
+
+The known sentences and the rules are made from the texts in ``licence_table`` by
+the same cut, so what is cut apart in a text is cut apart in the table.
 
 Defined results: null and empty texts match nothing; a known sentence that no
-rule takes is reported as "unknown-licence"; repeated sentences count once where
-they follow each other; every row is judged, whether or not its id repeats.
+rule takes is reported as "unknown-licence"; repeated sentences are listed each,
+the licences that they show once; every row is judged, whether or not its id
+repeats or is null; an empty table has no rows; a very long text costs in
+proportion to its length; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
 from notelake.llm.common import id_and_text
+from notelake.llm.licence_table import NAMES, SHORTER, TEXTS
 
-#: Identifiers of known sentences and the sentences, normalised.
-SENTENCES = {
-    "mit-notice": "released under the mit license",
-    "mit-licensed": "licensed under the mit license",
-    "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
-    "mit-keep": "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
-    "as-is": "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
-    "apache-notice": "licensed under the apache license version 2.0",
-    "apache-header": "licensed under the apache license version 2.0 the license",
-    "apache-file": "you may not use this file except in compliance with the license",
-    "apache-copy": "you may obtain a copy of the license at",
-    "gpl3-notice": "this work is licensed under the gnu general public license version 3",
-    "gpl-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
-    "gpl2-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
-    "gpl-hope": "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
-    "bsd-redistribution": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-    "bsd-notice": "licensed under the bsd license",
-    "mpl-notice": "this source code form is subject to the terms of the mozilla public license v 2.0",
-    "cc-by-notice": "licensed under cc by 4.0",
-    "cc-by-sa-notice": "licensed under cc by sa 4.0",
-    "cc-by-nc-notice": "licensed under cc by nc 4.0",
-    "cc-by-work": "this work is licensed under a creative commons attribution 4.0 international license",
-    "cc0-notice": "this work is dedicated to the public domain under cc0 1.0",
-    "all-rights": "all rights reserved",
-}
-#: Ordered rules; a rule is a licence and the identifiers that follow each other.
-RULES = (
-    ("MIT", ("mit-grant", "mit-keep", "as-is")),
-    ("MIT", ("mit-grant", "mit-keep")),
-    ("MIT", ("mit-grant",)),
-    ("MIT", ("mit-notice",)),
-    ("MIT", ("mit-licensed",)),
-    ("Apache-2.0", ("apache-header", "apache-file", "apache-copy")),
-    ("Apache-2.0", ("apache-header",)),
-    ("Apache-2.0", ("apache-notice",)),
-    ("GPL-3.0-or-later", ("gpl-free", "gpl-hope")),
-    ("GPL-3.0-or-later", ("gpl-free",)),
-    ("GPL-2.0-or-later", ("gpl2-free", "gpl-hope")),
-    ("GPL-2.0-or-later", ("gpl2-free",)),
-    ("GPL-3.0-only", ("gpl3-notice",)),
-    ("BSD", ("bsd-redistribution", "as-is")),
-    ("BSD", ("bsd-redistribution",)),
-    ("BSD", ("bsd-notice",)),
-    ("MPL-2.0", ("mpl-notice",)),
-    ("CC-BY-SA-4.0", ("cc-by-sa-notice",)),
-    ("CC-BY-NC-4.0", ("cc-by-nc-notice",)),
-    ("CC-BY-4.0", ("cc-by-notice",)),
-    ("CC-BY-4.0", ("cc-by-work",)),
-    ("CC0-1.0", ("cc0-notice",)),
-    ("All-Rights-Reserved", ("all-rights",)),
-)
-#: Every known sentence holds one of these.
-ANCHORS = r"(?i)licen|permi|rights reserved|warranty|copyright|public domain"
-
+#: A text without this has nothing that is looked for.
+ANCHORS = r"(?i)licen[cs]|permission|redistribut|warrant|copyright|rights reserved|public domain|gpl|\bmpl\b|free software"
+#: Words that a sentence needs to be known, by which its beginning is found, and that it needs for that (in a text of more sentences, alone: a short one is a title, which may stand within others).
+LEAST_WORDS, OPENING, RUNNING, LONE = 3, 4, 5, 12
 UNKNOWN = "unknown-licence"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+#: Normalisation in order: "+" after a version, characters, SPDX lines, sentence marks, blank lines. "|" divides sentences, line ends stay.
+NORMAL = (
+    (r"([0-9])\+", r"\1 or later"), (r"[^a-z0-9.;:!?\n]+", " "), (r"spdx license identifier ?: ?", "|spdxid "), (r"[.;:!?]+([ \n])", r"|\1"), (r"[.;:!?]+$", ""), (r"[;:!?]+", " "), (r"\n *(?:\n *)+", "|"),
+)
+
+
+def _plain_cut(text: str, steps) -> list[str]:
+    """The sentences of a known text, by the steps that cut any text."""
+    text = text.translate(str.maketrans(UPPER, LOWER))
+    for pattern, to in steps:
+        text = re.sub(pattern, to, text)
+    return [s for s in (" ".join(p.split()) for p in text.split("|")) if s.count(" ") >= LEAST_WORDS - 1 or "license" in s or "rights" in s]
+
+
+#: Where a known sentence begins, whatever stands before it in its line.
+_CUT_ONCE = [_plain_cut(text, NORMAL) for _, text in TEXTS]
+_FIRST = sorted({r"[ \n]+".join(map(re.escape, s.split()[:OPENING])) for cut in _CUT_ONCE for s in cut if s.count(" ") >= (RUNNING if len(cut) > 1 else LONE) - 1})
+OPENINGS = rf"([ \n|])({'|'.join(_FIRST)})([ \n|])"
+CUT = (*NORMAL, (OPENINGS, r"\1|\2\3"))
+
+
+def _tables() -> tuple[dict[str, str], list[tuple[str, tuple[str, ...]]]]:
+    """Known sentences with their identifiers, and ordered rules (a licence, and identifiers that follow each other)."""
+    known: dict[str, str] = {}
+    texts: list[tuple[str, tuple[str, ...]]] = []
+    for licence, text in TEXTS:
+        ids = []
+        for s in _plain_cut(text, CUT):
+            ids.append(known.setdefault(s, f"{licence}.{sum(v.startswith(licence + '.') for v in known.values()) + 1}"))
+        texts.append((licence, tuple(ids)))
+    owners: dict[tuple[str, ...], set[str]] = {}
+    for licence, ids in texts:
+        for n in range(1, len(ids) + 1):
+            owners.setdefault(ids[:n], set()).add(licence)
+    whole = {ids for _, ids in texts}
+    # a beginning of a text stands for its licence if no other licence's text begins so, or if it is all of the text
+    rules = {(licence, ids[:n]): None for licence, ids in texts for n in range(1, len(ids) + 1) if len(owners[ids[:n]]) == 1 or (n == len(ids) and ids[:n] in whole)}
+    rules[("BSD", next(ids for licence, ids in texts if licence == "BSD-2-Clause")[:1])] = None
+    ordered = sorted(rules, key=lambda r: -len(r[1]))
+    return known, [*ordered, *((licence, (f"name.{licence}",)) for licence in dict.fromkeys(NAMES.values()))]
+
+
+SENTENCES, RULES = _tables()
+_alternatives = lambda words: "|".join(re.escape(w).replace("\\ ", " ").replace("\\-", "-") for w in sorted(words, key=lambda w: (-len(w), w)))
+#: A name after "under", and any name (in an SPDX line), of shortened text.
+UNDER, NAME = rf"\bunder (?:a |an )?(?:terms (?:and conditions )?of )?({_alternatives(NAMES)})\b", rf"\b({_alternatives(NAMES)})\b"
+
+
+def _replace(text: Column, steps) -> Column:
+    for pattern, to in steps:
+        text = F.regexp_replace(text, pattern, to.replace("\\1", "$1").replace("\\2", "$2").replace("\\3", "$3"))
+    return text
+
 
+def sentences(text: Column) -> Column:
+    """The normalised sentences of a text; line ends stand in them."""
+    return F.split(_replace(F.translate(text, UPPER, LOWER), CUT), r"\|")
 
-def normalised(sentence: Column) -> Column:
-    """Lower case; anything but letters, digits and dots within numbers becomes one space."""
-    bare = F.regexp_replace(F.lower(sentence), r"[^a-z0-9.]+", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(bare, r"\.( |$)", " "), r" +", " "))
 
+def _squeezed(sentence: Column) -> Column:
+    return F.trim(F.regexp_replace(sentence, r"[ \n]+", " "))
 
-def sentences(text: Column) -> Column:
-    """A text cut at line ends and after . ! ? and ; before white space."""
-    return F.split(F.regexp_replace(text, r"([.!?;:])[ \t]+", "$1\n"), "\n")
+
+def _names(plain: Column) -> Column:
+    """Identifiers of the licences that a normalised sentence names."""
+    short = _replace(plain, SHORTER)
+    named = F.create_map(*[F.lit(x) for n, licence in NAMES.items() for x in (n, f"name.{licence}")])
+    found = F.when(F.startswith(plain, F.lit("spdxid")), F.regexp_extract_all(short, F.lit(NAME), 1)).when(F.contains(plain, F.lit("under")), F.regexp_extract_all(short, F.lit(UNDER), 1))
+    return F.transform(found, lambda n: named[n])
 
 
-def _lookup(sentence: Column) -> Column:
-    known = F.create_map(*[F.lit(x) for i, s in SENTENCES.items() for x in (s, i)])
-    return known[normalised(sentence)]
+def _identifiers(sentence: Column) -> Column:
+    """What is found in a sentence: itself, else its lines, else a name that goes beyond a line."""
+    known = F.create_map(*[F.lit(x) for x in sum(SENTENCES.items(), ())])
+    none = F.array().cast("array<string>")
+    own = lambda plain: F.when(known[plain].isNotNull(), F.array(known[plain]))
+    lines = F.flatten(F.transform(F.split(sentence, "\n"), lambda p: F.coalesce(own(F.trim(p)), _names(F.trim(p)), none)))
+    return F.coalesce(own(_squeezed(sentence)), F.when(F.size(lines) > 0, lines), _names(_squeezed(sentence)), none)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, sentence_ids, licences): the known sentences of each text in order, and the licences in the rules' order."""
-    text = id_and_text(docs, id_col, text_col)
-    likely = F.when(F.col("text").rlike(ANCHORS), F.filter(sentences(F.col("text")), lambda s: s.rlike(ANCHORS)))
-    ids = text.select("doc_id", F.coalesce(likely, F.array().cast("array<string>")).alias("likely"))
-    ids = ids.select("doc_id", F.filter(F.transform("likely", _lookup), lambda i: i.isNotNull()).alias("sentence_ids"))
+    text, none = id_and_text(docs, id_col, text_col), F.array().cast("array<string>")
+    likely = F.when(F.col("text").rlike(ANCHORS), sentences(F.col("text")))
+    ids = text.select("doc_id", likely.alias("likely"))
+    ids = ids.select("doc_id", F.when(F.size("likely") > 0, F.flatten(F.transform("likely", _identifiers))).otherwise(none).alias("sentence_ids"))
     # the sequence as text, each identifier between blanks of its own; a rule's part is replaced by "#", which no later rule matches
     sequence = F.array_join(F.transform("sentence_ids", lambda i: F.concat(F.lit(" "), i, F.lit(" "))), "")
-    rest = ids.select("doc_id", "sentence_ids", F.when(F.size("sentence_ids") > 0, sequence).otherwise(F.lit("")).alias("rest"), F.array().cast("array<string>").alias("licences"))
-    for name, rule in RULES:
-        part = "".join(f" {i} " for i in rule)
-        rest = rest.select(
-            "doc_id", "sentence_ids", F.when(F.contains("rest", F.lit(part)), F.replace("rest", F.lit(part), F.lit(" # "))).otherwise(F.col("rest")).alias("rest"),
-            F.when(F.contains("rest", F.lit(part)), F.array_append("licences", name)).otherwise(F.col("licences")).alias("licences"),
-        )
-    left = F.col("rest").rlike("[a-z]")
-    return rest.select("doc_id", "sentence_ids", F.array_distinct(F.when(left, F.array_append("licences", UNKNOWN)).otherwise(F.col("licences"))).alias("licences"))
+    rules = F.array(*[F.struct(F.lit(name).alias("name"), F.lit("".join(f" {i} " for i in rule)).alias("part")) for name, rule in RULES])
+    hit = lambda state, rule: F.contains(state["rest"], rule["part"])
+    run = F.aggregate(
+        rules, F.struct(sequence.alias("rest"), none.alias("found")),
+        lambda state, rule: F.struct(
+            F.when(hit(state, rule), F.replace(state["rest"], rule["part"], F.lit(" # "))).otherwise(state["rest"]).alias("rest"),
+            F.when(hit(state, rule), F.array_append(state["found"], rule["name"])).otherwise(state["found"]).alias("found"),
+        ),
+        lambda state: F.array_distinct(F.when(state["rest"].rlike("[A-Za-z]"), F.array_append(state["found"], F.lit(UNKNOWN))).otherwise(state["found"])),
+    )
+    return ids.select("doc_id", "sentence_ids", F.when(F.size("sentence_ids") > 0, run).otherwise(none).alias("licences"))
 
 
 def summary(found: DataFrame) -> DataFrame:

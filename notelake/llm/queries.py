@@ -66,24 +66,38 @@ QUERIES = {f.__name__: f for f in (
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+def _chain(text: str, steps) -> str:
+    for pattern, to in steps:
+        text = f"regexp_replace({text}, '{pattern}', '{to}', 'g')"
+    return text
+
+
 def _licence_sql() -> str:
     """The sentence table and the ordered rules as SQL."""
-    known = ", ".join(f"('{i}', '{s}')" for i, s in licences.SENTENCES.items())
-    steps = ["r0 AS (SELECT rowid, CASE WHEN len(ids) > 0 THEN ' ' || array_to_string(ids, '  ') || ' ' ELSE '' END AS rest, CAST([] AS VARCHAR[]) AS found FROM seq)"]
-    for k, (name, rule) in enumerate(licences.RULES):
-        part = "".join(f" {i} " for i in rule)
-        steps.append(f"r{k + 1} AS (SELECT rowid, replace(rest, '{part}', ' # ') AS rest, CASE WHEN contains(rest, '{part}') THEN list_append(found, '{name}') ELSE found END AS found FROM r{k})")
+    known = ", ".join(f"('{s}', '{i}')" for s, i in licences.SENTENCES.items())
+    named = ", ".join(f"('{n}', 'name.{licence}')" for n, licence in licences.NAMES.items())
+    rules = ", ".join(f"({k}, '{name}', '{''.join(f' {i} ' for i in rule)}')" for k, (name, rule) in enumerate(licences.RULES, 1))
+    body = _chain(_LOWER, licences.CUT)
+    names = f"CASE WHEN starts_with(plain, 'spdxid') THEN regexp_extract_all({_chain('plain', licences.SHORTER)}, '{licences.NAME}', 1) WHEN contains(plain, 'under') THEN regexp_extract_all({_chain('plain', licences.SHORTER)}, '{licences.UNDER}', 1) ELSE [] END"
     return rf"""
-        WITH known(id, sentence) AS (VALUES {known}),
-        docs AS MATERIALIZED (SELECT row_number() OVER () AS rowid, doc_id, text FROM documents),
-        s AS (SELECT rowid, unnest(string_split(regexp_replace(coalesce(text, ''), '([.!?;:])[ \t]+', '\1' || chr(10), 'g'), chr(10))) AS line, generate_subscripts(string_split(regexp_replace(coalesce(text, ''), '([.!?;:])[ \t]+', '\1' || chr(10), 'g'), chr(10)), 1) AS i FROM docs),
-        n AS (SELECT rowid, i, trim(regexp_replace(regexp_replace(regexp_replace(lower(line), '[^a-z0-9.]+', ' ', 'g'), '\.( |$)', ' ', 'g'), ' +', ' ', 'g')) AS sentence FROM s WHERE regexp_matches(line, '{licences.ANCHORS}')),
-        hit AS (SELECT rowid, list(id ORDER BY i) AS ids FROM n JOIN known USING (sentence) GROUP BY rowid),
-        seq AS (SELECT d.rowid, doc_id, coalesce(ids, []) AS ids FROM docs d LEFT JOIN hit ON hit.rowid = d.rowid),
-        {", ".join(steps)}
-        SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_sentences, array_to_string(ids, ',') AS sentence_ids,
-          array_to_string(list_filter(CASE WHEN regexp_matches(rest, '[a-z]') THEN list_append(found, '{licences.UNKNOWN}') ELSE found END, lambda x, i: list_position(CASE WHEN regexp_matches(rest, '[a-z]') THEN list_append(found, '{licences.UNKNOWN}') ELSE found END, x) = i), ',') AS licences
-        FROM seq JOIN r{len(licences.RULES)} USING (rowid)"""
+        WITH RECURSIVE known(sentence, id) AS (VALUES {known}), named(name, id) AS (VALUES {named}), rules(k, name, part) AS (VALUES {rules}),
+        docs AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+        b AS (SELECT r, string_split({body}, '|') AS a FROM docs WHERE regexp_matches(coalesce(text, ''), '{licences.ANCHORS}')),
+        s AS (SELECT r, unnest(a) AS sentence, generate_subscripts(a, 1) AS i FROM b),
+        w AS MATERIALIZED (SELECT r, i, s.sentence, trim(regexp_replace(s.sentence, '[ \n]+', ' ', 'g')) AS plain, known.id FROM s LEFT JOIN known ON known.sentence = trim(regexp_replace(s.sentence, '[ \n]+', ' ', 'g'))),
+        l AS (SELECT r, i, trim(unnest(string_split(sentence, chr(10)))) AS plain, generate_subscripts(string_split(sentence, chr(10)), 1) AS j FROM w WHERE id IS NULL),
+        lk AS MATERIALIZED (SELECT r, i, j, plain, known.id FROM l LEFT JOIN known ON known.sentence = l.plain),
+        ln AS (SELECT r, i, j, unnest(n) AS name, generate_subscripts(n, 1) AS k FROM (SELECT r, i, j, {names} AS n FROM lk WHERE id IS NULL)),
+        lines AS MATERIALIZED (SELECT r, i, j, 0 AS k, id FROM lk WHERE id IS NOT NULL UNION ALL SELECT r, i, j, k, named.id FROM ln JOIN named USING (name)),
+        wn AS (SELECT r, i, unnest(n) AS name, generate_subscripts(n, 1) AS k FROM (SELECT r, i, {names} AS n FROM w WHERE id IS NULL AND (r, i) NOT IN (SELECT r, i FROM lines))),
+        hit AS (SELECT r, i, 0 AS j, 0 AS k, id FROM w WHERE id IS NOT NULL UNION ALL FROM lines UNION ALL SELECT r, i, 0, k, named.id FROM wn JOIN named USING (name)),
+        seq AS MATERIALIZED (SELECT r, list(id ORDER BY i, j, k) AS ids FROM hit GROUP BY r),
+        run AS (SELECT r, 0 AS k, ' ' || array_to_string(ids, '  ') || ' ' AS rest, CAST([] AS VARCHAR[]) AS found FROM seq
+          UNION ALL SELECT r, rules.k, replace(rest, part, ' # '), CASE WHEN contains(rest, part) THEN list_append(found, name) ELSE found END FROM run JOIN rules ON rules.k = run.k + 1),
+        fin AS (SELECT r, CASE WHEN regexp_matches(rest, '[A-Za-z]') THEN list_append(found, '{licences.UNKNOWN}') ELSE found END AS found FROM run WHERE k = {len(licences.RULES)})
+        SELECT doc_id, CAST(coalesce(len(ids), 0) AS BIGINT) AS n_sentences, coalesce(array_to_string(ids, ','), '') AS sentence_ids,
+          coalesce(array_to_string(list_filter(found, lambda x, i: list_position(found, x) = i), ','), '') AS licences
+        FROM docs LEFT JOIN seq USING (r) LEFT JOIN fin USING (r)"""
 
 
 ORACLE = {

@@ -94,22 +94,54 @@ def test_long_running_sums(spark, monkeypatch):
         assert r.s == [sum(r.v[:i]) for i in range(len(r.v))]
 
 
-def test_licences(spark):
-    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
-    keep = "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
-    cases = {
-        1: (None, ""), 2: ("", ""), 3: ("Prose here.\nReleased under the MIT License.", "MIT"), 4: ("Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0"),
-        5: ("x. This work is licensed under the GNU General Public License, version 3.", "GPL-3.0-only"), 6: ("Licensed under the Apache License, Version 2.0.  All rights reserved.", "Apache-2.0,All-Rights-Reserved"),
-        7: (mit + "\n" + keep, "MIT"), 8: (keep, licences.UNKNOWN), 9: ("a licence to kill. permission", ""), 10: ("All rights reserved.\n" * 3000, "All-Rights-Reserved"),
-    }
-    rows = {r.doc_id: r for r in licences.summary(licences.scan(spark.createDataFrame([(i, t, "q", 1) for i, (t, _) in cases.items()], SCHEMA))).collect()}
-    assert {i: r.licences for i, r in rows.items()} == {i: want for i, (_, want) in cases.items()}
-    assert rows[10].n_sentences == 3000 and rows[7].sentence_ids == "mit-grant,mit-keep"
-
-
-def test_known_sentences_are_normal_and_anchored(spark):
-    from pyspark.sql import functions as F
-
-    known = spark.createDataFrame([(s,) for s in licences.SENTENCES.values()], "s string")
-    assert all(r.n == r.s and r.a for r in known.select("s", licences.normalised(F.col("s")).alias("n"), F.col("s").rlike(licences.ANCHORS).alias("a")).collect())
-    assert {i for _, rule in licences.RULES for i in rule} <= set(licences.SENTENCES)
+def wrapped(text, mark="", width=60):
+    """A text as it stands in a source file: wrapped, each line behind a comment mark, a blank line between sentences."""
+    import textwrap
+
+    return "\n".join(f"{mark}{line}".rstrip() for p in text.split("\n") for line in [*textwrap.wrap(p, width), ""])
+
+
+def scanned(spark, texts):
+    rows = licences.summary(licences.scan(spark.createDataFrame([(i, t, "q", 1) for i, t in enumerate(texts)], SCHEMA))).collect()
+    return [r for r in sorted(rows, key=lambda r: r.doc_id)]
+
+
+def test_licence_notices(spark):
+    mit = dict.fromkeys(t for licence, t in licences.TEXTS if licence == "MIT")
+    grant = next(iter(mit)).split("\n")
+    cases = [
+        (None, ""), ("", ""), ("Prose here.\nReleased under the MIT License.", "MIT"), ("Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0"), ("a licence to kill. permission", ""),
+        ("x. This work is licensed under the GNU General Public License, version 3.", "GPL-3.0-only"), ("Licensed under the Apache License, Version 2.0.  All rights reserved.", "All-Rights-Reserved,Apache-2.0"),
+        ("\n".join(grant[:2]), "MIT"), (grant[1], licences.UNKNOWN), ("All rights reserved.\n" * 3000, "All-Rights-Reserved"),
+        ("prose before\nThis work is released under the MIT License, see LICENSE.\nprose after", "MIT"), ("SPDX-License-Identifier: MIT", "MIT"), ("// SPDX-License-Identifier: GPL-2.0-or-later OR BSD-3-Clause\nint x;", "BSD-3-Clause,GPL-2.0-or-later"),
+        ("# SPDX-License-Identifier: Apache-2.0 WITH LLVM-exception", "Apache-2.0"), ("distributed under the terms of the GNU Lesser\nGeneral Public License v2.1 or later", "LGPL-2.1-or-later"), ("licensed under GPLv3+ or so", "GPL-3.0-or-later"),
+        ("available under a Creative Commons Attribution-NonCommercial-ShareAlike 3.0 Unported License", "CC-BY-NC-SA-3.0"), ("This is under the AGPL v3.", "AGPL-3.0-only"), ("under the 2-clause BSD license", "BSD-2-Clause"),
+        ("mit dem Text unter der Lizenz", ""), ("MIT License\n\nCopyright (c) 2020 X\n\n" + "\n\n".join(grant), "MIT"), ("long " * 200_000 + "license", ""),
+    ]
+    rows = scanned(spark, [t for t, _ in cases])
+    assert [",".join(sorted(r.licences.split(","))) for r in rows] == [want for _, want in cases]
+    assert rows[9].n_sentences == 3000 and rows[7].sentence_ids == "MIT.1,MIT.2"
+
+
+def test_every_known_text_is_recognised_wrapped_and_commented(spark):
+    cases = [(licence, mark, text) for licence, text in licences.TEXTS for mark in ("", "# ", " * ", "// ")]
+    title = lambda text: len(text) < 100
+    written = lambda text, mark: "\n".join(mark + line for line in text.split("\n")) if title(text) else "Copyright (c) 2020 Some One\n" * (mark == "") + wrapped(text, mark)
+    rows = scanned(spark, [written(text, mark) for _, mark, text in cases])
+    for (licence, mark, text), r in zip(cases, rows, strict=True):
+        assert licence in r.licences.split(",") and licences.UNKNOWN not in r.licences, (licence, mark, r.licences, r.sentence_ids)
+    assert len({licence for licence, *_ in cases}) >= 20
+
+
+def test_openings_cut_no_known_sentence_and_ids_are_whole(spark):
+    for s in licences.SENTENCES:
+        assert not re.search(licences.OPENINGS, s[1:] + " "), s
+    assert {i for _, rule in licences.RULES for i in rule} <= {*licences.SENTENCES.values(), *(f"name.{x}" for x in licences.NAMES.values())}
+    assert len(set(licences.SENTENCES.values())) == len(licences.SENTENCES)
+
+
+def test_repeated_ids_and_empty_tables_of_native_operators(spark):
+    docs = spark.createDataFrame([(1, "a@b.c SPDX-License-Identifier: MIT", "q", 1), (1, None, "q", 1), (None, "1.2.3.4", "q", 1), (None, "1.2.3.4", "q", 1)], SCHEMA)
+    assert sorted((r.n_email, r.n_ip) for r in pii.digests(pii.find_spans(docs)).collect()) == [(0, 0), (0, 1), (0, 1), (1, 0)]
+    assert sorted(r.licences for r in licences.summary(licences.scan(docs)).collect()) == ["", "", "", "MIT"]
+    assert licences.summary(licences.scan(docs.limit(0))).count() == 0
