@@ -9,7 +9,9 @@ maps pieces back to bytes. The work is a narrow map over the documents: nothing
 is shuffled, and the model (a file of fixed size) is the only thing broadcast.
 
 Defined results: null and empty texts have no ids and decode to no bytes; a
-pre-token that is itself a token is that token; repeated rows are encoded each.
+pre-token that is itself a token is that token; rows that repeat an id, or have
+none, are encoded each; an empty table has no rows; a very long text is encoded
+whole; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -5,7 +5,7 @@ the text is cut at the marks, and span positions are running sums of the pieces'
 lengths, so no row leaves its task and nothing is shuffled. Validators confirm
 proposals (Luhn for cards, mod-97 for IBANs, number ranges and digit counts) and
 context words near a span move its score. The four base kinds stay whatever
-their score; the added kinds (iban, ssn) need ``THRESHOLD``.
+their score; the added kinds (iban, ssn, secret) need ``THRESHOLD``.
 
 The patterns stay linear on long texts: possessive repeats never give back, and
 a match may start only where a run of its characters starts (or where the last
@@ -13,7 +13,9 @@ match ended), which loses no leftmost match.
 
 Defined results: null and empty texts have no spans; positions are code points,
 end exclusive; ties in start go by the order of ``KINDS``; every row is judged,
-whether or not its id repeats or is null.
+whether or not its id repeats or is null; an empty table has no rows; a very long
+text costs in proportion to its length; other columns are ignored, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ IBAN_LENGTHS = {
 _IBAN = "|".join([*(rf"(?:{c})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}(?![A-Za-z0-9])" for n, c in IBAN_LENGTHS.items()), r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])"])
 #: Kinds in order, and what proposes each.
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "iban", "ssn")
+KINDS = (*BASE, "iban", "ssn", "secret")
 PATTERNS = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
@@ -42,6 +44,7 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "iban": rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{_IBAN})",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "secret": r"(?<![A-Za-z0-9_])(?:[0-9a-f]{32,64}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64})(?![A-Za-z0-9_])",
 }
 #: A text without this has no match of the kind (a cheap test that saves the replacement).
 NEEDS = {"email": "@", "ip": ".", "phone": "+", "ssn": "-"}
@@ -53,11 +56,12 @@ CONTEXT = {
     "phone": r"(?i)\b(phone|tel|call|mobile|fax|telefon|tel[eé]fono)\b",
     "iban": r"(?i)\b(iban|account|bank|konto|cuenta|compte)\b",
     "ssn": r"(?i)\b(ssn|social security|tax id)\b",
+    "secret": r"(?i)\b(token|secret|password|passwd|api[_ -]?key|access[_ -]?key|credentials?)\b",
 }
 #: A word nearby that speaks for some other number.
 AGAINST = r"(?i)\b(order|invoice|isbn|version|sku|tracking)\b"
 #: Scores before context, what context adds or takes, and what an added kind needs.
-START = {"email": 0.9, "ip": 0.7, "card": 0.8, "phone": 0.7, "iban": 0.8, "ssn": 0.4}
+START = {"email": 0.9, "ip": 0.7, "card": 0.8, "phone": 0.7, "iban": 0.8, "ssn": 0.4, "secret": 0.3}
 FOR, FROM, THRESHOLD = 0.2, 0.3, 0.5
 #: Characters before and after a span that count as nearby.
 NEAR = 40
@@ -133,6 +137,8 @@ def _valid(kind: str, match: Column) -> Column:
         return F.char_length(digits).between(9, 15)
     if kind == "iban":
         return mod97(match)
+    if kind == "secret":
+        return match.rlike("[0-9]") & match.rlike("[A-Za-z]")
     if kind == "ssn":
         return ~match.rlike(r"^(?:000|666|9)|-00-|-0000$")
     return F.lit(True)
@@ -179,7 +185,7 @@ def digests(found: DataFrame) -> DataFrame:
     count = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("found", lambda s: s["order"] < len(BASE))
     return found.select(
-        "doc_id", *[count(k) for k in BASE], F.sha2(_joined(base, "kind", "start", "end"), 256).alias("base_sha256"),
+        "doc_id", *[count(k) for k in KINDS], F.sha2(_joined(base, "kind", "start", "end"), 256).alias("base_sha256"),
         _joined(F.col("found"), "kind", "start", "end").alias("spans"), _joined(F.col("found"), "kind", "start", "end", "score").alias("scored_spans"),
     )
 

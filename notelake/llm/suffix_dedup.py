@@ -23,7 +23,9 @@ or another document).
 
 Defined results: null and empty texts, and texts of fewer than ``PASSAGE`` words,
 have no repeated words; rows that repeat an id are documents of their own that
-share the id, so their words count as repeated.
+share the id, so their words count as repeated; an empty table has no rows; very
+long texts are scanned in parts of bounded memory; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations

@@ -201,6 +201,8 @@ def test_bpe_equals_the_rank_file_library(spark, name):
         assert bytes(got[i].decoded) == (t or "").encode()
     rows = {r.doc_id: r for r in byte_bpe.digests(byte_bpe.encode_documents(docs, path, public_tokenizers.PATTERN)).collect()}
     assert rows[2].ids_sha256 == hashlib.sha256(",".join(map(str, own.encode_ordinary(texts[2]))).encode()).hexdigest()
+    same = spark.createDataFrame([(1, "a b", "q", 0), (1, "a b", "q", 0), (None, "a b", "q", 0)], docs.schema)
+    assert byte_bpe.encode_documents(same, path, public_tokenizers.PATTERN).count() == 3 and byte_bpe.encode_documents(same.limit(0), path, public_tokenizers.PATTERN).count() == 0
     assert rows[0].n_tokens == 0 and rows[0].decoded_sha256 == hashlib.sha256(b"").hexdigest()
 
 
