@@ -10,7 +10,8 @@ with the logistic loss, a = ``SHARE`` and c = (1 - SHARE) / (1 - pi): toxic text
 are few, so both classes are weighted as if toxic ones had that share. Where the
 corrected negative risk falls below zero it isn't followed further down (the
 non-negative estimator). Every hashed feature takes part; the L1 term, applied as
-a proximal step, leaves weights of no use at zero. pi is the share of toxic rows
+a proximal step, leaves weights of no use at zero. The intercept is the log odds of
+pi, so a text of which no feature is known is as unlikely toxic as any. pi is the share of toxic rows
 among all training labels. P and U are bounded samples of the *labelled* rows
 (``POSITIVES``, ``UNLABELLED``; U takes all of them alike), chosen by a hash of
 the id, so the fit costs the same at any size; scoring is a narrow map over every
@@ -106,18 +107,17 @@ def slopes(zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[np.ndarray, np
 
 
 def fit(p: Rows, u: Rows, prior: float) -> tuple[np.ndarray, float]:
-    """Weights and intercept that minimise the non-negative PU risk, by proximal Adam over all rows."""
-    weights, intercept = np.zeros(SIZE), float(np.log(SHARE / (1 - SHARE)))
-    m, v = np.zeros(SIZE + 1), np.zeros(SIZE + 1)
+    """Weights that minimise the non-negative PU risk, by proximal Adam over all rows, and the intercept that they were fitted with."""
+    weights, intercept = np.zeros(SIZE), float(np.log(prior / (1 - prior)))
+    m, v = np.zeros(SIZE), np.zeros(SIZE)
     for t in range(1, EPOCHS + 1):
         slope_p, slope_u = slopes(p.scores(weights, intercept), u.scores(weights, intercept), prior)
-        g = np.append(u.gradient(slope_u) + p.gradient(slope_p), slope_u.sum() + slope_p.sum())
+        g = u.gradient(slope_u) + p.gradient(slope_p)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         rate = RATE / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        step = rate * m / (1 - 0.9**t)
-        weights, intercept = weights - step[:-1], intercept - step[-1]
-        weights = np.sign(weights) * np.maximum(np.abs(weights) - L1 * rate[:-1], 0)
-    return weights.astype(np.float32), float(intercept)
+        weights = weights - rate * m / (1 - 0.9**t)
+        weights = np.sign(weights) * np.maximum(np.abs(weights) - L1 * rate, 0)
+    return weights.astype(np.float32), intercept
 
 
 def held_out(doc_id: Column | str) -> Column:

@@ -210,8 +210,8 @@ def test_fit_comes_near_the_least_risk_found_by_brute_force(monkeypatch):
         return positive + max(0.0, negative) + toxicity.L1 * sum(map(abs, w))
 
     grid = np.arange(-6, 6.01, 0.4)
-    best = min(whole((x, y), b) for x in grid for y in grid for b in grid)
-    assert whole(weights, intercept) <= best + 0.02
+    best = min(whole((x, y), intercept) for x in grid for y in grid)
+    assert abs(intercept - math.log(prior / (1 - prior))) < 1e-9 and whole(weights, intercept) <= best + 0.02
 
 
 def test_scores_do_not_depend_on_the_cache(spark, monkeypatch):

@@ -69,3 +69,26 @@ def test_stages_match_brute_force(spark, tmp_path):
         token_ids = own.encode_ordinary(text[i] or "")
         assert r.n_tokens == len(token_ids) and r.ids_sha256 == hashlib.sha256(",".join(map(str, token_ids)).encode()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256((text[i] or "").encode()).hexdigest()
+
+
+def test_stages_on_empty_tables_and_on_repeated_and_null_ids(spark, tmp_path):
+    tables(spark, str(tmp_path))
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+    rnd = random.Random(5)
+    clean, other = (" ".join(f"q{rnd.randrange(500)}" for _ in range(60)) for _ in range(2))
+    item = spark.read.parquet(f"{tmp_path}/benchmark.parquet").first().text
+    rows = [(1, clean), (1, clean), (1, other), (None, other), (None, item), (1, item), (1, "vile scorn vile scorn"), (None, "vile scorn"), (None, None), (None, "")]
+    small = spark.createDataFrame([(*r, "x", "y", 0) for r in rows], docs.schema)
+    left = {name: sorted(((r.doc_id, r.text or "") for r in stage(spark, small, str(tmp_path)).collect()), key=repr) for name, stage in corpus_pipeline.STAGES[:-1]}
+    plain = [(i, t or "") for i, t in rows]
+    assert left["toxicity"] == sorted(plain, key=repr)  # no label speaks of these rows
+    both = corpus_pipeline.toxicity_stage(spark, docs.unionByName(small.filter("text is not null and text <> ''")), str(tmp_path))
+    texts = [r.text for r in both.collect() if r.text in (clean, other, item) or r.text and r.text.startswith("vile")]
+    assert sorted(texts) == sorted(t for _, t in plain if t and "vile" not in t)
+    once = [(1, clean), (1, other), (1, item), (1, "vile scorn vile scorn"), (None, "vile scorn"), (None, "")]
+    assert left["exact_dedup"] == sorted(once, key=repr)
+    assert len(left["simhash_near_dedup"]) == len({brute_fingerprint(t) for _, t in rows})
+    assert left["benchmark_decontamination"] == sorted([r for r in plain if r[1] != item], key=repr)
+    assert corpus_pipeline.STAGES[-1][1](spark, small, str(tmp_path)).count() == len(rows)
