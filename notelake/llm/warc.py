@@ -31,7 +31,6 @@ import base64
 import gzip
 import hashlib
 import io
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -67,12 +66,13 @@ def digest32(payload: bytes) -> str:
 
 def record_id(*parts) -> str:
     """A record id made from what it stands for: the archive folder, and the place in it or in its source."""
-    return f"<urn:uuid:{uuid.UUID(hashlib.md5(repr(parts).encode()).hexdigest())}>"
+    h = hashlib.md5(repr(parts).encode()).hexdigest()
+    return f"<urn:uuid:{h[:8]}-{h[8:12]}-{h[12:16]}-{h[16:20]}-{h[20:]}>"
 
 
 def _clean(value: str) -> str:
     """A header value: no line ends."""
-    return " ".join(value.splitlines())
+    return " ".join(value.splitlines()) if "\n" in value or "\r" in value else value
 
 
 def record(headers: list[tuple[str, str | None]], block: bytes) -> bytes:
