@@ -1,24 +1,30 @@
-"""Adjacent-pair mining and merging of token sequences."""
+"""Adjacent-pair mining and merging of token sequences, as window functions over (piece_id, pos, tok) rows.
+
+No piece is gathered into one row, so a long piece is sorted (and spilled) but
+never held. A place in the corpus is the struct (piece_id, pos).
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
-from pyspark.sql.column import Column
 
-from notelake.sources.interim import keep
+from notelake.sources.interim import forget, keep, new_path
+
+#: Merges that may be broadcast to a pass: two and a half times the largest vocabulary in use.
+MOST_MERGES = 75_000
+
 
-#: Pieces' positions fit below this, so (piece, position) is one number.
-PLACES = 1_000_000
-#: Merges that one map may hold (a literal of that size travels with the plan).
-MOST_MERGES = 5_000
+def _by_pos(*bounds: int):
+    w = W.partitionBy("piece_id").orderBy("pos")
+    return w.rowsBetween(*bounds) if bounds else w
 
 
 def counts(tokens: DataFrame) -> DataFrame:
     """(lhs, rhs, freq, first): overlapping adjacent pairs of (piece_id, pos, tok) rows; first is the place first seen."""
-    rhs = F.lead("tok").over(W.partitionBy("piece_id").orderBy("pos"))
-    pairs = tokens.select(F.col("tok").alias("lhs"), rhs.alias("rhs"), (F.col("piece_id") * PLACES + F.col("pos")).alias("place")).filter("rhs IS NOT NULL")
+    rhs = F.lead("tok").over(_by_pos())
+    pairs = tokens.select(F.col("tok").alias("lhs"), rhs.alias("rhs"), F.struct("piece_id", "pos").alias("place")).filter("rhs IS NOT NULL")
     return pairs.groupBy("lhs", "rhs").agg(F.count(F.lit(1)).alias("freq"), F.min("place").alias("first"))
 
 
@@ -29,60 +35,79 @@ def top(tokens: DataFrame, most: int, base: int, least: int = 2) -> DataFrame:
     return best.select(rank.alias("rank"), "lhs", "rhs", "freq", (rank + base).alias("new_id"))
 
 
-def merge_map(merges: list[tuple[int, int, int]]) -> Column:
-    """(lhs, rhs) -> new id as a literal map of bounded size."""
-    if len(merges) > MOST_MERGES:
-        raise ValueError(f"{len(merges)} merges do not fit a literal map of {MOST_MERGES}")
-    return F.create_map(*[x for a, b, n in merges for x in (F.lit(a * PLACES + b), F.lit(n))])
-
-
-def apply_greedy(seq: Column, merges: Column) -> Column:
-    """One pass from left to right: structs (tok, from, to) of the merged sequence, from and to indexes of the first and last token merged."""
-    kind = "array<struct<tok:int,first:int,last:int>>"
-    start = F.struct(F.lit(None).cast("int").alias("wait"), F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
-    row = lambda tok, a, b: F.array(F.struct(tok.cast("int").alias("tok"), a.cast("int").alias("first"), b.cast("int").alias("last")))
-
-    def push(s, t):
-        new = F.get(F.transform(F.array(s["wait"].cast("long") * PLACES + t), lambda k: merges[k]), F.lit(0))
-        merged = s["wait"].isNotNull() & new.isNotNull()
-        lone = F.when(s["wait"].isNotNull(), F.concat(s["out"], row(s["wait"], s["at"] - 1, s["at"] - 1))).otherwise(s["out"])
-        return F.struct(F.when(~merged, t).cast("int").alias("wait"), (s["at"] + 1).alias("at"), F.when(merged, F.concat(s["out"], row(new, s["at"] - 1, s["at"]))).otherwise(lone).alias("out"))
-
-    end = lambda s: F.when(s["wait"].isNotNull(), F.concat(s["out"], row(s["wait"], s["at"] - 1, s["at"] - 1))).otherwise(s["out"])
-    return F.aggregate(seq, start, push, end)
-
-
-def ranked_merge(merges: list[tuple[int, int, int]]):
-    """A pandas UDF that merges the pair of lowest rank, leftmost first, until none is left (merges: lhs, rhs, new id in rank order)."""
-    import pandas as pd
+def merge_pass(tokens: DataFrame, merges: DataFrame) -> DataFrame:
+    """One greedy pass from left to right with merges (lhs, rhs, new_id): (piece_id, pos, tok, first, last), first and last being the places of the first and last token merged.
 
-    rank = {(a, b): (r, n) for r, (a, b, n) in enumerate(merges)}
-
-    def one(seq: list[int]) -> list[int]:
-        while len(seq) > 1:
-            found = min(((rank[p][0], i) for i, p in enumerate(zip(seq, seq[1:], strict=False)) if p in rank), default=None)
-            if found is None:
-                break
-            i = found[1]
-            seq = [*seq[:i], rank[seq[i], seq[i + 1]][1], *seq[i + 2 :]]
-        return seq
-
-    return F.pandas_udf(lambda lists: pd.Series([one([int(t) for t in x]) for x in lists]), "array<int>")
+    In a run of places whose pairs all merge, greedy merging takes the first, third,
+    fifth ... pair. So a token is taken up by the one before it if an odd number of
+    pairs that merge stands right before it, and begins a merge if an even number
+    does and its own pair merges: no state is carried but the last place whose pair
+    doesn't merge.
+    """
+    rows = tokens.select("piece_id", "pos", "tok", F.lead("tok").over(_by_pos()).alias("rhs"))
+    new = F.broadcast(merges.select(F.col("lhs").alias("tok"), "rhs", "new_id"))  # at most MOST_MERGES rows
+    rows = rows.join(new, ["tok", "rhs"], "left").withColumn("place", F.row_number().over(_by_pos()))
+    stop = F.max(F.when(F.col("new_id").isNull(), F.col("place"))).over(_by_pos(W.unboundedPreceding, -1))
+    rows = rows.withColumn("before", F.col("place") - 1 - F.coalesce(stop, F.lit(0))).filter(F.col("before") % 2 == 0)
+    return rows.select(
+        "piece_id", (F.row_number().over(_by_pos()) - 1).alias("pos"), F.coalesce("new_id", "tok").alias("tok"),
+        F.col("pos").alias("first"), (F.col("pos") + F.col("new_id").isNotNull().cast("int")).alias("last"),
+    )
+
+
+def independent(pairs: list, most: int) -> list:
+    """The longest beginning of ``pairs`` (lhs, rhs, rank or frequency, id made if known), best first, of which no two share a token.
+
+    Merging one pair changes the counts of pairs that share a token with it, and what
+    it makes is at most as frequent as one of those. As all better pairs are in the
+    beginning, merging it in one round gives what one round a pair gives.
+    """
+    out, seen = [], set()
+    for p in pairs[:most]:
+        if p[0] in seen or p[1] in seen or (p[0] == p[1] and out):
+            break
+        out.append(p)
+        seen |= {p[0], p[1], *p[3:]}
+        if p[0] == p[1]:
+            break
+    return out
 
 
-def train_iterative(tokens: DataFrame, rounds: int, base: int, least: int = 2) -> tuple[list[tuple[int, int, int, int]], DataFrame]:
-    """``rounds`` times: count pairs, merge the best. Returns (rank, lhs, rhs, freq) and the merged (piece_id, pos, tok) rows.
+def train_iterative(tokens: DataFrame, size: int, base: int, least: int = 2, batch: int = 64) -> tuple[list[tuple[int, int, int, int]], DataFrame]:
+    """Merges up to ``size``, or until no pair occurs ``least`` times: (rank, lhs, rhs, freq), and the merged (piece_id, pos, tok) rows.
 
-    Only one pair a round comes to the driver; each round's table is written, so
-    a lost executor costs one round at most.
+    A round counts pairs, takes the best ones that are independent (of ``batch`` that
+    come to the driver) and merges them in one pass. Each round's table is written,
+    so a lost executor costs one round at most, and the one before it is removed.
     """
-    merges, rows = [], tokens.select("piece_id", "pos", "tok")
-    for r in range(rounds):
-        best = counts(rows).filter(F.col("freq") >= least).orderBy(F.desc("freq"), "first").limit(1).collect()
-        if not best:
+    spark, merges, rows, last = tokens.sparkSession, [], tokens.select("piece_id", "pos", "tok"), None
+    while len(merges) < size:
+        best = counts(rows).filter(F.col("freq") >= least).orderBy(F.desc("freq"), "first").limit(batch).collect()
+        own = independent([(r.lhs, r.rhs, r.freq) for r in best], size - len(merges))
+        if not own:
             break
-        merges.append((r, best[0].lhs, best[0].rhs, best[0].freq))
-        seqs = rows.groupBy("piece_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "tok"))), lambda s: s["tok"]).alias("seq"))
-        merged = seqs.select("piece_id", F.posexplode(apply_greedy(F.col("seq"), merge_map([(best[0].lhs, best[0].rhs, base + r)]))).alias("pos", "m"))
-        rows = keep(merged.select("piece_id", "pos", F.col("m.tok").alias("tok")), "merged")
+        table = spark.createDataFrame([(a, b, base + len(merges) + k) for k, (a, b, _) in enumerate(own)], "lhs int, rhs int, new_id int")
+        merges += [(len(merges) + k, *p) for k, p in enumerate(own)]
+        path = new_path(spark, "merged")
+        merge_pass(rows, table).select("piece_id", "pos", "tok").write.parquet(path)
+        rows = spark.read.parquet(path)
+        if last:
+            forget(spark, last)
+        last = path
     return merges, rows
+
+
+def apply_ranked(tokens: DataFrame, merges: list[tuple[int, int, int]]) -> DataFrame:
+    """(piece_id, pos, tok) with merges (lhs, rhs, new id) applied by rank, leftmost first: passes with merges that are independent, in order."""
+    if len(merges) > MOST_MERGES:
+        raise ValueError(f"{len(merges)} merges are more than the {MOST_MERGES} that may be broadcast")
+    made = {n: r for r, (_, _, n) in enumerate(merges)}
+    if any(made.get(x, -1) >= r for r, (a, b, _) in enumerate(merges) for x in (a, b)):
+        raise ValueError("a merge may only use tokens that merges before it make")
+    spark, rows, done = tokens.sparkSession, tokens.select("piece_id", "pos", "tok"), 0
+    ranked = [(a, b, r, n) for r, (a, b, n) in enumerate(merges)]
+    while done < len(merges):
+        own = independent(ranked[done:], len(merges))
+        done += len(own)
+        rows = keep(merge_pass(rows, spark.createDataFrame([(a, b, n) for a, b, _, n in own], "lhs int, rhs int, new_id int")).select("piece_id", "pos", "tok"), "ranked")
+    return rows

@@ -11,6 +11,7 @@ from notelake.plans import sql as S
 from notelake.plans.pieces import _r
 from notelake.plans.registry import query
 from notelake.sources import bind
+from notelake.sources.interim import keep
 
 _TOL, _TARGET, _GAP = 0.6, 40, 0.3
 _CHORDS = f"""RECURSIVE {S.NOTES.replace("raw0 AS", "raw0 AS", 1)}, nm AS MATERIALIZED (SELECT piece_id, note_ix, onset, duration FROM notes),
@@ -87,61 +88,66 @@ def first_existing_path(spark, sf_dir):
     return d.join(listing, "path", "left_semi").groupBy("doc_id").agg(F.min_by("path", "place").alias("path"))
 
 
-_PAIRS = S.TOKENS + ", pr AS (SELECT tok AS lhs, lead(tok) OVER (PARTITION BY piece_id ORDER BY pos) AS rhs, piece_id * 1000000 + pos AS place FROM tokens), cn AS (SELECT lhs, rhs, count(*) AS freq, min(place) AS first FROM pr WHERE rhs IS NOT NULL GROUP BY 1, 2)"
+#: Ids of the base tokens, merges of one-pass mining (up to the usual vocabulary of 30,000), merges of iterative training.
+_BASE, _FAST, _SLOW = 374, 30_000 - 374, 24
+_PAIRS = S.TOKENS + ", pr AS (SELECT tok AS lhs, lead(tok) OVER (PARTITION BY piece_id ORDER BY pos) AS rhs, {'p': piece_id, 'q': pos} AS place FROM tokens), cn AS (SELECT lhs, rhs, count(*) AS freq, min(place) AS first FROM pr WHERE rhs IS NOT NULL GROUP BY 1, 2)"
+_MERGES = f"{_PAIRS}, mg AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY freq DESC, first) - 1 AS INTEGER) AS rank, lhs, rhs, freq FROM cn WHERE freq >= 2 QUALIFY row_number() OVER (ORDER BY freq DESC, first) <= {_FAST})"
+_PASSED = f"""{_MERGES}, nx AS (SELECT piece_id, pos, tok, onset, onset + duration AS fin, lead(tok) OVER w AS rhs, lead(onset + duration) OVER w AS next_fin FROM tokens WINDOW w AS (PARTITION BY piece_id ORDER BY pos)),
+hm AS (SELECT nx.*, {_BASE} + mg.rank AS new_id FROM nx LEFT JOIN mg ON mg.lhs = nx.tok AND mg.rhs = nx.rhs),
+st AS (SELECT *, pos - 1 - coalesce(max(CASE WHEN new_id IS NULL THEN pos END) OVER (PARTITION BY piece_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS before FROM hm),
+ps AS (SELECT piece_id, CAST(row_number() OVER (PARTITION BY piece_id ORDER BY pos) - 1 AS INTEGER) AS place, CAST(coalesce(new_id, tok) AS INTEGER) AS new, onset, CASE WHEN new_id IS NULL THEN fin ELSE next_fin END AS fin FROM st WHERE before % 2 = 0)"""
 
 
 def _body(spark, sf_dir) -> DataFrame:
     return tokens.body(bind.notes(spark, sf_dir))
 
 
-@query(f"WITH {_PAIRS} SELECT lhs, rhs, freq, first FROM cn")
+@query(f"WITH {_PAIRS} SELECT lhs, rhs, freq, first.p AS first_piece, first.q AS first_pos FROM cn")
 def pair_counts(spark, sf_dir):
-    return pairs.counts(_body(spark, sf_dir))
+    return pairs.counts(_body(spark, sf_dir)).select("lhs", "rhs", "freq", F.col("first.piece_id").alias("first_piece"), F.col("first.pos").alias("first_pos"))
 
 
-@query(f"WITH {_PAIRS} SELECT CAST(row_number() OVER (ORDER BY freq DESC, first) - 1 AS INTEGER) AS rank, lhs, rhs, freq, CAST(row_number() OVER (ORDER BY freq DESC, first) + 373 AS INTEGER) AS new_id FROM cn WHERE freq >= 2 QUALIFY row_number() OVER (ORDER BY freq DESC, first) <= 200")
+@query(f"WITH {_MERGES} SELECT rank, lhs, rhs, freq, rank + {_BASE} AS new_id FROM mg")
 def bpe_fast_merges(spark, sf_dir):
-    """200 merges mined in one pass."""
-    return pairs.top(_body(spark, sf_dir), 200, 374)
+    """All merges up to the usual vocabulary, mined in one pass."""
+    return pairs.top(_body(spark, sf_dir), _FAST, _BASE)
 
 
 def _fast(spark, sf_dir) -> DataFrame:
-    """(piece_id, pos, tok, first, last) of the sequences after one greedy pass with the 200 merges."""
+    """(piece_id, pos, tok, first, last) of the sequences after one greedy pass with the merges of one pass of mining."""
     body = _body(spark, sf_dir)
-    merges = [(r.lhs, r.rhs, r.new_id) for r in pairs.top(body, 200, 374).collect()]  # 200 rows, a stated size
-    seq = tokens.sequences(body)
-    return seq.select("piece_id", F.posexplode(pairs.apply_greedy(F.col("seq"), pairs.merge_map(merges))).alias("pos", "m")).select("piece_id", "pos", "m.tok", "m.first", "m.last")
+    return pairs.merge_pass(body, keep(pairs.top(body, _FAST, _BASE), "merges"))
 
 
-@query()
+@query(f"WITH {_PASSED} SELECT piece_id, place AS pos, new AS tok FROM ps")
 def bpe_apply_fast(spark, sf_dir):
     return _fast(spark, sf_dir).select("piece_id", "pos", "tok")
 
 
-@query()
+@query(f"WITH {_PASSED} SELECT piece_id, place AS pos, new AS tok, round(onset, 6) AS onset, round(greatest(1e-4::DOUBLE, fin - onset), 6) AS duration FROM ps")
 def bpe_group_times(spark, sf_dir):
     """Onset of a merged token's first part; duration to the end of its last."""
-    m, b = _fast(spark, sf_dir), _body(spark, sf_dir)
-    first = b.select("piece_id", F.col("pos").alias("first"), F.col("onset").alias("start"))
-    last = b.select("piece_id", F.col("pos").alias("last"), (F.col("onset") + F.col("duration")).alias("end"))
-    j = m.join(first, ["piece_id", "first"]).join(last, ["piece_id", "last"])
-    return j.select("piece_id", "pos", "tok", _r("start").alias("onset"), _r(F.greatest(F.lit(1e-4), F.col("end") - F.col("start"))).alias("duration"))
+    body = _body(spark, sf_dir)
+    end = F.col("onset") + F.col("duration")
+    times = body.select("piece_id", F.col("pos").alias("first"), F.col("onset").alias("start"), end.alias("fin"), F.lead(end).over(W.partitionBy("piece_id").orderBy("pos")).alias("next_fin"))
+    j = _fast(spark, sf_dir).join(times, ["piece_id", "first"])
+    fin = F.when(F.col("last") > F.col("first"), F.col("next_fin")).otherwise(F.col("fin"))
+    return j.select("piece_id", "pos", "tok", _r("start").alias("onset"), _r(F.greatest(F.lit(1e-4), fin - F.col("start"))).alias("duration"))
 
 
 @query()
 def bpe_iterative(spark, sf_dir):
-    """Six rounds of counting and merging."""
-    merges, _ = pairs.train_iterative(_body(spark, sf_dir), 6, 374)
+    """Counting and merging in turn, up to a stated number of merges."""
+    merges, _ = pairs.train_iterative(_body(spark, sf_dir), _SLOW, _BASE)
     return spark.createDataFrame(merges, "rank int, lhs int, rhs int, freq long")
 
 
 @query()
 def bpe_apply_ranked(spark, sf_dir):
-    """Merges of six rounds applied by rank, leftmost first."""
+    """Those merges applied by rank, leftmost first."""
     body = _body(spark, sf_dir)
-    merges, _ = pairs.train_iterative(body, 6, 374)
-    own = pairs.ranked_merge([(a, b, 374 + r) for r, a, b, _ in merges])
-    return tokens.sequences(body).select("piece_id", F.posexplode(own("seq")).alias("pos", "tok"))
+    merges, _ = pairs.train_iterative(body, _SLOW, _BASE)
+    return pairs.apply_ranked(body, [(a, b, _BASE + r) for r, a, b, _ in merges])
 
 
 @query(

@@ -135,20 +135,49 @@ def test_nucleus_drops_the_class_that_crosses(spark):
 def test_pairs_overlap_in_counts_but_not_in_merges(spark):
     rows = spark.createDataFrame([(1, i, t) for i, t in enumerate([7, 7, 7, 8, 7, 7])], "piece_id long, pos int, tok int")
     assert {(r.lhs, r.rhs): r.freq for r in pairs.counts(rows).collect()} == {(7, 7): 3, (7, 8): 1, (8, 7): 1}
-    seq = tokens.sequences(rows)
-    merged = seq.select(pairs.apply_greedy(F.col("seq"), pairs.merge_map([(7, 7, 100)])).alias("m")).first().m
-    assert [(x.tok, x.first, x.last) for x in merged] == [(100, 0, 1), (7, 2, 2), (8, 3, 3), (100, 4, 5)]
-    ranked = seq.select(pairs.ranked_merge([(7, 8, 100), (7, 7, 101), (101, 100, 102)])("seq").alias("m")).first().m
-    assert ranked == [102, 101]
+    table = spark.createDataFrame([(7, 7, 100)], "lhs int, rhs int, new_id int")
+    assert [(r.pos, r.tok, r.first, r.last) for r in pairs.merge_pass(rows, table).orderBy("pos").collect()] == [(0, 100, 0, 1), (1, 7, 2, 2), (2, 8, 3, 3), (3, 100, 4, 5)]
+    assert [r.tok for r in pairs.apply_ranked(rows, [(7, 8, 100), (7, 7, 101), (101, 100, 102)]).orderBy("pos").collect()] == [102, 101]
+    with pytest.raises(ValueError):
+        pairs.apply_ranked(rows, [(101, 7, 100), (7, 7, 101)])
+
+
+def greedy(seq, merges):
+    out, i = [], 0
+    while i < len(seq):
+        new = merges.get(tuple(seq[i : i + 2]))
+        out.append(seq[i] if new is None else new)
+        i += 1 if new is None else 2
+    return out
+
+
+def test_a_greedy_pass_matches_brute_force_and_is_linear(spark):
+    rng = np.random.default_rng(6)
+    seqs = {p: rng.integers(0, 4, 60).tolist() for p in range(30)}
+    merges = {(0, 1): 10, (1, 1): 11, (1, 2): 12, (2, 0): 13, (3, 3): 14}
+    rows = spark.createDataFrame([(p, i, int(t)) for p, s in seqs.items() for i, t in enumerate(s)], "piece_id long, pos int, tok int")
+    table = spark.createDataFrame([(*k, v) for k, v in merges.items()], "lhs int, rhs int, new_id int")
+    got = {}
+    for r in pairs.merge_pass(rows, table).orderBy("piece_id", "pos").collect():
+        got.setdefault(r.piece_id, []).append(r.tok)
+    assert got == {p: greedy(s, merges) for p, s in seqs.items()}
+    long = spark.range(400_000).selectExpr("7L AS piece_id", "cast(id AS int) AS pos", "cast(hash(id) % 4 AS int) AS tok")
+    assert pairs.merge_pass(long, table).count() < 400_000
+
+
+def test_independent_pairs_of_a_round():
+    assert pairs.independent([(1, 2, 9), (3, 4, 8), (2, 5, 7), (6, 7, 6)], 9) == [(1, 2, 9), (3, 4, 8)]
+    assert pairs.independent([(1, 1, 9), (3, 4, 8)], 9) == [(1, 1, 9)] and pairs.independent([(1, 2, 9), (3, 3, 8)], 9) == [(1, 2, 9)]
+    assert pairs.independent([(1, 2, 9), (3, 4, 8)], 1) == [(1, 2, 9)] and pairs.independent([(1, 2, 0, 100), (100, 3, 1, 101)], 9) == [(1, 2, 0, 100)]
 
 
 def test_iterative_merging_matches_brute_force(spark):
     rng = np.random.default_rng(2)
-    seqs = {p: rng.integers(0, 5, 40).tolist() for p in range(4)}
+    seqs = {p: rng.integers(0, 9, 90).tolist() for p in range(4)}
     rows = spark.createDataFrame([(p, i, int(t)) for p, s in seqs.items() for i, t in enumerate(s)], "piece_id long, pos int, tok int")
-    merges, left = pairs.train_iterative(rows, 3, 100)
+    merges, left = pairs.train_iterative(rows, 9, 100)
     want = []
-    for r in range(3):
+    for r in range(9):
         freq, first = {}, {}
         for p, s in seqs.items():
             for i, pair in enumerate(zip(s, s[1:])):
