@@ -17,8 +17,9 @@ def to_int(c: Column | str, fallback: int) -> Column:
 
 
 def to_double(c: Column | str, fallback: float) -> Column:
+    """Decimal numbers, with an exponent or without; infinities and what is no number take the fallback."""
     t = _text(c)
-    return F.coalesce(F.when(t.rlike(r"^[+-]?[0-9.]+(e[0-9]+)?$"), t.try_cast("double")), F.lit(fallback))
+    return F.coalesce(F.when(t.rlike(r"(?i)^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)(e[+-]?[0-9]+)?$"), t.try_cast("double")), F.lit(fallback))
 
 
 def to_bool(c: Column | str) -> Column:

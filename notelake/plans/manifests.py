@@ -42,12 +42,11 @@ def generated_suffix(spark, sf_dir):
     return s.select("piece_id", F.size("seq").alias("n"), text(suffix).alias("generated"), F.md5(text(F.concat(F.slice("seq", 1, 32), suffix))).alias("joined"))
 
 
-@query("WITH d AS (SELECT label, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b FROM embeddings) SELECT label, round(max(a), 6) AS most, round(min(a), 6) AS least, round(avg(b), 6) AS mean, count(*) FILTER (b > 0) AS positive FROM d GROUP BY label")
+@query("WITH d AS (SELECT label, unnest(embedding)::DOUBLE AS a FROM embeddings) SELECT label, round(max(a), 6) AS most, round(min(a), 6) AS least, round(avg(a), 6) AS mean, count(*) FILTER (a > 0) AS positive FROM d GROUP BY label")
 def generation_stats(spark, sf_dir):
-    """Largest, least and mean of diagnostics."""
-    s = bind.scores(spark, sf_dir)
-    a, b = F.get("logits", F.lit(0)), F.get("logits", F.lit(1))
-    return s.groupBy(F.col("target").alias("label")).agg(_r(F.max(a)).alias("most"), _r(F.min(a)).alias("least"), _r(F.avg(b)).alias("mean"), F.count_if(b > 0).alias("positive"))
+    """Largest, least and mean of all diagnostics."""
+    s = bind.scores(spark, sf_dir).select(F.col("target").alias("label"), F.explode("logits").alias("a"))
+    return s.groupBy("label").agg(_r(F.max("a")).alias("most"), _r(F.min("a")).alias("least"), _r(F.avg("a")).alias("mean"), F.count_if(F.col("a") > 0).alias("positive"))
 
 
 @query("WITH m AS (SELECT doc_id, 'chunk_' || (doc_id // 300) || '/manifest.json' AS file, 'packs/' || doc_id || '.npz' AS rel FROM documents UNION ALL SELECT doc_id, 'chunk_' || (doc_id // 300) || '/manifest.json', 'packs/' || doc_id || '.npz' FROM documents WHERE doc_id < 300), f AS (SELECT DISTINCT file FROM m) SELECT DISTINCT m.doc_id, regexp_replace(file, '/[^/]*$', '') || '/' || rel AS path FROM m JOIN f USING (file)")

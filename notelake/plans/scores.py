@@ -142,10 +142,10 @@ def cosine_pairs(spark, sf_dir):
     return s.join(b, "vec_id").select("vec_id", _r(features.cosine(F.col("logits"), F.col("other"))).alias("cosine"))
 
 
-@query("WITH s AS (SELECT vec_id // 64 AS batch, vec_id % 64 AS pos, CASE WHEN vec_id % 5 = 0 THEN 0.5::DOUBLE ELSE CAST(embedding[1] AS DOUBLE) END AS score FROM embeddings), t AS (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY score DESC, pos) AS rank FROM s) SELECT batch, pos, row_number() OVER (PARTITION BY batch ORDER BY pos) AS place FROM t WHERE rank <= 8")
+@query("WITH s AS (SELECT vec_id // 64 AS batch, vec_id % 64 AS pos, CASE WHEN vec_id % 5 = 0 THEN 0.5::DOUBLE ELSE round(list_max(embedding)::DOUBLE, 9) END AS score FROM embeddings), t AS (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY score DESC, pos) AS rank FROM s) SELECT batch, pos, row_number() OVER (PARTITION BY batch ORDER BY pos) AS place FROM t WHERE rank <= 8")
 def memory_topk(spark, sf_dir):
-    """The eight best candidates of a batch (those held already score 0.5), put back in order of position."""
-    s = bind.scores(spark, sf_dir).select(F.col("batch").cast("long").alias("batch"), F.col("pos").cast("long").alias("pos"), F.when(F.col("vec_id") % 5 == 0, 0.5).otherwise(F.get("logits", F.lit(0))).alias("score"))
+    """The eight best candidates of a batch, by their largest value (those held already score 0.5), put back in order of position."""
+    s = bind.scores(spark, sf_dir).select(F.col("batch").cast("long").alias("batch"), F.col("pos").cast("long").alias("pos"), F.when(F.col("vec_id") % 5 == 0, 0.5).otherwise(F.round(F.array_max("logits"), 9)).alias("score"))
     t = s.withColumn("rank", F.row_number().over(W.partitionBy("batch").orderBy(F.desc("score"), "pos"))).filter("rank <= 8")
     return t.select("batch", "pos", F.row_number().over(W.partitionBy("batch").orderBy("pos")).cast("long").alias("place"))
 

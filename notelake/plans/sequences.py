@@ -186,12 +186,12 @@ def resample_features(spark, sf_dir):
     return a.select("piece_id", "i", _r(low + (at - lo) * (high - low)).alias("value"))
 
 
-@query(f"WITH {_ON}, e AS (SELECT piece_id, flatten(list_transform(a[1:5], lambda v, j: list_transform(range(0, 17 // 5 + CASE WHEN j - 1 < 17 % 5 THEN 1 ELSE 0 END), lambda k: v))) AS b FROM arr WHERE len(a) >= 5) SELECT piece_id, CAST(len(b) AS INTEGER) AS n, round(list_sum(b), 6) AS total FROM e")
+@query(f"WITH {_ON}, e AS (SELECT piece_id, flatten(list_transform(a, lambda v, j: list_transform(range(0, t // len(a) + CASE WHEN j - 1 < t % len(a) THEN 1 ELSE 0 END), lambda k: v))) AS b FROM (SELECT *, 3 * len(a) + 2 AS t FROM arr)) SELECT piece_id, CAST(len(b) AS INTEGER) AS n, round(list_sum(b), 6) AS total FROM e")
 def expand_features(spark, sf_dir):
-    """Five values spread over 17 places: each 17 // 5 times, the first 17 % 5 once more."""
-    a = _onsets(spark, sf_dir).filter(F.size("a") >= 5)
-    b = F.flatten(F.transform(F.slice("a", 1, 5), lambda v, j: F.array_repeat(v, F.when(j < 17 % 5, 4).otherwise(3))))
-    return a.select("piece_id", b.alias("b")).select("piece_id", F.size("b").alias("n"), _r(F.aggregate("b", F.lit(0.0), lambda s, v: s + v)).alias("total"))
+    """All values of a piece spread over three places each and two more: each t // n times, the first t % n once more."""
+    a = _onsets(spark, sf_dir).withColumn("n", F.size("a")).withColumn("t", 3 * F.col("n") + 2)
+    times = lambda j: F.floor(F.col("t") / F.col("n")).cast("int") + (j < F.col("t") % F.col("n")).cast("int")
+    return a.select("piece_id", F.flatten(F.transform("a", lambda v, j: F.array_repeat(v, times(j)))).alias("b")).select("piece_id", F.size("b").alias("n"), _r(F.aggregate("b", F.lit(0.0), lambda s, v: s + v)).alias("total"))
 
 
 @query(f"WITH {_ON}, g AS (SELECT piece_id, note_ix, onset, CAST(note_ix // 3 AS INTEGER) AS grp FROM notes) SELECT piece_id, grp, round(min_by(onset, note_ix), 6) AS onset FROM g GROUP BY 1, 2")
@@ -218,9 +218,9 @@ def time_feature_fallback(spark, sf_dir):
     return f.select("piece_id", F.size("f").alias("n"), _r(F.aggregate("f", F.lit(0.0), lambda s, v: s + v)).alias("total"))
 
 
-@query(f"WITH {S.NOTES}, r AS (SELECT piece_id, pitch, CAST(unnest(range(CAST(floor(onset * 2) AS BIGINT), CAST(floor((onset + duration) * 2) AS BIGINT) + 1)) AS BIGINT) AS frame, velocity FROM notes WHERE onset < 50) SELECT piece_id, pitch, frame, round(ln(1 + max(velocity)), 6) AS level FROM r GROUP BY 1, 2, 3")
+@query(f"WITH {S.NOTES}, r AS (SELECT piece_id, pitch, CAST(unnest(range(CAST(floor(onset * 2) AS BIGINT), CAST(floor((onset + duration) * 2) AS BIGINT) + 1)) AS BIGINT) AS frame, velocity FROM notes) SELECT piece_id, pitch, frame, round(ln(1 + max(velocity)), 6) AS level FROM r GROUP BY 1, 2, 3")
 def piano_roll(spark, sf_dir):
-    """All notes as a (pitch, frame) raster at two frames a second (the SQL takes onsets below 50, which the given tables don't reach)."""
+    """All notes as a (pitch, frame) raster at two frames a second."""
     n = bind.notes(spark, sf_dir)
     frames = F.explode(F.sequence(F.floor(F.col("onset") * 2), F.floor((F.col("onset") + F.col("duration")) * 2)))
     return n.select("piece_id", "pitch", "velocity", frames.alias("frame")).groupBy("piece_id", "pitch", "frame").agg(_r(F.log1p(F.max("velocity"))).alias("level"))
@@ -298,11 +298,11 @@ def batch_assign(spark, sf_dir):
     return _ranked(spark, sf_dir).select("piece_id", (at % 4).alias("worker"), F.floor(F.floor(at / 4) / 8).alias("batch"))
 
 
-@query(f"WITH {S.TOKENS} SELECT piece_id, pos, CASE WHEN tok <= 127 THEN 'Delta_' || tok WHEN tok <= 215 THEN 'Pitch_' || (tok - 107) WHEN tok <= 343 THEN 'Duration_' || (tok - 216) ELSE 'Velocity_' || (tok - 344) END AS label, CASE WHEN tok <= 127 THEN tok WHEN tok <= 215 THEN tok - 107 WHEN tok <= 343 THEN tok - 216 ELSE tok - 344 END AS parsed FROM tokens WHERE piece_id % 10 = 0")
+@query(f"WITH {S.TOKENS} SELECT piece_id, pos, CASE WHEN tok <= 127 THEN 'Delta_' || tok WHEN tok <= 215 THEN 'Pitch_' || (tok - 107) WHEN tok <= 343 THEN 'Duration_' || (tok - 216) ELSE 'Velocity_' || (tok - 344) END AS label, CASE WHEN tok <= 127 THEN tok WHEN tok <= 215 THEN tok - 107 WHEN tok <= 343 THEN tok - 216 ELSE tok - 344 END AS parsed FROM tokens")
 def token_labels(spark, sf_dir):
     """Readable labels of tokens, and the number parsed back out of each."""
     t = F.col("tok")
     kind = F.initcap(Q.kind_of(t))
     number = F.when(t <= 127, t).when(t <= 215, t - 107).when(t <= 343, t - 216).otherwise(t - 344)
-    rows = _body(spark, sf_dir).filter("piece_id % 10 = 0").select("piece_id", "pos", F.concat_ws("_", kind, number.cast("string")).alias("label"))
+    rows = _body(spark, sf_dir).select("piece_id", "pos", F.concat_ws("_", kind, number.cast("string")).alias("label"))
     return rows.select("piece_id", "pos", "label", F.regexp_extract("label", r"_(\d+)$", 1).cast("int").alias("parsed"))
