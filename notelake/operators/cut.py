@@ -2,24 +2,35 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
 def chords(notes: DataFrame, tolerance: float) -> DataFrame:
-    """(piece_id, note_ix, grp, onset, duration): groups anchored on their first onset (a fold, as a lag can't see the anchor)."""
-    rows = notes.groupBy("piece_id").agg(F.array_sort(F.collect_list(F.struct("note_ix", "onset", "duration"))).alias("a"))
-    kind = "array<int>"
-    start = F.struct(F.lit(-1e9).alias("anchor"), F.lit(-1).alias("grp"), F.array().cast(kind).alias("out"))
+    """(piece_id, note_ix, grp, onset, duration): groups anchored on their first onset.
+
+    A lag can't see the anchor, so sorted rows stream through a fold that holds one
+    anchor, not a piece.
+    """
 
-    def push(s, e):
-        new = F.abs(e["onset"] - s["anchor"]) > tolerance
-        grp = s["grp"] + F.when(new, 1).otherwise(0)
-        return F.struct(F.when(new, e["onset"]).otherwise(s["anchor"]).alias("anchor"), grp.alias("grp"), F.concat(s["out"], F.array(grp)).alias("out"))
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        piece, anchor, grp = None, 0.0, -1
+        for frame in frames:
+            out = []
+            for p, onset in zip(frame["piece_id"].tolist(), frame["onset"].tolist(), strict=True):
+                if p != piece:
+                    piece, anchor, grp = p, onset, 0
+                elif abs(onset - anchor) > tolerance:
+                    anchor, grp = onset, grp + 1
+                out.append(grp)
+            yield frame.assign(grp=pd.Series(out, dtype="int32", index=frame.index))
 
-    folded = rows.select("piece_id", F.inline(F.arrays_zip(F.col("a").alias("n"), F.aggregate("a", start, push, lambda s: s["out"]).alias("grp"))))
-    return folded.select("piece_id", F.col("n.note_ix").alias("note_ix"), "grp", F.col("n.onset").alias("onset"), F.col("n.duration").alias("duration"))
+    rows = notes.select("piece_id", "note_ix", "onset", "duration", F.lit(0).alias("grp")).repartition("piece_id").sortWithinPartitions("piece_id", "note_ix")
+    return rows.mapInPandas(fold, rows.schema).select("piece_id", "note_ix", "grp", "onset", "duration")
 
 
 def groups(chorded: DataFrame) -> DataFrame:
@@ -34,12 +45,21 @@ def nearest(points: DataFrame, anchors: DataFrame, name: str) -> DataFrame:
     return rows.select("piece_id", "grp", F.least(F.col("t") - back, ahead - F.col("t")).alias(name)).filter("grp IS NOT NULL")
 
 
+def distances(points: DataFrame, beats: DataFrame) -> DataFrame:
+    """``points`` (piece_id, t, ...) with the distances to the piece's nearest beat and downbeat: four as-of probes in one sort, and no join."""
+    marks = beats.select("piece_id", "t", F.col("t").alias("at"), F.when(F.col("beat") % 4 == 0, F.col("t")).alias("down_at"))
+    rows = points.withColumn("point", F.lit(True)).unionByName(marks, allowMissingColumns=True)
+    w = W.partitionBy("piece_id").orderBy("t")
+    near = lambda c: F.least(F.col("t") - F.last(c, True).over(w.rangeBetween(W.unboundedPreceding, 0)), F.first(c, True).over(w.rangeBetween(0, W.unboundedFollowing)) - F.col("t"))
+    return rows.select("*", near("at").alias("beat"), near("down_at").alias("downbeat")).filter("point").drop("point", "at", "down_at")
+
+
 def candidates(g: DataFrame, beats: DataFrame, target: int, least_gap: float) -> DataFrame:
     """A candidate cut after each group: kept notes, next gap, distances and score (lower is better)."""
     w = W.partitionBy("piece_id").orderBy("grp")
     c = g.select("piece_id", "grp", F.sum("n").over(w.rowsBetween(W.unboundedPreceding, 0)).alias("kept"), F.col("end").alias("t"), (F.lead("onset").over(w) - F.col("end")).alias("gap"))
-    down = beats.filter("beat % 4 = 0")
-    c = c.join(nearest(c, beats, "beat"), ["piece_id", "grp"]).join(nearest(c, down, "downbeat"), ["piece_id", "grp"])
+    c = distances(c, beats)
+    #: Weights of the score's terms.
     token = F.when(F.col("kept") <= target, (target - F.col("kept")) * 2.0).otherwise((F.col("kept") - target) * 3.0)
     gap = (
         F.when(F.col("gap").isNull(), -0.5).when(F.col("gap") >= least_gap, 0.0)

@@ -28,10 +28,26 @@ def polyphony(notes: DataFrame) -> DataFrame:
 
 
 def quartiles(densities: DataFrame) -> DataFrame:
-    """One row (q1, q2, q3), calibrated on eight pieces or more, else the defaults; sorted with gaps of 1e-4 at least."""
-    q = densities.filter("density > 0").agg(F.percentile("density", F.array(*[F.lit(p) for p in (0.25, 0.5, 0.75)])).alias("q"), F.count(F.lit(1)).alias("n"))
-    known = lambda i: F.when(F.col("n") >= 8, F.col("q")[i]).otherwise(F.lit(spec.DEFAULT_QUARTILES[i]))
-    q = q.select(F.greatest(F.lit(1e-4), known(0)).alias("q1"), known(1).alias("a2"), known(2).alias("a3"))
+    """One row (q1, q2, q3), calibrated on eight pieces or more, else the defaults; sorted with gaps of 1e-4 at least.
+
+    Exact, and no task sees all values: equal ones are counted first, and ranks are
+    running counts within logarithmic buckets after a running count over the buckets
+    (65,536 at most, by the range of a double), which are broadcast.
+    """
+    v = densities.filter("density > 0").groupBy("density").agg(F.count(F.lit(1)).alias("c")).withColumn("bucket", F.floor(F.log2("density") * 32))
+    sizes = v.groupBy("bucket").agg(F.sum("c").alias("size"))
+    every = W.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    starts = sizes.select("bucket", F.coalesce(F.sum("size").over(every), F.lit(0)).alias("start"), F.sum("size").over(W.partitionBy(F.lit(1))).alias("n"))
+    end = F.col("start") + F.sum("c").over(W.partitionBy("bucket").orderBy("density").rowsBetween(W.unboundedPreceding, 0))
+    v = v.join(F.broadcast(starts), "bucket").select("density", "n", (end - F.col("c")).alias("first"), end.alias("end"))
+    at = lambda place: F.max(F.when((F.col("first") <= place) & (place < F.col("end")), F.col("density")))
+    place = lambda p: (F.col("n") - 1) * F.lit(p)
+    found = [x for k, p in enumerate((0.25, 0.5, 0.75)) for x in (at(F.floor(place(p))).alias(f"low{k}"), at(F.ceil(place(p))).alias(f"high{k}"))]
+    q = v.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), *found)
+    part = lambda p: place(p) - F.floor(place(p))
+    exact = lambda k, p: F.col(f"low{k}") * (1 - part(p)) + F.col(f"high{k}") * part(p)
+    known = lambda k, p: F.when(F.col("n") >= 8, exact(k, p)).otherwise(F.lit(spec.DEFAULT_QUARTILES[k]))
+    q = q.select(F.greatest(F.lit(1e-4), known(0, 0.25)).alias("q1"), known(1, 0.5).alias("a2"), known(2, 0.75).alias("a3"))
     q = q.select("q1", F.greatest("a2", F.col("q1") + F.lit(1e-4)).alias("q2"), "a3")
     return q.select("q1", "q2", F.greatest("a3", F.col("q2") + F.lit(1e-4)).alias("q3"))
 
@@ -89,14 +105,19 @@ def regularity(notes: DataFrame) -> DataFrame:
 
 
 def statistics(notes: DataFrame) -> DataFrame:
-    """(piece_id, n_notes, note_density, mean_velocity, regularity, entropy, classes)."""
-    base = notes.groupBy("piece_id").agg(
-        F.count(F.lit(1)).alias("n_notes"), F.max(F.col("onset") + F.col("duration")).alias("end"), F.avg("velocity").alias("mean_velocity")
+    """(piece_id, n_notes, note_density, mean_velocity, regularity, entropy, classes): one scan and one shuffle."""
+    gap = F.col("onset") - F.lag("onset").over(W.partitionBy("piece_id").orderBy("onset", "note_ix"))
+    rows = notes.select("piece_id", "onset", "duration", "velocity", "pitch", F.when(gap > 1e-4, gap).alias("used"))
+    one = rows.groupBy("piece_id").agg(
+        F.count(F.lit(1)).alias("n_notes"), F.max(F.col("onset") + F.col("duration")).alias("end"), F.avg("velocity").alias("mean_velocity"), F.avg("used").alias("mean_gap"), F.stddev_pop("used").alias("gap_std"),
+        *[F.count(F.when(F.col("pitch") % 12 == c, 1)).alias(f"c{c}") for c in range(12)],
+    )
+    one = one.select("*", F.array(*[F.col(f"c{c}") / F.col("n_notes") for c in range(12)]).alias("classes"))
+    bits = F.aggregate("classes", F.lit(0.0), lambda s, x: s + F.when(x > 0, -x * F.log2(x)).otherwise(0.0))
+    regular = F.when((F.col("n_notes") >= 3) & (F.col("mean_gap") > 1e-8), F.col("gap_std") / F.col("mean_gap")).otherwise(0.0)
+    return one.select(
+        "piece_id", "n_notes", F.when(F.col("end") > 0, F.col("n_notes") / F.col("end")).otherwise(0.0).alias("note_density"), "mean_velocity", regular.alias("regularity"), bits.alias("entropy"), "classes"
     )
-    base = base.select("piece_id", "n_notes", F.when(F.col("end") > 0, F.col("n_notes") / F.col("end")).otherwise(0.0).alias("note_density"), "mean_velocity")
-    classes = pitch_classes(notes)
-    vector = classes.groupBy("piece_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pitch_class", "share"))), lambda s: s["share"]).alias("classes"))
-    return base.join(regularity(notes), "piece_id").join(entropy(classes), "piece_id").join(vector, "piece_id")
 
 
 def cosine(a, b):

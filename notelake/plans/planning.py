@@ -62,7 +62,8 @@ def best_cut(spark, sf_dir):
 @query(f"WITH {_CHORDS} SELECT c.piece_id, c.note_ix FROM chord c JOIN best b ON b.piece_id = c.piece_id AND c.grp <= b.grp")
 def kept_notes(spark, sf_dir):
     """The notes before the best cut (a semi-join on piece and note)."""
-    chorded, chosen = _chords(spark, sf_dir), cut.best(_candidates(spark, sf_dir), _TARGET).select("piece_id", F.col("grp").alias("last"))
+    chorded = keep(_chords(spark, sf_dir), "chords")
+    chosen = cut.best(cut.candidates(cut.groups(chorded), _beats(spark, sf_dir), _TARGET, _GAP), _TARGET).select("piece_id", F.col("grp").alias("last"))
     kept = chorded.join(chosen, "piece_id").filter("grp <= last").select("piece_id", "note_ix")
     return bind.notes(spark, sf_dir).join(kept, ["piece_id", "note_ix"], "left_semi").select("piece_id", "note_ix")
 
