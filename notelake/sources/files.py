@@ -1,8 +1,7 @@
 """Files as tables: listings, archive members, manifests and logs.
 
 Listings come from Spark's binary file source (no content is read unless asked
-for), so any store that Spark reads will do. Members of a tar archive are read in
-archive order by one task per archive, a member at a time.
+for), so any store that Spark reads will do.
 """
 
 from __future__ import annotations
@@ -12,6 +11,7 @@ import tarfile
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -39,7 +39,11 @@ def indexed(files: DataFrame, any_case: bool = True) -> DataFrame:
 
 
 def archive_members(spark: SparkSession, root: str, with_content: bool = False) -> DataFrame:
-    """(archive, place, name, size, content) of the members of the tar archives below a folder, in archive order."""
+    """(archive, place, name, size, content) of the members of the tar archives below a folder, in archive order, a member at a time.
+
+    An archive reaches its task as one cell, so it may have 2 GB at most; larger ones
+    need to be written in parts (see :func:`write_archives`, which bounds them).
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = ["archive", "place", "name", "size", "content"]
@@ -51,13 +55,64 @@ def archive_members(spark: SparkSession, root: str, with_content: bool = False)
                         data = tar.extractfile(m).read() if with_content else None
                         yield pd.DataFrame([(path, place, m.name, m.size, data)], columns=columns)
 
-    tars = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.tar*").load(root)
+    tars = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{tar,tar.*,txt}").load(root)
     return tars.select("path", "content").mapInPandas(run, "archive string, place long, name string, size long, content binary")
 
 
+def write_archives(members: DataFrame, folder: str, most_bytes: int = 64_000_000) -> None:
+    """(name, content) rows as tar archives of bounded size, each a file of its own.
+
+    Spark's text writer ends a row with a line separator; a tar ends with zero bytes,
+    of which the last is left to it.
+    """
+
+    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out, tar = None, None
+        for frame in frames:
+            for name, content in zip(frame["name"], frame["content"], strict=True):
+                if tar is None:
+                    out = io.BytesIO()
+                    tar = tarfile.open(fileobj=out, mode="w")
+                info = tarfile.TarInfo(name)
+                info.size = len(content)
+                tar.addfile(info, io.BytesIO(content))
+                if out.tell() >= most_bytes:
+                    tar.close()
+                    yield pd.DataFrame({"archive": [out.getvalue()[:-1]]})
+                    tar = None
+        if tar is not None:
+            tar.close()
+            yield pd.DataFrame({"archive": [out.getvalue()[:-1]]})
+
+    packed = members.select("name", "content").mapInPandas(pack, "archive binary")
+    packed.select(F.col("archive").cast("string").alias("value")).write.options(lineSep="\0", compression="none", maxRecordsPerFile=1).text(folder)
+
+
+def archive_index(spark: SparkSession, root: str, cache: str) -> DataFrame:
+    """(archive, place, name, size) of all members, read once: the index written at ``cache`` is used again as long as it lists the same archives with the same lengths and times."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    state = files.agg(F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)")).cast("string").alias("state"), F.count(F.lit(1)).alias("n"))
+    key = "-".join(map(str, state.first()))
+    path = f"{cache}/{key}"
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:  # no index of this state yet
+        archive_members(spark, root).drop("content").write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path)
+
+
+def read_members(spark: SparkSession, root: str, wanted: DataFrame) -> DataFrame:
+    """(name, content) for every name wanted, null where no archive has it; of several members of one name the first in path order counts."""
+    members = archive_members(spark, root, True).join(wanted.select("name").distinct(), "name", "left_semi")
+    first = members.groupBy("name").agg(F.min_by("content", F.struct("archive", "place")).alias("content"))
+    return wanted.select("name").join(first, "name", "left")
+
+
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """A manifest as a JSON array or a document per line; rows that don't parse are dropped, the length falls back to the tokens."""
-    rows = spark.read.schema(MANIFEST).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
+    """A manifest as a JSON array, or as JSON lines (which Spark splits over tasks); rows that don't parse are dropped, the length falls back to the tokens."""
+    head = spark.read.text(path).select(F.trim("value").alias("v")).filter("v <> ''").first()
+    whole = bool(head and head.v.startswith("["))
+    rows = spark.read.schema(MANIFEST).option("multiLine", whole).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
     return rows.filter("_bad IS NULL").drop("_bad").withColumn("length", F.coalesce("length", "tokens")).withColumn("npz_path", F.coalesce("npz_path", F.concat("md5", F.lit(".npz"))))
 
 

@@ -2,13 +2,17 @@
 
 The file source with ``availableNow`` stands for the resumable scan: the
 checkpoint remembers which files are done, a restart takes only new ones, and an
-output written twice by a retried batch is overwritten by its batch id.
+output written twice by a retried batch is overwritten by its batch id. Indexes are
+written once, whichever files bring them (:func:`pending` and :func:`first_accepted`
+are the same for batch jobs).
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 from pyspark.sql.types import StructType
 
 from notelake.functions import clean
@@ -24,7 +28,14 @@ def ingest(spark: SparkSession, folder: str, names: str, schema: StructType, man
     )
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        # a batch that is retried overwrites its own folder, so nothing is written twice
+        # an index that another batch has written, or that stands twice in this one, is not written again; a batch that is retried overwrites its own folder
+        batch = batch.dropDuplicates(["index"])
+        try:
+            done = batch.sparkSession.read.parquet(manifest)
+        except AnalysisException:  # the first batch
+            done = None
+        if done is not None:
+            batch = batch.join(done.filter(F.col("batch") != batch_id).select("index"), "index", "left_anti")
         batch.write.mode("overwrite").parquet(f"{manifest}/batch={batch_id}")
         done = batch.sparkSession.read.parquet(f"{manifest}/batch={batch_id}")
         sums = done.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("status") == "accepted").alias("accepted"), F.min("index").alias("start_index"), F.max("index").alias("end_index"))
@@ -44,6 +55,27 @@ def stream_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/manifest").select("index", "status", "pack", "length")
 
 
+def pending(rows: DataFrame, done: DataFrame) -> DataFrame:
+    """Rows whose index isn't done yet, one for each index."""
+    return rows.dropDuplicates(["index"]).join(done.select("index"), "index", "left_anti")
+
+
+def first_accepted(rows: DataFrame, most: int, chunk: int = 100_000) -> DataFrame:
+    """Rows (index, accepted, ...) in index order up to the one that brings the number accepted to ``most``; all of them if it isn't reached.
+
+    Chunks of indexes are counted first; only the chunk in which the number is
+    reached is ranked, so no task sorts the whole table.
+    """
+    rows = rows.withColumn("__chunk", F.floor(F.col("index") / chunk))
+    counts = rows.groupBy("__chunk").agg(F.count_if("accepted").alias("__n"))
+    before = counts.select("__chunk", "__n", F.coalesce(F.sum("__n").over(W.orderBy("__chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    rows = rows.join(before.filter(F.col("__before") < most), "__chunk")
+    own = F.coalesce(F.sum(F.col("accepted").cast("int")).over(W.partitionBy("__chunk").orderBy("index").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    whole, last = rows.filter(F.col("__before") + F.col("__n") < most), rows.filter(F.col("__before") + F.col("__n") >= most)
+    last = last.withColumn("__at", F.col("__before") + own).filter(F.col("__at") < most).drop("__at")
+    return whole.unionByName(last).drop("__chunk", "__n", "__before")
+
+
 def running_counts(events: DataFrame, late: str = "10 minutes", width: str = "5 minutes") -> DataFrame:
     """An extension (the source pipeline has no event-time windows): counts and sums of a stream by window and type, with a watermark."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))

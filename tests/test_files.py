@@ -27,6 +27,41 @@ def test_archive_members_keep_their_order(spark, tmp_path):
     rows = files.archive_members(spark, str(tmp_path), True).orderBy("place").collect()
     assert [(r.name, r.size, bytes(r.content)) for r in rows] == [("z.mid", 1, b"1"), ("a.mid", 2, b"22")]
     assert files.archive_members(spark, str(tmp_path)).first().content is None
+    wanted = spark.createDataFrame([("a.mid",), ("none.mid",)], "name string")
+    assert {r.name: r.content and bytes(r.content) for r in files.read_members(spark, str(tmp_path), wanted).collect()} == {"a.mid": b"22", "none.mid": None}
+
+
+def test_archives_are_written_in_parts_and_their_index_is_kept(spark, tmp_path):
+    rows = spark.createDataFrame([(f"m{i}", bytes([i % 7]) * (i * 100)) for i in range(40)], "name string, content binary").coalesce(1)
+    files.write_archives(rows, str(tmp_path / "tars"), 20_000)
+    assert len(list((tmp_path / "tars").glob("part-*"))) > 3
+    first = files.archive_index(spark, str(tmp_path / "tars"), str(tmp_path / "cache"))
+    assert {(r.name, r.size) for r in first.collect()} == {(f"m{i}", i * 100) for i in range(40)}
+    again = files.archive_index(spark, str(tmp_path / "tars"), str(tmp_path / "cache"))
+    assert again.inputFiles() == first.inputFiles() and len(list((tmp_path / "cache").iterdir())) == 1
+
+
+def test_ingest_writes_an_index_once_and_stops_early(spark, tmp_path):
+    from notelake.streaming import ingest
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    make = lambda ids, name: spark.createDataFrame([(i, "", "en", "s", 100 + i * 10) for i in ids], schema).coalesce(1).write.parquet(str(tmp_path / "in" / name))
+    make([1, 2, 2, 30], "a.parquet")
+    files_in = str(tmp_path / "in" / "*")
+    run = lambda: ingest.ingest(spark, files_in, "*.parquet", spark.read.schema(schema).parquet(files_in).schema, *(str(tmp_path / n) for n in ("manifest", "ledger", "check")), 1)
+    run()
+    make([2, 30, 4, 5], "b.parquet")
+    run()
+    got = sorted(r["index"] for r in spark.read.parquet(str(tmp_path / "manifest")).collect())
+    assert got == [1, 2, 4, 5, 30]
+    rows = spark.createDataFrame([(i, i % 3 == 0) for i in range(50)], "index long, accepted boolean").repartition(4)
+    for most in (1, 5, 17, 99):
+        want, n = [], 0
+        for i in range(50):
+            if n < most:
+                want.append(i)
+                n += i % 3 == 0
+        assert sorted(r["index"] for r in ingest.first_accepted(rows, most, 7).collect()) == want
 
 
 def test_manifests_logs_and_histories(spark, tmp_path):
