@@ -23,14 +23,17 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
 from notelake.llm.common import id_and_text
 
+#: Texts whose ids a task holds at a time.
+SLICE = 200
 #: Pre-tokens that one worker remembers before it starts anew.
-CACHE = 200_000
+CACHE = 100_000
 #: Longest pre-token worth remembering.
 CACHE_CHARS = 40
 
@@ -152,10 +155,20 @@ class ByteBpe:
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(doc_id, ids, decoded) of every document."""
-    bpe = ByteBpe(docs.sparkSession, path, pattern)
-    ids = id_and_text(docs).select("doc_id", bpe.encode("text").alias("ids"))
-    return ids.select("doc_id", "ids", bpe.decode("ids").alias("decoded"))
+    """(doc_id, ids, decoded) of every document: encoded, and decoded from the ids, in one pass over Arrow batches, ``SLICE`` rows at a time."""
+    shared = docs.sparkSession.sparkContext.broadcast((build_model(read_ranks(path)), pattern))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = Codec(*shared.value)
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                ids = [codec.encode(t) for t in part.column(1).to_pylist()]
+                decoded = pa.array([codec.decode(i.tolist()) for i in ids], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), decoded], ["doc_id", "ids", "decoded"])
+
+    rows = id_and_text(docs)
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded binary")
 
 
 def digests(encoded: DataFrame) -> DataFrame:
