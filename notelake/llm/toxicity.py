@@ -166,7 +166,7 @@ def scorer(spark: SparkSession, model: tuple[np.ndarray, float] | None):
                 found: set[int] = set()
                 for word in distinct_words(text):
                     if (features := known.get(word)) is None:
-                        features = known[word] = [f for f in word_features(word) if weights[f]]
+                        features = known[word] = tuple(f for f in word_features(word) if weights[f])
                     if features:
                         found.update(features)
                 out.append(intercept + sum(map(weights.__getitem__, sorted(found))))
