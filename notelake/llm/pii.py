@@ -86,18 +86,28 @@ def running_starts(values: Column) -> Column:
     return F.flatten(F.transform(parts, lambda p: _scan(p["c"], p["s"])))
 
 
-def _pieces(text: Column, kind: str) -> Column:
+def unmarked(text: Column) -> Column:
+    """The text with another character where it holds a mark of its own."""
+    return F.when(text.contains(_OPEN) | text.contains(_CLOSE), F.translate(text, _OPEN + _CLOSE, _PLAIN * 2)).otherwise(text)
+
+
+def cut_at(text: Column, pattern: str) -> Column:
     """The text cut before each match; a piece but the first starts with its match and a mark."""
-    marked = F.split(F.regexp_replace(text, PATTERNS[kind], f"{_OPEN}$0{_CLOSE}"), _OPEN)
+    return F.split(F.regexp_replace(text, pattern, f"{_OPEN}$0{_CLOSE}"), _OPEN)
+
+
+def _pieces(text: Column, kind: str) -> Column:
+    """The text cut before each match, null where a cheap test says that there is none."""
+    marked = cut_at(text, PATTERNS[kind])
     return F.when(F.contains(text, F.lit(NEEDS[kind])), marked) if kind in NEEDS else marked
 
 
-def _starts(pieces: Column) -> Column:
+def starts_of(pieces: Column) -> Column:
     """Where each piece of a text starts."""
     return running_starts(F.transform(pieces, lambda p, i: F.char_length(p) - F.when(i > 0, 1).otherwise(0)))
 
 
-def _proposals(pieces: Column, starts: Column) -> Column:
+def proposals(pieces: Column, starts: Column) -> Column:
     """Structs (start, match, before, after) of columns of pieces and their starts.
 
     Whatever is not an element is an argument of the transform, never part of its
@@ -144,14 +154,14 @@ def _valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def _confirmed(kind: str, proposals: Column) -> Column:
+def _confirmed(kind: str, found: Column) -> Column:
     """Structs (start, order, end, kind, score) of the proposals that stay."""
     near = lambda p: F.concat_ws(" | ", p["before"], p["after"])
     score = lambda p: (
         F.lit(START[kind]) + F.when(near(p).rlike(CONTEXT[kind]), F.lit(FOR)).otherwise(F.lit(0.0)) - F.when(near(p).rlike(AGAINST), F.lit(FROM)).otherwise(F.lit(0.0))
     )
     spans = F.transform(
-        F.filter(proposals, lambda p: _valid(kind, p["match"])),
+        F.filter(found, lambda p: _valid(kind, p["match"])),
         lambda p: F.struct(
             p["start"].alias("start"),
             F.lit(KINDS.index(kind)).alias("order"),
@@ -168,11 +178,10 @@ def _confirmed(kind: str, proposals: Column) -> Column:
 def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, found): an array of (start, order, end, kind, score) of each text, by start and kind."""
     text = id_and_text(docs, id_col, text_col)
-    marks = F.col("text").contains(_OPEN) | F.col("text").contains(_CLOSE)
-    text = text.select("doc_id", F.when(marks, F.translate("text", _OPEN + _CLOSE, _PLAIN * 2)).otherwise(F.col("text")).alias("text"))
+    text = text.select("doc_id", unmarked(F.col("text")).alias("text"))
     cut = text.select("doc_id", *[_pieces(F.col("text"), k).alias(f"cut_{k}") for k in KINDS])
-    cut = cut.select("*", *[F.when(F.size(f"cut_{k}") > 1, _starts(F.col(f"cut_{k}"))).alias(f"starts_{k}") for k in KINDS])
-    proposed = cut.select("doc_id", *[_proposals(F.col(f"cut_{k}"), F.col(f"starts_{k}")).alias(f"at_{k}") for k in KINDS])
+    cut = cut.select("*", *[F.when(F.size(f"cut_{k}") > 1, starts_of(F.col(f"cut_{k}"))).alias(f"starts_{k}") for k in KINDS])
+    proposed = cut.select("doc_id", *[proposals(F.col(f"cut_{k}"), F.col(f"starts_{k}")).alias(f"at_{k}") for k in KINDS])
     return proposed.select("doc_id", F.array_sort(F.concat(*[_confirmed(k, F.col(f"at_{k}")) for k in KINDS])).alias("found"))
 
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notelake.llm import byte_bpe, decontaminate, exact_dedup, licences, ordinal, pii, simhash, suffix_dedup, toxicity, warc
+from notelake.llm import byte_bpe, conversation_sql, conversations, decontaminate, exact_dedup, hard_negatives, licences, ordinal, pii, secret_scan, secret_sql, simhash, suffix_dedup, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,8 +59,21 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(byte_bpe.encode_documents(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.summaries(conversations.damage(_table(spark, sf_dir, "conversations")))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine_vectors(hard_negatives.relabelled(_table(spark, sf_dir, "embeddings")))
+
+
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digests(secret_scan.scan(_table(spark, sf_dir, "documents")))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_simhash_near_dedup, op2_pii, op3_exact_dedup, op4_quality, op5_warc_revisits, op6_benchmark_decontamination, op7_repeated_passages, op8_licences, op9_toxicity, op10_byte_bpe,
+    op11_conversation_repair, op12_hard_negatives, op13_secrets,
 )}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -140,4 +153,14 @@ ORACLE = {
         t AS (SELECT r, CAST(sum(e - s) AS BIGINT) AS n_repeated, count(*) AS n_spans, string_agg(s || ':' || e, ',' ORDER BY s) AS spans FROM sp GROUP BY r)
         SELECT doc_id, CAST(len(a) AS BIGINT) AS n_words, coalesce(n_repeated, 0) AS n_repeated, coalesce(n_spans, 0) AS n_spans, coalesce(spans, '') AS spans FROM d LEFT JOIN t USING (r)""",
     "op8_licences": _licence_sql(),
+    "op11_conversation_repair": conversation_sql.SQL,
+    "op12_hard_negatives": """
+        WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+          FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, a.label AS own, b.vec_id, b.label, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score FROM v a, v b WHERE a.vec_id % 100 = 0),
+        p AS (SELECT anchor_id, own, vec_id AS positive_id, score AS positive_score FROM s WHERE label = own AND vec_id <> anchor_id QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+        n AS (SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+          FROM p JOIN s USING (anchor_id) WHERE s.label <> p.own AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score)
+        SELECT * FROM n WHERE rank <= 5""",
+    "op13_secrets": secret_sql.SQL,
 }
