@@ -14,7 +14,8 @@ so a very long conversation costs memory for its open end and for its audit stri
 only. (The digest of a conversation is sequential, so one conversation is one task.)
 Repeats are found by a window over (conversation, role, text digest), which spills.
 
-Defined results: null roles and texts are one space; null turns come first; rows
+Defined results: null roles and texts are one space; a role that is empty or starts
+with another letter than s, u or a is never kept; null turns come first; rows
 of one turn go by role and text; repeated rows are duplicates; a null conversation
 is one of its own; one whose rows are all dropped has zeros and the digest of an
 empty string; an empty table has no rows; texts of any length are taken whole;
