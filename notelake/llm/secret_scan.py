@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,6 +54,19 @@ STATES = len(ALPHABET) + 1
 SMOOTHING, UNIT, THRESHOLD = 0.5, 100, 1000
 #: Labelled samples: random strings of each alphabet, and documents from which ordinary identifiers are taken.
 RANDOM, ORDINARY = 2_000, 500
+#: Words that names in programs, paths and settings are made of.
+WORDS = (
+    "account", "action", "active", "address", "api", "app", "archive", "array", "asset", "auth", "base", "batch", "block", "body", "buffer", "build", "button", "cache", "call",
+    "case", "category", "change", "channel", "check", "class", "client", "code", "column", "com", "comment", "config", "connection", "constant", "content", "context", "controller", "count", "create",
+    "current", "data", "date", "default", "delete", "description", "device", "document", "download", "element", "email", "error", "event", "example", "factory", "field", "file", "filter", "find", "first",
+    "folder", "form", "format", "function", "get", "group", "handler", "header", "height", "home", "http", "image", "index", "info", "input", "instance", "interface", "item", "key",
+    "language", "last", "length", "level", "library", "limit", "line", "link", "list", "local", "location", "login", "main", "manager", "map", "menu", "message", "method", "mode", "model", "module", "name",
+    "network", "new", "node", "number", "object", "option", "order", "output", "package", "page", "parameter", "parent", "path", "player", "point", "port", "position",
+    "post", "price", "process", "product", "profile", "project", "property", "provider", "public", "query", "read", "record", "request", "resource", "response", "result", "return",
+    "search", "select", "server", "service", "session", "set", "size", "sort", "source", "start", "state", "status", "step", "stop", "store", "stream", "string", "style", "system", "table",
+    "target", "task", "template", "test", "text", "time", "title", "total", "type", "update", "upload", "user", "value", "version", "video", "view", "web", "width", "window",
+    "write",
+)
 #: Longest run in a document that counts as ordinary: shorter than any span.
 SHORT = 15
 
@@ -64,6 +78,15 @@ def random_strings(spark: SparkSession, n: int = RANDOM) -> DataFrame:
     return spark.range(n).select(F.explode(F.array(F.left(digest, F.lit(40)), based, F.upper(F.regexp_replace(based, "[+/]", "")))).alias("text"))
 
 
+def common_identifiers() -> list[str]:
+    """Names and times as programs write them: the words in threes in each style, and stamps of two thousand hours."""
+    threes = [(w, WORDS[(7 * i + 3) % len(WORDS)], WORDS[(11 * i + 5) % len(WORDS)]) for i, w in enumerate(WORDS)]
+    names = [n for t in threes for n in ("_".join(t), "-".join(t), "/".join(t), "_".join(t).upper(), t[0] + t[1].title() + t[2].title(), "".join(x.title() for x in t))]
+    first = datetime(2000, 1, 1)
+    stamps = [(first + timedelta(hours=37 * h, minutes=7 * h, seconds=11 * h)).strftime(("%Y-%m-%dT%H-%M-%S", "%Y/%m/%d/%H-%M", "%Y%m%d_%H%M%S", "%d-%m-%Y-%H%M")[h % 4]) for h in range(2000)]
+    return names + stamps
+
+
 def ordinary_identifiers(docs: DataFrame, most: int = ORDINARY) -> DataFrame:
     """(text): the short runs of at most ``most`` documents, and neighbours joined as identifiers are (snake, camel, kebab, path)."""
     text = id_and_text(docs)
@@ -140,10 +163,12 @@ def find_spans(docs: DataFrame, table: list[int], id_col: str = "doc_id", text_c
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """:func:`find_spans` with models trained from digests and from the documents' own short runs."""
+    """:func:`find_spans` with models trained from digests, and from common names and the documents' own short runs."""
     label = lambda samples, random: samples.select("text", F.lit(random).alias("random"))
-    ordinary = ordinary_identifiers(docs)
-    return find_spans(docs, train(label(random_strings(docs.sparkSession), True).unionByName(label(ordinary, False))))
+    spark = docs.sparkSession
+    common = spark.createDataFrame([(name,) for name in common_identifiers()], "text string")
+    ordinary = ordinary_identifiers(docs).unionByName(common)
+    return find_spans(docs, train(label(random_strings(spark), True).unionByName(label(ordinary, False))))
 
 
 def digests(found: DataFrame) -> DataFrame:

@@ -22,13 +22,14 @@ _CUTS = " UNION ALL ".join(
     for k, kind in enumerate(S.KINDS)
 )
 _BASED = "replace(base64(from_hex(h)), '=', '')"
+_COMMON = ", ".join(f"'{name}'" for name in S.common_identifiers())
 SQL = rf"""
     WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), chr(1) || chr(2), chr(3) || chr(3)) AS text FROM documents),
     g AS (SELECT sha256(CAST(i AS VARCHAR)) AS h FROM range({S.RANDOM}) x(i)),
     rnd AS (SELECT unnest([left(h, 40), {_BASED}, upper(regexp_replace({_BASED}, '[+/]', '', 'g'))]) AS s FROM g),
     few AS (SELECT list_filter(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9+/_-]+'), lambda x: length(x) BETWEEN 2 AND {S.SHORT}) AS a FROM documents ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '')), doc_id, text LIMIT {S.ORDINARY}),
     ord AS (SELECT unnest(a || list_transform(range(1, len(a)), lambda i: CASE (i - 1) % 4 WHEN 0 THEN a[i] || '_' || a[i + 1] WHEN 1 THEN a[i] || upper(left(a[i + 1], 1)) || substr(a[i + 1], 2) WHEN 2 THEN a[i] || '-' || a[i + 1] ELSE a[i] || '/' || a[i + 1] END)) AS s FROM few),
-    smp AS (SELECT true AS random, s FROM rnd UNION ALL SELECT false, s FROM ord),
+    smp AS (SELECT true AS random, s FROM rnd UNION ALL SELECT false, s FROM ord UNION ALL SELECT false, unnest([{_COMMON}])),
     pairs AS (SELECT random, unnest(list_transform(range(1, length(s) + 1), lambda i: substr(' ' || s, i, 2))) AS pair FROM smp),
     cnt AS (SELECT random, instr('{S.ALPHABET}', left(pair, 1)) AS a, instr('{S.ALPHABET}', right(pair, 1)) AS b, count(*) AS n FROM pairs GROUP BY ALL),
     grid AS (SELECT random, a, b, coalesce(n, 0) AS n FROM (SELECT unnest([true, false]) AS random) CROSS JOIN range({S.STATES}) x(a) CROSS JOIN range(1, {S.STATES}) y(b) LEFT JOIN cnt USING (random, a, b)),

@@ -55,12 +55,15 @@ def random_texts(n=300, seed=4):
     return ["".join(rnd.choice(parts) for _ in range(rnd.randrange(40))) for _ in range(n)]
 
 
+WORDS = ["the quick brown fox jumps over the lazy dog", "der und einlich keiten verbindung", "que la ment tion et les", "2024 12 31 v1 build 7"]
+
+
 @pytest.fixture(scope="module")
 def table(spark):
-    words = ["the quick brown fox jumps over the lazy dog", "request_handler configuration manager default value", "der und einlich keiten verbindung", "2024 12 31 v1 build 7"]
-    docs = spark.createDataFrame([(i, f"{words[i % 4]} {words[(i + 1) % 4]}", "q", 1) for i in range(40)], SCHEMA)
+    docs = spark.createDataFrame([(i, f"{WORDS[i % 4]} {WORDS[(i + 1) % 4]}", "q", 1) for i in range(40)], SCHEMA)
     label = lambda d, random: d.selectExpr("text", f"{random} AS random")
-    return S.train(label(S.random_strings(spark), "true").unionByName(label(S.ordinary_identifiers(docs), "false")))
+    common = spark.createDataFrame([(n,) for n in S.common_identifiers()], "text string")
+    return S.train(label(S.random_strings(spark), "true").unionByName(label(S.ordinary_identifiers(docs).unionByName(common), "false")))
 
 
 def test_spans_match_brute_force(spark, table):
@@ -78,8 +81,9 @@ def test_models_tell_random_from_ordinary(spark, table):
     rnd = random.Random(7)
     digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
     secrets = ["".join(rnd.choice(digits) for _ in range(32)) for _ in range(200)] + [hashlib.sha1(str(i).encode()).hexdigest() for i in range(200)]
-    plain = ["default_configuration_manager", "handleRequestConfiguration", "quick-brown-fox-jumps-over", "verbindungskeiten_und_einlich", "configuration/manager/default/value"]
-    assert sum(llr(s, table) >= S.THRESHOLD for s in secrets) >= 398
+    plain = ["default_configuration_manager", "handleRequestConfiguration", "quick-brown-fox-jumps-over", "verbindungskeiten_und_einlich", "configuration/manager/default/value", "internationalisierungsbestrebungen"]
+    plain += ["SOME_CONSTANT_NAME_HERE", "2024-12-31T23-59-59", "com/example/project/Main", "user_id_1234567890", "wp-content/uploads/2021/03/holiday-photo"]
+    assert sum(llr(s, table) >= S.THRESHOLD for s in secrets) >= 396  # 99 of 100
     assert not [s for s in plain if llr(s, table) >= S.THRESHOLD]
 
 
