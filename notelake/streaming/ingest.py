@@ -3,13 +3,13 @@
 The file source with ``availableNow`` stands for the resumable scan: the
 checkpoint remembers which files are done, a restart takes only new ones, and an
 output written twice by a retried batch is overwritten by its batch id. Indexes are
-written once, whichever files bring them (:func:`pending` and :func:`first_accepted`
-are the same for batch jobs).
+written once, whichever files bring them: those seen are keyed state of the stream,
+so a micro-batch costs its own rows and never reads the manifest (:func:`pending` and
+:func:`first_accepted` are the same for batch jobs).
 """
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -17,6 +17,7 @@ from pyspark.sql.types import StructType
 
 from notelake.functions import clean
 from notelake.sources.interim import new_path
+from notelake.streaming.state import rocks
 
 
 def ingest(spark: SparkSession, folder: str, names: str, schema: StructType, manifest: str, ledger: str, checkpoint: str, files_per_batch: int = 4) -> None:
@@ -28,21 +29,15 @@ def ingest(spark: SparkSession, folder: str, names: str, schema: StructType, man
     )
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        # an index that another batch has written, or that stands twice in this one, is not written again; a batch that is retried overwrites its own folder
-        batch = batch.dropDuplicates(["index"])
-        try:
-            done = batch.sparkSession.read.parquet(manifest)
-        except AnalysisException:  # the first batch
-            done = None
-        if done is not None:
-            batch = batch.join(done.filter(F.col("batch") != batch_id).select("index"), "index", "left_anti")
+        # a batch that is retried overwrites its own folder
         batch.write.mode("overwrite").parquet(f"{manifest}/batch={batch_id}")
         done = batch.sparkSession.read.parquet(f"{manifest}/batch={batch_id}")
         sums = done.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("status") == "accepted").alias("accepted"), F.min("index").alias("start_index"), F.max("index").alias("end_index"))
         sums.write.mode("overwrite").parquet(f"{ledger}/batch={batch_id}")
 
-    query = rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+    with rocks(spark):
+        query = rows.dropDuplicates(["index"]).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query.awaitTermination()
 
 
 def stream_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
