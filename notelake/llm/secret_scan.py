@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
-from notelake.llm.common import id_and_text
+from notelake.llm.common import id_and_text, keep
 from notelake.llm.pii import cut_at, proposals, starts_of, unmarked
 
 #: Kinds in order, what proposes each, and the fewest characters of what counts.
@@ -89,8 +89,9 @@ def common_identifiers() -> list[str]:
 
 def ordinary_identifiers(docs: DataFrame, most: int = ORDINARY) -> DataFrame:
     """(text): the short runs of at most ``most`` documents, and neighbours joined as identifiers are (snake, camel, kebab, path)."""
-    text = id_and_text(docs)
-    some = text.orderBy(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), "doc_id", "text").limit(most)
+    text = id_and_text(docs).withColumn("digest", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    # a table of its own: each task then keeps ``most`` rows and nothing is sorted as a whole
+    some = keep(text.orderBy("digest", "doc_id", "text").limit(most), "ordinary")
     runs = F.filter(F.regexp_extract_all("text", F.lit("[A-Za-z0-9+/_-]+"), F.lit(0)), lambda x: F.char_length(x).between(2, SHORT))
     some = some.select(runs.alias("runs")).select("runs", F.slice("runs", 2, F.greatest(F.size("runs") - 1, F.lit(0))).alias("after"))
     pairs = F.slice(F.arrays_zip("runs", "after"), 1, F.size("after"))
