@@ -27,8 +27,8 @@ def events(notes: DataFrame) -> DataFrame:
     return note.unionByName(pedal).unionByName(tempo)
 
 
-def encode(ev: DataFrame) -> DataFrame:
-    """(piece_id, pos, tok) between BOS and EOS; each event emits the bars, shifts and position it needs, then itself."""
+def encode(ev: DataFrame, times: bool = False) -> DataFrame:
+    """(piece_id, pos, tok) between BOS and EOS; each event emits the bars, shifts and position it needs, then itself. With ``times`` also the tick and the grid steps of each token."""
     order = W.partitionBy("piece_id").orderBy("tick", "ord", "a", "b", "c")
     bar = F.floor(F.col("tick") / BAR_TICKS).cast("int")
     e = ev.select("*", F.row_number().over(order).alias("n"), bar.alias("bar"))
@@ -43,6 +43,8 @@ def encode(ev: DataFrame) -> DataFrame:
         .otherwise(F.array(NOTE_ON + F.col("a"), VELOCITY + F.col("b"), DURATION - 1 + F.col("c")))
     )
     parts = F.flatten(F.array(F.array_repeat(F.lit(BAR), F.col("bars")), F.array_repeat(F.lit(TIME_SHIFT - 1 + MOST), long), F.when(rest > 0, F.array(TIME_SHIFT - 1 + rest)).otherwise(none), F.array(where), payload))
+    if times:
+        return _timed(e, long, rest, parts)
     rows = e.select("piece_id", "n", F.posexplode(parts).alias("k", "tok"))
     ends = ev.groupBy("piece_id").agg(F.count(F.lit(1)).alias("m"))
     bos = ends.select("piece_id", F.lit(0).alias("n"), F.lit(0).alias("k"), F.lit(BOS).alias("tok"))
@@ -51,6 +53,21 @@ def encode(ev: DataFrame) -> DataFrame:
     return whole.select("piece_id", (F.row_number().over(W.partitionBy("piece_id").orderBy("n", "k")) - 1).alias("pos"), F.col("tok").cast("int").alias("tok"))
 
 
+def _timed(e: DataFrame, long: Column, rest: Column, parts: Column) -> DataFrame:
+    """(piece_id, pos, tok, tick, units): bars start at their own ticks, shifts where the last event was, the rest with the event; a note's tokens last as long as it does."""
+    since, before = F.col("tick") - F.col("gap") * GRID, F.col("bar") - F.col("bars")
+    rows = e.select("piece_id", "n", "tick", "ord", "c", "bars", long.alias("long"), rest.alias("rest"), since.alias("since"), before.alias("before"), F.posexplode(parts).alias("k", "tok"))
+    k, shift = F.col("k"), F.col("k") - F.col("bars")
+    at = F.when(F.col("tok") == BAR, (F.col("before") + 1 + k) * BAR_TICKS).when(F.col("tok").between(TIME_SHIFT, TEMPO - 1), F.col("since") + shift * MOST * GRID).otherwise(F.col("tick"))
+    units = F.when(F.col("tok").between(TIME_SHIFT, TEMPO - 1), F.col("tok") - TIME_SHIFT + 1).when((F.col("ord") == 20) & F.col("tok").between(NOTE_ON, TIME_SHIFT - 1), F.col("c")).otherwise(1)
+    rows = rows.select("piece_id", "n", "k", "tok", at.cast("long").alias("tick"), units.cast("int").alias("units"))
+    ends = e.groupBy("piece_id").agg((F.max("n") + 1).alias("n"), F.max("tick").alias("tick"))
+    bos = ends.select("piece_id", F.lit(0).alias("n"), F.lit(0).alias("k"), F.lit(BOS).alias("tok"), F.lit(0).cast("long").alias("tick"), F.lit(1).alias("units"))
+    eos = ends.select("piece_id", "n", F.lit(0).alias("k"), F.lit(EOS).alias("tok"), "tick", F.lit(1).alias("units"))
+    whole = rows.unionByName(bos).unionByName(eos)
+    return whole.select("piece_id", (F.row_number().over(W.partitionBy("piece_id").orderBy("n", "k")) - 1).alias("pos"), F.col("tok").cast("int").alias("tok"), "tick", "units")
+
+
 def decode(tokens: DataFrame) -> DataFrame:
     """(piece_id, pos, onset, pitch, velocity, duration): a note at each duration token; the tempo is ignored, a position is an eighth of a second."""
     w = W.partitionBy("piece_id").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)

@@ -53,6 +53,16 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.withColumn("note_ix", F.row_number().over(W.partitionBy("piece_id").orderBy("note_ix")) - 1)
 
 
+def tempo_changes(notes_: DataFrame) -> DataFrame:
+    """(piece_id, seconds, bpm): the notes of program 4 stand for tempo changes, 60 to 179 beats a minute."""
+    return notes_.filter("program = 4").select("piece_id", F.col("onset").alias("seconds"), (60 + F.col("event_id") * 13 % 120).cast("double").alias("bpm"))
+
+
+def pedal_moves(notes_: DataFrame) -> DataFrame:
+    """(piece_id, seconds, down): drum hits stand for the pedal."""
+    return notes_.filter("is_drum").select("piece_id", F.col("onset").alias("seconds"), (F.col("velocity") >= 64).alias("down"))
+
+
 def profiles(spark: SparkSession) -> DataFrame:
     """The four source profiles (a table of fixed size)."""
     return spark.createDataFrame([(k, *v) for k, v in spec.PROFILES.items()], "source string, sample_weight double, raw_share double, min_seconds double, filter_velocity boolean, min_notes int, min_pitches int, dominance double")
