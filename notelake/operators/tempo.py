@@ -39,9 +39,9 @@ def _as_of(rows: DataFrame, at: str, starts: DataFrame, start: str, width: float
     """``rows`` with the struct ``of``: the last segment of its piece that starts at or before ``at``."""
     row = F.lit(None).cast(rows.schema.simpleString())
     own = starts.select("piece_id", F.col(start).cast("double").alias("__at"), F.lit(0).alias("__side"), F.struct("seconds", "tick", "rate").alias("__segment"), row.alias("__row"))
-    theirs = rows.select("piece_id", F.col(at).cast("double").alias("__at"), F.lit(1).alias("__side"), F.lit(None).cast("struct<seconds:double,tick:double,rate:double>").alias("__segment"), F.struct(*rows.columns).alias("__row"))
+    theirs = rows.select("piece_id", F.greatest(F.col(at).cast("double"), F.lit(0.0)).alias("__at"), F.lit(1).alias("__side"), F.lit(None).cast("struct<seconds:double,tick:double,rate:double>").alias("__segment"), F.struct(*rows.columns).alias("__row"))
     both = keep(own.unionByName(theirs), "as-of")
-    block = F.floor(F.greatest(F.col("__at"), F.lit(0.0)) / width)
+    block = F.floor(F.col("__at") / width)
     found = scan.running(both, "piece_id", block, ["__at", "__side"], of=("last", F.col("__segment")))
     return found.filter("__side = 1").select("__row.*", "of")
 

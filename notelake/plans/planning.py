@@ -90,7 +90,7 @@ def first_existing_path(spark, sf_dir):
 
 
 #: Ids of the base tokens, merges of one-pass mining (up to the usual vocabulary of 30,000), merges of iterative training.
-_BASE, _FAST, _SLOW = 374, 30_000 - 374, 24
+_BASE, _FAST, _SLOW = 374, 30_000 - 374, 2_000
 _PAIRS = S.TOKENS + ", pr AS (SELECT tok AS lhs, lead(tok) OVER (PARTITION BY piece_id ORDER BY pos) AS rhs, {'p': piece_id, 'q': pos} AS place FROM tokens), cn AS (SELECT lhs, rhs, count(*) AS freq, min(place) AS first FROM pr WHERE rhs IS NOT NULL GROUP BY 1, 2)"
 _MERGES = f"{_PAIRS}, mg AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY freq DESC, first) - 1 AS INTEGER) AS rank, lhs, rhs, freq FROM cn WHERE freq >= 2 QUALIFY row_number() OVER (ORDER BY freq DESC, first) <= {_FAST})"
 _PASSED = f"""{_MERGES}, nx AS (SELECT piece_id, pos, tok, onset, onset + duration AS fin, lead(tok) OVER w AS rhs, lead(onset + duration) OVER w AS next_fin FROM tokens WINDOW w AS (PARTITION BY piece_id ORDER BY pos)),
