@@ -29,7 +29,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notelake.llm.common import id_and_text
+from notelake.llm.common import id_and_text, packed
 from notelake.llm.fm_index import FmIndex
 
 WINDOW = 10
@@ -178,14 +178,14 @@ def merge(start: np.ndarray, end: np.ndarray) -> list[dict]:
     return [{"start": int(s), "end": int(e)} for s, e in zip(start[new], reach[last], strict=True)]
 
 
-def _per_shard(docs: DataFrame, text_col: str, finish, schema) -> DataFrame:
-    """Rows dealt into shards in the tasks that hold them; ``finish`` makes output batches of a shard and its rows."""
-    at, most = docs.columns.index(text_col), SHARD_WORDS
+def _per_shard(docs: DataFrame, texts_of, finish, schema) -> DataFrame:
+    """Rows dealt into shards in the tasks that hold them; ``texts_of`` gives a batch's texts, ``finish`` makes output batches of a shard and its rows."""
+    most = SHARD_WORDS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, held = Shard(most), []
         for batch in batches:
-            texts, done = batch.column(at).to_pylist(), 0
+            texts, done = texts_of(batch).to_pylist(), 0
             while done < len(texts):
                 took = shard.add(texts, done)
                 held.append(batch.slice(done, took))
@@ -208,7 +208,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) ->
         ids = pa.concat_arrays([b.column(0) for b in held]).cast(pa.int64())
         yield pa.RecordBatch.from_arrays([ids, pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(SPAN)), pa.array(items, pa.list_(pa.string()))], ["doc_id", "n_words", "spans", "items"])
 
-    return _per_shard(id_and_text(docs), "text", finish, FOUND)
+    return _per_shard(id_and_text(docs), lambda batch: batch.column(1), finish, FOUND)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
@@ -221,7 +221,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW
             yield batch.filter(good.slice(done, batch.num_rows))
             done += batch.num_rows
 
-    return _per_shard(docs, "text", finish, docs.schema)
+    rows, at = packed(docs), docs.columns.index("text")  # as one struct, so that any column name passes
+    return _per_shard(rows, lambda batch: batch.column(0).field(at), finish, rows.schema).select("row.*")
 
 
 def digests(found: DataFrame) -> DataFrame:

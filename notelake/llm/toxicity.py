@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
-from notelake.llm.common import id_and_text
+from notelake.llm.common import id_and_text, packed
 
 #: Bounds of the training samples, in rows.
 POSITIVES, UNLABELLED = 3_000, 9_000
@@ -186,4 +186,4 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, all columns; nothing is shuffled."""
     score = scorer(docs.sparkSession, train(docs, labels))
-    return docs.withColumn("__toxicity_score", score(F.coalesce("text", F.lit("")))).filter("__toxicity_score < 0.5").drop("__toxicity_score")
+    return packed(docs, score=score(F.coalesce("text", F.lit("")))).filter("score < 0.5").select("row.*")

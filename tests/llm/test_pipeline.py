@@ -3,6 +3,7 @@ import random
 
 import public_tokenizers
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from notelake.llm import byte_bpe
@@ -92,3 +93,22 @@ def test_stages_on_empty_tables_and_on_repeated_and_null_ids(spark, tmp_path):
     assert len(left["simhash_near_dedup"]) == len({brute_fingerprint(t) for _, t in rows})
     assert left["benchmark_decontamination"] == sorted([r for r in plain if r[1] != item], key=repr)
     assert corpus_pipeline.STAGES[-1][1](spark, small, str(tmp_path)).count() == len(rows)
+
+
+def test_every_stage_passes_columns_of_any_name(spark, tmp_path):
+    tables(spark, str(tmp_path))
+    names = ["a.b", "__digest", "__id", "__key", "__n", "__toxicity_score", "row", "digest", "id", "n", "own", "key", "score", "a`b", "fp", "root", "component_id", "keep_id", "kept", "text.x", "doc_id2"]
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    extra = [F.concat(F.lit(f"{k}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).alias(c) for k, c in enumerate(names)]
+    item = spark.read.parquet(f"{tmp_path}/benchmark.parquet").first().text
+    more = [(1, item, "x", "y", 0), (1, item, "x", "y", 0), (None, None, "x", "y", 0), (None, "", "x", "y", 0), (7, "vile scorn " * 20, "x", "y", 0), (9, "once more and again", "x", "y", 0), (9, "once more and again", "x", "y", 0)]
+    docs = docs.unionByName(spark.createDataFrame(more, docs.schema))
+    wide = docs.select(*docs.columns[:2], *extra, *docs.columns[2:])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got, plain = stage(spark, wide, str(tmp_path)), stage(spark, docs, str(tmp_path))
+        assert got.columns == wide.columns and got.dtypes == wide.dtypes, name
+        rows = [tuple(r) for r in got.collect()]
+        assert sorted(((*r[:2], *r[2 + len(names) :]) for r in rows), key=repr) == sorted(map(tuple, plain.collect()), key=repr), name
+        assert all(v == f"{k}:{'none' if r[0] is None else r[0]}" for r in rows for k, v in enumerate(r[2 : 2 + len(names)])), name
+    last = corpus_pipeline.STAGES[-1][1]
+    assert sorted(map(tuple, last(spark, wide, str(tmp_path)).collect()), key=repr) == sorted(map(tuple, last(spark, docs, str(tmp_path)).collect()), key=repr)
