@@ -108,6 +108,70 @@ def test_archives_of_other_tools_with_revisits_and_missing_headers(spark, tmp_pa
         assert heads["lost"]["warc-refers-to"] == "<urn:x:elsewhere>" and heads["q"]["warc-type"] == "request" and heads["o2"]["warc-refers-to"] == heads["o1"]["warc-record-id"]
 
 
+def archive(made):
+    return [b"\r\n".join([*(line.encode() for line in lines)]) + b"\r\n\r\n" + block + b"\r\n\r\n" for lines, block in made]
+
+
+def labelled(kind, url, payload, digest, **more):
+    return foreign(kind, url, payload, **{"WARC-Payload-Digest": digest} | more)
+
+
+def test_no_payload_is_lost_whatever_digests_are_declared(spark, tmp_path):
+    a, b = warc.digest32(b"payload a"), hashlib.sha256(b"payload b").hexdigest()
+    made = [
+        labelled("response", "true", b"payload a", f"sha1:{a}", **{"X-Page-Id": "1"}),
+        labelled("response", "lies", b"something else", f"sha1:{a}", **{"X-Page-Id": "2"}),  # declares the digest of another payload
+        labelled("response", "lies too", b"payload a", f"sha1:{warc.digest32(b'x')}", **{"X-Page-Id": "3"}),
+        labelled("response", "lower", b"payload a", f"sha1:{a.lower()}", **{"X-Page-Id": "4"}),
+        labelled("response", "hex", b"payload a", f"SHA-1:{hashlib.sha1(b'payload a').hexdigest().upper()}", **{"X-Page-Id": "5"}),
+        labelled("revisit", "old", None, f"sha1:{a.lower()}", **{"X-Page-Id": "6"}),
+        labelled("response", "sha256", b"payload b", f"sha256:{b}", **{"X-Page-Id": "7"}),
+        labelled("response", "again", b"payload b", f"sha1:{warc.digest32(b'payload b')}", **{"X-Page-Id": "8"}),
+        labelled("revisit", "old256", None, f"sha256:{b.upper()}", **{"X-Page-Id": "9"}),
+        labelled("revisit", "elsewhere", None, "sha256:" + "0" * 64, **{"X-Page-Id": "10"}),
+        labelled("response", "unknown", b"payload c", "crc9:xyz", **{"X-Page-Id": "11"}),
+    ]
+    os.makedirs(tmp_path / "in")
+    (tmp_path / "in" / "x.warc").write_bytes(b"".join(archive(made)))
+    for source, target in (("in", "out"), ("out", "again")):
+        warc.deduplicate(spark, str(tmp_path / source), str(tmp_path / target))
+        back = {r.url: r for r in warc.read_archives(spark, str(tmp_path / target), True).collect()}
+        assert {u: r.payload for u, r in back.items() if r.record_type == "response"} == {"true": b"payload a", "lies": b"something else", "lies too": b"payload a", "sha256": b"payload b", "unknown": b"payload c"}
+        assert {u: r.refers_to for u, r in back.items() if r.record_type == "revisit"} == {"lower": 1, "hex": 1, "old": 1, "again": 7, "old256": 7, "elsewhere": None}
+        assert {u for u, r in back.items() if not r.intact} == {"lies", "lies too"}
+        assert back["hex"].payload_digest == back["old"].payload_digest == a and back["old256"].payload_digest == warc.digest32(b"payload b")
+        heads = {h["warc-target-uri"]: h for h in records(tmp_path / target) if "warc-target-uri" in h}
+        assert heads["elsewhere"]["warc-payload-digest"] == "sha256:" + "0" * 64
+
+
+def test_broken_archives_give_their_good_records_and_an_error_each(spark, tmp_path):
+    one = archive([labelled("response", f"u{i}", b"payload %d" % i, f"sha1:{warc.digest32(b'payload %d' % i)}", **{"X-Page-Id": str(i)}) for i in range(6)])
+    os.makedirs(tmp_path / "in")
+    (tmp_path / "in" / "cut.warc").write_bytes(one[0] + one[1][:-20])
+    (tmp_path / "in" / "stray.warc").write_bytes(one[2] + b"stray bytes\nand more\n" + one[3])
+    (tmp_path / "in" / "cut.warc.gz").write_bytes(gzip.compress(one[4]) + gzip.compress(one[5])[:-30])
+    (tmp_path / "in" / "noise.warc").write_bytes(b"\x00\x01 no archive at all")
+    got = warc.read_archives(spark, str(tmp_path / "in")).collect()
+    assert {r.url for r in got if r.record_type == "response"} == {"u0", "u2", "u3", "u4"}
+    errors = {os.path.basename(r.file) for r in got if r.record_type == "error" and r.error}
+    assert errors == {"cut.warc", "stray.warc", "cut.warc.gz", "noise.warc"}
+    warc.deduplicate(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    assert {(r.url, r.record_type) for r in warc.read_archives(spark, str(tmp_path / "out")).collect()} == {(u, "response") for u in ("u0", "u2", "u3", "u4")}
+
+
+def test_slices_are_the_records_whatever_the_packing():
+    one = archive([labelled("response", f"u{i}", b"p" * (i * 50), "sha1:x") for i in range(5)])
+    own, whole, plain = b"".join(warc.members(r) for r in one), gzip.compress(b"".join(one)), b"".join(one)
+    mixed = warc.members(one[0]) + gzip.compress(one[1] + one[2]) + warc.members(one[3]) + warc.members(one[4])
+    parts = b"".join(gzip.compress(r[:30]) + gzip.compress(r[30:]) for r in one)
+    want = [block for _, block in warc.parse(warc.opened(plain))]
+    for content in (own, whole, plain, mixed, parts):
+        got = list(warc.slices(content))
+        assert [n for n, _ in got] == list(range(5)) and [next(warc.parse(warc.opened(d)))[1] for _, d in got] == want
+    assert [d for _, d in warc.slices(own)] == [warc.members(r) for r in one]
+    assert warc.normal_digest("sha1:zzz") is None and warc.normal_digest("md5:" + "0" * 32) == "md5:" + "0" * 32
+
+
 def test_repeated_and_null_ids_and_empty_tables(spark, tmp_path):
     rows = [(1, "u", "same", "", 0), (1, "u", "same", "", 0), (None, "u", "same", "", 0), (None, None, "own", "", 0)]
     warc.write_responses(spark.createDataFrame(rows, SCHEMA).coalesce(1), str(tmp_path / "r"))
