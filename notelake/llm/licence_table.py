@@ -82,6 +82,16 @@ DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE TERMS AND CONDITIONS FOR COPYING, DI
 This software is distributed without any warranty.
 You should have received a copy of the CC0 Public Domain Dedication along with this software."""),
     ("CC0-1.0", "This work is dedicated to the public domain under CC0 1.0."),
+    ("Apache-2.0", """"License" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document."""),
+    ("GPL-3.0-only", "Developers that use the GNU GPL protect your rights with two steps: (1) assert copyright on the software, and (2) offer you this License giving you legal permission to copy, distribute and/or modify it."),
+    ("GPL-2.0-only", "The licenses for most software are designed to take away your freedom to share and change it. By contrast, the GNU General Public License is intended to guarantee your freedom to share and change free software--to make sure the software is free for all its users."),
+    ("LGPL-2.1-only", "This license, the Lesser General Public License, applies to some specially designated software packages--typically libraries--of the Free Software Foundation and other authors who decide to use it."),
+    ("LGPL-3.0-only", "This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below."),
+    ("AGPL-3.0-only", "A secondary benefit of defending all users' freedom is that improvements made in alternate versions of the program, if they receive widespread use, become available for other developers to incorporate."),
+    ("MPL-2.0", """"Contributor" means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software."""),
+    ("CC0-1.0", """The laws of most jurisdictions throughout the world automatically confer exclusive Copyright and Related Rights (defined below) upon the creator and subsequent owner(s) (each and all, an "owner") of an original work of authorship and/or a database (each, a "Work")."""),
+    *((f"CC-{k}-4.0", f"""By exercising the Licensed Rights (defined below), You accept and agree to be bound by the terms and conditions of this Creative Commons {name} 4.0 International Public License ("Public License").""") for k, name in (
+        ("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"))),
 )
 #: Names, as notices and SPDX lines use them once :data:`SHORTER` has been applied, and the licences that they stand for.
 NAMES = {
@@ -94,8 +104,19 @@ NAMES = {
 }
 #: What makes the ways to write a name alike, in order (normalised text; \1 is a group).
 SHORTER = (
+    (r"\b(?:not|never|no longer) (?:[a-z]+ ){0,2}under\b", " notunder "), (r"\bnot ((?:[a-z0-9.]+ ){1,4})licen[cs]ed\b", r"not \1 notlicensed"), (r"\blicenced\b", "licensed"),
     (r"\blicen[cs]e\b", " "), (r"\bthe\b", " "), (r" +", " "), (r"\bgnu (?:lesser|library) general public\b", "lgpl"), (r"\bgnu affero general public\b", "agpl"), (r"\b(?:gnu )?general public\b", "gpl"),
     (r"\bgnu ([al]?gpl)", r"\1"), (r"\bmozilla public\b", "mpl"), (r"\beclipse public\b", "epl"), (r"\bcreative commons (?:zero|cc0)\b", "cc0"), (r"\bcreative commons\b", "cc"), (r"\battribution\b", "by"),
     (r"\bnon ?commercial\b", "nc"), (r"\bshare ?alike\b", "sa"), (r"\bno ?deriv(?:ative)?s\b", "nd"), (r"\b([al]?gpl|mpl|epl)v", r"\1 "), (r" (?:version |v\.? ?)([0-9])", r" \1"),
     (r"([0-9])\.0\b", r"\1"), (r" only\b", ""), (r" (?:or (?:any )?(?:later|newer)(?: version)?)", " plus"),
 )
+#: Where a sentence names its holder or varies in it, and what stands for that; written the same in known texts (normalised sentences).
+GAPS = (
+    (r"\bneither the names? of .{1,160}? nor the names? of (?:its|their|his|her|the|any|other|specific) contributors\b", "neither the name of holder nor the names of its contributors"),
+    (r"\bneither the names? of .{1,160}? nor (?:the names of )?(?:its|their|his|the|any) contributors may be used\b", "neither the name of holder nor the names of its contributors may be used"),
+    (r"\bthis software is provided by .{1,160}? as is and any express\b", "this software is provided by holder as is and any express"),
+    (r"\bin no event shall .{1,160}? be liable for any (direct|claim|special)\b", r"in no event shall holder be liable for any \1"),
+    (r"\bcopyright (?:owner|holder)s?\b", "copyright holder"), (r"^(apache license version 2\.0 january 2004) https?$", r"\1"),
+)
+#: First words of the names above as texts write them (before :data:`SHORTER`).
+NAME_WORDS = ("mit", "expat", "isc", "0bsd", "zero", "bsd", "apache", "mpl", "mozilla", "epl", "eclipse", "cddl", "eupl", "boost", "bsl", "zlib", "unlicense", "wtfpl", "postgresql", "ncsa", "artistic", "python", "psf", "cc", "cc0", "creative", "gpl", "lgpl", "agpl", "gnu", "general")

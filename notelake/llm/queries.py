@@ -81,7 +81,7 @@ _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 
 def _chain(text: str, steps) -> str:
     for pattern, to in steps:
-        text = f"regexp_replace({text}, '{pattern}', '{to}', 'g')"
+        text = f"regexp_replace({text}, '{pattern.replace(chr(39), 2 * chr(39))}', '{to}', 'g')"
     return text
 
 
@@ -90,22 +90,28 @@ def _licence_sql() -> str:
     known = ", ".join(f"('{s}', '{i}')" for s, i in licences.SENTENCES.items())
     named = ", ".join(f"('{n}', 'name.{licence}')" for n, licence in licences.NAMES.items())
     rules = ", ".join(f"({k}, '{name}', '{''.join(f' {i} ' for i in rule)}')" for k, (name, rule) in enumerate(licences.RULES, 1))
-    body = _chain(_LOWER, licences.CUT)
-    names = f"CASE WHEN starts_with(plain, 'spdxid') THEN regexp_extract_all({_chain('plain', licences.SHORTER)}, '{licences.NAME}', 1) WHEN contains(plain, 'under') THEN regexp_extract_all({_chain('plain', licences.SHORTER)}, '{licences.UNDER}', 1) ELSE [] END"
+    body, plainly = _chain(_LOWER, licences.CUT), f"trim({_chain('plain', licences.SHORTER)})"
+    every = lambda pattern: f"regexp_extract_all({plainly}, '{pattern}', 1)"
+    names = f"""CASE WHEN starts_with(plain, 'spdxid') THEN {every(licences.NAME)} WHEN starts_with(plain, 'licenseid') THEN {every(licences.LINE)}
+      WHEN contains(plain, 'under') OR contains(plain, 'licensed') THEN {every(licences.UNDER)} || {every(licences.LICENSED)} WHEN regexp_matches(plain, 'licen[cs]e') THEN {every(licences.TITLE)} ELSE [] END"""
+    likely = f"regexp_matches(coalesce(text, ''), '{licences.ANCHORS}') OR regexp_matches(coalesce(text, ''), '{licences.ANNOUNCED}') AND regexp_matches(coalesce(text, ''), '{licences.NAMED}')"
+    gaps = lambda text: _chain(text, licences.GAPS)
     return rf"""
         WITH RECURSIVE known(sentence, id) AS (VALUES {known}), named(name, id) AS (VALUES {named}), rules(k, name, part) AS (VALUES {rules}),
         docs AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
-        b AS (SELECT r, string_split({body}, '|') AS a FROM docs WHERE regexp_matches(coalesce(text, ''), '{licences.ANCHORS}')),
+        b AS (SELECT r, string_split({body}, '|') AS a FROM docs WHERE {likely}),
         s AS (SELECT r, unnest(a) AS sentence, generate_subscripts(a, 1) AS i FROM b),
-        w AS MATERIALIZED (SELECT r, i, s.sentence, trim(regexp_replace(s.sentence, '[ \n]+', ' ', 'g')) AS plain, known.id FROM s LEFT JOIN known ON known.sentence = trim(regexp_replace(s.sentence, '[ \n]+', ' ', 'g'))),
+        p AS (SELECT r, i, sentence, trim(regexp_replace(sentence, '[ \n]+', ' ', 'g')) AS plain FROM s),
+        w AS MATERIALIZED (SELECT p.*, known.id FROM p LEFT JOIN known ON known.sentence = {gaps("plain")}),
         l AS (SELECT r, i, trim(unnest(string_split(sentence, chr(10)))) AS plain, generate_subscripts(string_split(sentence, chr(10)), 1) AS j FROM w WHERE id IS NULL),
-        lk AS MATERIALIZED (SELECT r, i, j, plain, known.id FROM l LEFT JOIN known ON known.sentence = l.plain),
+        lk AS MATERIALIZED (SELECT r, i, j, plain, known.id FROM l LEFT JOIN known ON known.sentence = {gaps("l.plain")}),
         ln AS (SELECT r, i, j, unnest(n) AS name, generate_subscripts(n, 1) AS k FROM (SELECT r, i, j, {names} AS n FROM lk WHERE id IS NULL)),
         lines AS MATERIALIZED (SELECT r, i, j, 0 AS k, id FROM lk WHERE id IS NOT NULL UNION ALL SELECT r, i, j, k, named.id FROM ln JOIN named USING (name)),
         wn AS (SELECT r, i, unnest(n) AS name, generate_subscripts(n, 1) AS k FROM (SELECT r, i, {names} AS n FROM w WHERE id IS NULL AND (r, i) NOT IN (SELECT r, i FROM lines))),
-        hit AS (SELECT r, i, 0 AS j, 0 AS k, id FROM w WHERE id IS NOT NULL UNION ALL FROM lines UNION ALL SELECT r, i, 0, k, named.id FROM wn JOIN named USING (name)),
-        seq AS MATERIALIZED (SELECT r, list(id ORDER BY i, j, k) AS ids FROM hit GROUP BY r),
-        run AS (SELECT r, 0 AS k, ' ' || array_to_string(ids, '  ') || ' ' AS rest, CAST([] AS VARCHAR[]) AS found FROM seq
+        hit AS MATERIALIZED (SELECT r, i, 0 AS j, 0 AS k, id FROM w WHERE id IS NOT NULL UNION ALL FROM lines UNION ALL SELECT r, i, 0, k, named.id FROM wn JOIN named USING (name)),
+        marks AS (SELECT r, i, 0 AS j, 0 AS k, '{licences.MARK}' AS id FROM w WHERE (r, i) NOT IN (SELECT r, i FROM hit) AND regexp_matches(plain, '(?:[a-z]+ .*){{{licences.MARKED - 1}}}[a-z]')),
+        seq AS MATERIALIZED (SELECT r, list(id ORDER BY i, j, k) FILTER (id <> '{licences.MARK}') AS ids, list(id ORDER BY i, j, k) AS marked FROM (FROM hit UNION ALL FROM marks) GROUP BY r),
+        run AS (SELECT r, 0 AS k, regexp_replace(' ' || array_to_string(marked, '  ') || ' ', '(?: \? ){{2,}}', ' ? ', 'g') AS rest, CAST([] AS VARCHAR[]) AS found FROM seq WHERE ids IS NOT NULL
           UNION ALL SELECT r, rules.k, replace(rest, part, ' # '), CASE WHEN contains(rest, part) THEN list_append(found, name) ELSE found END FROM run JOIN rules ON rules.k = run.k + 1),
         fin AS (SELECT r, CASE WHEN regexp_matches(rest, '[A-Za-z]') THEN list_append(found, '{licences.UNKNOWN}') ELSE found END AS found FROM run WHERE k = {len(licences.RULES)})
         SELECT doc_id, CAST(coalesce(len(ids), 0) AS BIGINT) AS n_sentences, coalesce(array_to_string(ids, ','), '') AS sentence_ids,

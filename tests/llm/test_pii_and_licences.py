@@ -141,6 +141,63 @@ def test_every_known_text_is_recognised_wrapped_and_commented(spark):
     assert len({licence for licence, *_ in cases}) >= 20
 
 
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are
+met:
+
+   * Redistributions of source code must retain the above copyright
+notice, this list of conditions and the following disclaimer.
+   * Redistributions in binary form must reproduce the above
+copyright notice, this list of conditions and the following disclaimer
+in the documentation and/or other materials provided with the
+distribution.
+{third}
+THIS SOFTWARE IS PROVIDED BY {who} ``AS IS'' AND ANY EXPRESS OR IMPLIED
+WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR
+A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL {owner} BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL,
+SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES;
+LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY.
+"""
+ALL = "THE COPYRIGHT HOLDERS AND CONTRIBUTORS"
+
+
+def test_texts_with_holders_of_their_own(spark):
+    """Texts as projects publish them, not as the table has them."""
+    third = "   * Neither the name of {} nor the names of its\ncontributors may be used to endorse or promote products derived from\nthis software without specific prior written permission.\n"
+    cases = [
+        (BSD.format(third=third.format("Example Inc."), who=ALL, owner="THE COPYRIGHT OWNER OR CONTRIBUTORS"), "BSD-3-Clause"),
+        (BSD.format(third=third.format("the University of Somewhere, Elsewhere"), who="THE REGENTS AND CONTRIBUTORS", owner="THE REGENTS OR CONTRIBUTORS"), "BSD-3-Clause"),
+        (BSD.format(third=third.format("the copyright holder"), who="Jo Doe", owner="Jo Doe"), "BSD-3-Clause"),
+        (BSD.format(third="", who=ALL, owner="THE COPYRIGHT HOLDER OR CONTRIBUTORS"), "BSD-2-Clause"),
+        (BSD.format(third="   * All users must send a postcard to the author of this software every single year.\n", who=ALL, owner="THE AUTHOR"), "BSD,unknown-licence"),
+        ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software.", ""),
+        ("Copyright 2020 Some Co. All rights reserved. Use is subject to terms that are quite their own.", "All-Rights-Reserved"),
+    ]
+    got = [",".join(sorted(r.licences.split(","))) for r in scanned(spark, [t for t, _ in cases])]
+    assert got == [want for _, want in cases]
+
+
+def test_names_that_stand_without_under(spark):
+    cases = [
+        ("Available under CC BY 4.0.", "CC-BY-4.0"), ("Released under Apache 2.0 in 2020.", "Apache-2.0"), ("License: MIT", "MIT"), ("licence : The MIT License", "MIT"), ("This project is MIT licensed.", "MIT"),
+        ('license = "Apache-2.0"', "Apache-2.0"), ('  "license": "ISC",', "ISC"), (" * @license MIT", "MIT"), ("Creative Commons Attribution-ShareAlike 4.0 International Public License", "CC-BY-SA-4.0"),
+        ("This file is not under the MIT license.", ""), ("It is not MIT licensed", ""), ("no longer distributed under the Apache License 2.0", ""), ("License: see the file, which speaks of MIT", ""), ("under the sea with mit und isc", ""),
+        ("Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/\n\nTERMS AND CONDITIONS", "Apache-2.0"), ("BSD-3-Clause licensed, see LICENSE", "BSD-3-Clause"), ("Mozilla Public License 2.0", "MPL-2.0"),
+        ('"License" shall mean the terms and conditions for use, reproduction,\nand distribution as defined by Sections 1 through 9 of this document.', "Apache-2.0"),
+    ]
+    assert [r.licences for r in scanned(spark, [t for t, _ in cases])] == [want for _, want in cases]
+
+
+def test_every_known_sentence_and_name_passes_the_first_look():
+    for s in licences.SENTENCES:
+        assert re.search(licences.ANCHORS, s), s
+    announced = re.compile(licences.ANNOUNCED), re.compile(licences.NAMED)
+    for name in licences.NAMES:
+        written = re.sub(r"\b([al]?gpl)\b", "GNU General Public License", name) if "gpl" in name else name
+        for text in (f"under {name}", f"License: {written}", f"SPDX-License-Identifier: {name.replace(' ', '-')}"):
+            assert all(a.search(text) for a in announced), text
+
+
 def test_openings_cut_no_known_sentence_and_ids_are_whole(spark):
     for s in licences.SENTENCES:
         assert not re.search(licences.OPENINGS, s[1:] + " "), s
