@@ -162,20 +162,43 @@ def test_index_is_reopened_and_only_the_batch_is_shuffled(spark):
     held = index.read().count()
     again = exact_dedup.DigestIndex(spark, "t_reopened")  # the session has four shuffle partitions
     assert again.buckets == 3
-    new = again.fresh(docs)
-    assert new.count() == 0
-    plan = new._jdf.queryExecution().executedPlan().toString()
-    plan = plan[plan.index("Initial Plan"):] if "Initial Plan" in plan else plan
-    batch, known = plan[plan.index("SortMergeJoin"):].split("FileScan parquet spark_catalog")[0], plan.split("FileScan parquet spark_catalog")[1]
-    assert "LeftAnti" in batch and "Bucketed: true" in known
-    below = batch[batch.rindex(":"):]  # what stands between the join and the index's scan
-    assert "Exchange" not in below and "Sort" in below
+    assert again.fresh(docs).count() == 0
     again.append(docs)
     more = exact_dedup.digests(spark.createDataFrame([(1, "quite new", "q", 0), (2, "quite  new", "q", 0)], SCHEMA))
     again.append(more)
     assert again.read().count() == held + 1
     assert {(r.doc_id, r.keep_id, r.kept) for r in again.verdicts(more).collect()} == {(1, 2, False), (2, 2, True)}
     again.drop()
+    assert not again.tables()
+
+
+def test_ten_appends_leave_few_sorted_tables(spark, tmp_path):
+    """The index side of the anti-joins has neither an exchange nor a sort, and a merge loses nothing."""
+    index, everything = exact_dedup.DigestIndex(spark, "t_levels", buckets=3, folder=f"file://{tmp_path}"), None
+    for k in range(10):
+        batch = spark.createDataFrame([(100 * k + i, f"text {(7 * i + k) % 90}" + " " * (i % 3), "q", 0) for i in range(60 if k else 300)], SCHEMA)
+        rows = exact_dedup.digests(batch)
+        everything = rows if everything is None else everything.unionByName(rows)
+        index.append(rows)
+        assert len(index.tables()) <= exact_dedup.LEVELS
+    again = exact_dedup.DigestIndex(spark, "t_levels")
+    with exact_dedup.ordered_buckets(spark):
+        new = again.fresh(everything)
+        plan = new._jdf.queryExecution().executedPlan().toString()
+    scans = plan.split("FileScan parquet spark_catalog")
+    assert len(scans) == len(again.tables()) + 1
+    assert all("Bucketed: true" in scan for scan in scans[1:])
+    # the index's columns are named with two lines before: only the batch is shuffled and sorted
+    assert plan.count("Exchange hashpartitioning") == 2 and "Exchange hashpartitioning(__" not in plan and "Sort [__" not in plan
+    assert new.count() == 0
+    for table in again.tables():
+        files = [f.rsplit("/", 1)[1] for f in spark.table(table).inputFiles()]
+        assert len(files) == len({f.split("_")[1].split(".")[0] for f in files}) <= 3 and all(str(tmp_path) in f for f in spark.table(table).inputFiles())
+    got = sorted(map(tuple, again.verdicts(everything).collect()))
+    texts = [(r[0], r[1]) for k in range(10) for r in [(100 * k + i, f"text {(7 * i + k) % 90}" + " " * (i % 3)) for i in range(60 if k else 300)]]
+    assert [r[1:] for r in got] == [r[1:] for r in sorted(brute_exact(texts))]
+    again.drop()
+    assert not again.tables()
 
 
 def test_exact_drop_keeps_columns_and_one_of_repeats(spark):
