@@ -48,9 +48,9 @@ REACH = PASSAGE - GRAM
 GROUP = 4_096
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
-#: A row per retained suffix; and per document one with ``at`` -1 and the number of words for the gram.
-SUFFIX = "row long, doc_id long, at int, gram long"
-CONTEXT = "row long, at int, first int, last int, gram long, context binary, context_hash long"
+#: A row per retained suffix, ``row`` being the SHA-256 of its text; and per document one with ``at`` -1 and the number of words for the gram.
+SUFFIX = "row binary, doc_id long, at int, gram long"
+CONTEXT = "row binary, at int, first int, last int, gram long, context binary, context_hash long"
 
 
 def word_hashes(text: str | None) -> np.ndarray:
@@ -93,7 +93,7 @@ def _retain(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             grams.append(np.concatenate((np.array([len(words)], np.uint64), gram)))
         sizes = [len(x) for x in ats]
         yield pd.DataFrame({
-            "row": np.repeat(frame["row"].to_numpy(np.int64), sizes), "doc_id": frame["doc_id"].astype("Int64").array.repeat(sizes),
+            "row": np.repeat(frame["row"].to_numpy(object), sizes), "doc_id": frame["doc_id"].astype("Int64").array.repeat(sizes),
             "at": np.concatenate(ats).astype(np.int32), "gram": np.concatenate(grams).view(np.int64),
         })
 
@@ -117,7 +117,7 @@ def _contexts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             found = suffixes(words)
             wanted = np.isin(found[0], np.asarray(places))
             at, gram, first, last = (x[wanted] for x in found)
-            parts.append((np.full(len(at), row, np.int64), at, first, last, gram, _context_table(words, at, first, last)))
+            parts.append((np.repeat(np.array([row], object), len(at)), at, first, last, gram, _context_table(words, at, first, last)))
         if not parts:
             continue
         row, at, first, last, gram, table = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -236,7 +236,7 @@ def _merge_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, spans) of every row: merged word spans (start, end exclusive) of its repeated windows."""
-    texts = id_and_text(docs, id_col, text_col).withColumn("row", F.xxhash64(F.encode("text", "UTF-8"), F.char_length("text")))
+    texts = id_and_text(docs, id_col, text_col).withColumn("row", F.unhex(F.sha2("text", 256)))
     retained = keep(texts.mapInPandas(_retain, SUFFIX), "suffixes")
     # equal texts are one row from here on, read from the document of the smallest id
     facts = retained.filter("at < 0").select("row", "doc_id", F.col("gram").alias("n_words"))
@@ -251,7 +251,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     distinct = contexts.groupBy("gram", "context_hash", "context").agg(F.count(F.lit(1)).alias("count"))
     flags = keep(_flags(keep(distinct, "distinct-contexts")).filter("bits <> 0"), "flags")
     hits = contexts.join(flags, "context_hash").groupBy("row").agg(F.collect_list(F.struct("at", "first", "last", "bits")).alias("hits"))
-    spans = hits.mapInPandas(_merge_rows, "row long, spans array<struct<start:long,end:long>>")
+    spans = hits.mapInPandas(_merge_rows, "row binary, spans array<struct<start:long,end:long>>")
     verdicts = keep(rows.join(spans, "row", "left").select("row", "copies", "spans"), "verdicts")
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_words").alias("end")))
     none = F.array().cast("array<struct<start:bigint,end:bigint>>")
