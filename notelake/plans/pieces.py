@@ -193,11 +193,14 @@ def sampling_probs(spark, sf_dir):
     return manifest.sampling_probabilities(manifest.manifest(bind.notes(spark, sf_dir)), bind.profiles(spark)).select("source", "pieces", _r("probability").alias("probability"))
 
 
-@query(f"WITH {_PROFILES} SELECT source, round(raw_share * sample_weight / sum(raw_share * sample_weight) OVER (), 6) AS share FROM prof")
+@query(f"WITH {_MANIFEST}, {_PROFILES}, m AS (SELECT source, sum(length) AS tokens FROM man GROUP BY source) SELECT source, round(tokens / sum(tokens) OVER (), 6) AS raw, round(tokens * sample_weight / sum(tokens * sample_weight) OVER (), 6) AS share, round(sample_weight / sum(sample_weight) OVER (), 6) AS fallback FROM m JOIN prof USING (source)")
 def weight_distribution(spark, sf_dir):
-    p = bind.profiles(spark).withColumn("x", F.col("raw_share") * F.col("sample_weight"))
-    total = p.agg(F.sum("x").alias("total"))
-    return p.crossJoin(F.broadcast(total)).select("source", _r(F.col("x") / F.col("total")).alias("share"))
+    """Of each source: its share of all tokens, that share by weight, and what holds where no share is known."""
+    tokens_of = manifest.manifest(bind.notes(spark, sf_dir)).groupBy("source").agg(F.sum("length").alias("tokens"))
+    p = tokens_of.join(F.broadcast(bind.profiles(spark)), "source")
+    total = p.agg(F.sum("tokens").alias("all"), F.sum(F.col("tokens") * F.col("sample_weight")).alias("weighted"), F.sum("sample_weight").alias("weights"))
+    part = lambda x, whole, name: _r(x / F.col(whole)).alias(name)
+    return p.crossJoin(F.broadcast(total)).select("source", part(F.col("tokens"), "all", "raw"), part(F.col("tokens") * F.col("sample_weight"), "weighted", "share"), part(F.col("sample_weight"), "weights", "fallback"))
 
 
 @query(f"WITH {_MANIFEST}, {S.TOKENS.removeprefix(S.NOTES + ',')} SELECT round(avg(length), 6) AS mean_length, min(length) AS min_length, max(length) AS max_length, (SELECT count(DISTINCT tok) FROM tokens) AS used, round((SELECT count(DISTINCT tok) FROM tokens) / 374, 6) AS coverage FROM man")
@@ -263,12 +266,14 @@ def metadata_fallback_join(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_PROFILES}, asked(name, own_notes) AS (VALUES ('ARIA ', 7), ('maestro', NULL), ('giant', NULL), ('adl_piano', 9), ('nowhere', NULL)), alias(a, c) AS (VALUES {", ".join(f"('{a}', '{c}')" for a, c in spec.ALIASES.items())})
-    SELECT name, coalesce(c, lower(trim(name))) AS source, CAST(coalesce(own_notes, min_notes, 100) AS INTEGER) AS min_notes, coalesce(sample_weight, 1.0) AS sample_weight FROM asked LEFT JOIN alias ON a = lower(trim(name)) LEFT JOIN prof ON prof.source = coalesce(c, lower(trim(name)))"""
+    f"""WITH {_PROFILES}, asked AS (SELECT piece_id, list_extract(['ARIA ', 'maestro', ' Giant', 'adl_piano', 'nowhere'], CAST(piece_id % 5 + 1 AS INTEGER)) AS name, CASE WHEN piece_id % 3 = 0 THEN CAST(n AS INTEGER) END AS own_notes FROM (SELECT user_id AS piece_id, count(*) AS n FROM events GROUP BY user_id)),
+    alias(a, c) AS (VALUES {", ".join(f"('{a}', '{c}')" for a, c in spec.ALIASES.items())})
+    SELECT piece_id, name, coalesce(c, lower(trim(name))) AS source, CAST(coalesce(own_notes, min_notes, 100) AS INTEGER) AS min_notes, coalesce(sample_weight, 1.0) AS sample_weight FROM asked LEFT JOIN alias ON a = lower(trim(name)) LEFT JOIN prof ON prof.source = coalesce(c, lower(trim(name)))"""
 )
 def profile_layering(spark, sf_dir):
-    """Override of the raw name, then default of the canonical name, then the configuration."""
-    asked = spark.createDataFrame([("ARIA ", 7), ("maestro", None), ("giant", None), ("adl_piano", 9), ("nowhere", None)], "name string, own_notes int")
-    names = asked.withColumn("source", manifest.canonical(F.col("name")))
-    joined = names.join(F.broadcast(bind.profiles(spark)), "source", "left")
-    return joined.select("name", "source", F.coalesce("own_notes", "min_notes", F.lit(100)).alias("min_notes"), F.coalesce("sample_weight", F.lit(1.0)).alias("sample_weight"))
+    """Each piece's own setting under the raw name of its source, then the default of the canonical name, then the configuration."""
+    names = F.element_at(F.array(*[F.lit(n) for n in ("ARIA ", "maestro", " Giant", "adl_piano", "nowhere")]), (F.col("piece_id") % 5 + 1).cast("int"))
+    pieces = bind.table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("piece_id")).agg(F.count(F.lit(1)).cast("int").alias("n"))
+    asked = pieces.select("piece_id", names.alias("name"), F.when(F.col("piece_id") % 3 == 0, F.col("n")).alias("own_notes")).withColumn("source", manifest.canonical(F.col("name")))
+    joined = asked.join(F.broadcast(bind.profiles(spark)), "source", "left")
+    return joined.select("piece_id", "name", "source", F.coalesce("own_notes", "min_notes", F.lit(100)).alias("min_notes"), F.coalesce("sample_weight", F.lit(1.0)).alias("sample_weight"))

@@ -151,18 +151,6 @@ def bpe_apply_ranked(spark, sf_dir):
     return pairs.apply_ranked(body, [(a, b, _BASE + r) for r, a, b, _ in merges])
 
 
-@query(
-    """WITH f(ord, name, n, base) AS (VALUES (0, 'PAD', 0, 0), (1, 'BOS', 0, 0), (2, 'EOS', 0, 0), (3, 'BAR', 0, 0), (4, 'POSITION_', 16, 0), (20, 'NOTE_ON_', 128, 0), (148, 'VELOCITY_', 32, 0), (180, 'DURATION_', 64, 1), (244, 'TIME_SHIFT_', 64, 1), (308, 'TEMPO_', 64, 0), (372, 'PEDAL_ON', 0, 0), (373, 'PEDAL_OFF', 0, 0))
-    SELECT CAST(ord + i AS INTEGER) AS id, CASE WHEN n = 0 THEN name ELSE name || (i + base) END AS name FROM f, range(64 * 2) r(i) WHERE i < greatest(n, 1)"""
-)
-def remi_vocabulary(spark, sf_dir):
-    """The 374 base names."""
-    families = [("PAD", 0, 0, 0), ("BOS", 1, 0, 0), ("EOS", 2, 0, 0), ("BAR", 3, 0, 0), ("POSITION_", 4, 16, 0), ("NOTE_ON_", 20, 128, 0), ("VELOCITY_", 148, 32, 0), ("DURATION_", 180, 64, 1), ("TIME_SHIFT_", 244, 64, 1), ("TEMPO_", 308, 64, 0), ("PEDAL_ON", 372, 0, 0), ("PEDAL_OFF", 373, 0, 0)]
-    f = spark.createDataFrame(families, "name string, first int, n int, base int")
-    rows = f.select("name", "first", "n", "base", F.explode(F.sequence(F.lit(0), F.greatest(F.col("n") - 1, F.lit(0)))).alias("i"))
-    return rows.select((F.col("first") + F.col("i")).alias("id"), F.when(F.col("n") == 0, F.col("name")).otherwise(F.concat("name", (F.col("i") + F.col("base")).cast("string"))).alias("name"))
-
-
 _REMI = f"""{S.NOTES},
 rn AS (SELECT *, CAST(round_even(round_even(greatest(0.0, onset) * 440, 0) / 55, 0) * 55 AS BIGINT) AS tick FROM notes),
 ev AS (SELECT piece_id, tick, 20 AS ord, pitch AS a, CAST(velocity // 4 AS INTEGER) AS b, CAST(least(greatest(round_even(greatest(1e-4::DOUBLE, duration) * 440 / 55, 0), 1), 64) AS INTEGER) AS c FROM rn WHERE NOT is_drum
@@ -180,6 +168,21 @@ def _remi(spark, sf_dir) -> DataFrame:
     return remi.encode(remi.events(bind.notes(spark, sf_dir)))
 
 
+@query(
+    f"""WITH {_REMI}, f(ord, name, n, base) AS (VALUES (0, 'PAD', 0, 0), (1, 'BOS', 0, 0), (2, 'EOS', 0, 0), (3, 'BAR', 0, 0), (4, 'POSITION_', 16, 0), (20, 'NOTE_ON_', 128, 0), (148, 'VELOCITY_', 32, 0), (180, 'DURATION_', 64, 1), (244, 'TIME_SHIFT_', 64, 1), (308, 'TEMPO_', 64, 0), (372, 'PEDAL_ON', 0, 0), (373, 'PEDAL_OFF', 0, 0)),
+    b AS (SELECT CAST(ord + i AS INTEGER) AS id, CASE WHEN n = 0 THEN name ELSE name || (i + base) END AS name FROM f, range(64 * 2) r(i) WHERE i < greatest(n, 1)), u AS (SELECT tok AS id, count(*) AS n FROM remi GROUP BY tok)
+    SELECT id, name, coalesce(n, 0) AS uses FROM b LEFT JOIN u USING (id)"""
+)
+def remi_vocabulary(spark, sf_dir):
+    """The 374 base names, and how often the encoded pieces use each."""
+    families = [("PAD", 0, 0, 0), ("BOS", 1, 0, 0), ("EOS", 2, 0, 0), ("BAR", 3, 0, 0), ("POSITION_", 4, 16, 0), ("NOTE_ON_", 20, 128, 0), ("VELOCITY_", 148, 32, 0), ("DURATION_", 180, 64, 1), ("TIME_SHIFT_", 244, 64, 1), ("TEMPO_", 308, 64, 0), ("PEDAL_ON", 372, 0, 0), ("PEDAL_OFF", 373, 0, 0)]
+    f = spark.createDataFrame(families, "name string, first int, n int, base int")
+    rows = f.select("name", "first", "n", "base", F.explode(F.sequence(F.lit(0), F.greatest(F.col("n") - 1, F.lit(0)))).alias("i"))
+    names = rows.select((F.col("first") + F.col("i")).alias("id"), F.when(F.col("n") == 0, F.col("name")).otherwise(F.concat("name", (F.col("i") + F.col("base")).cast("string"))).alias("name"))
+    uses = _remi(spark, sf_dir).groupBy(F.col("tok").alias("id")).agg(F.count(F.lit(1)).alias("uses"))
+    return F.broadcast(names).join(uses, "id", "left").select("id", "name", F.coalesce("uses", F.lit(0)).alias("uses"))
+
+
 @query(f"WITH {_REMI} SELECT piece_id, pos, tok FROM remi")
 def remi_encode(spark, sf_dir):
     return _remi(spark, sf_dir)

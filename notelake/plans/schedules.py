@@ -17,18 +17,31 @@ from notelake.sources import bind
 from notelake.streaming import ingest
 
 
-@query("SELECT CAST(s AS INTEGER) AS step, round(CASE WHEN s < 100 THEN s / 100.0 ELSE 0.1 + 0.9 * 0.5 * (1 + cos(pi() * least(1.0::DOUBLE, greatest(0.0::DOUBLE, (s - 100) / 900.0::DOUBLE)))) END, 6) AS factor FROM range(1201) r(s)")
+_STEPS = "t AS (SELECT count(*) AS n FROM events), s AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS step, n FROM events, t)"
+
+
+def _steps(spark, sf_dir):
+    """Events as the steps of a run: (step, n), n being how many there are; ids are ranked in blocks, so that no task sorts them all."""
+    e = bind.table(spark, sf_dir, "events").select("event_id", F.floor(F.col("event_id") / 4096).alias("block"))
+    counts = e.groupBy("block").agg(F.count(F.lit(1)).alias("own"))
+    before = counts.select("block", F.coalesce(F.sum("own").over(W.orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("own").over(W.partitionBy(F.lit(1))).alias("n"))
+    rank = F.row_number().over(W.partitionBy("block").orderBy("event_id")) - 1
+    return e.withColumn("rank", rank).join(before, "block").select((F.col("before") + F.col("rank")).alias("step"), "n")
+
+
+@query(f"WITH {_STEPS}, w AS (SELECT step, n, greatest(1, n // 20) AS warm FROM s) SELECT step, round(CASE WHEN step < warm THEN step / warm::DOUBLE ELSE 0.1 + 0.9 * 0.5 * (1 + cos(pi() * least(1.0::DOUBLE, (step - warm) / greatest(1, n - warm)::DOUBLE))) END, 6) AS factor FROM w")
 def warmup_cosine(spark, sf_dir):
-    """Learning-rate factor: linear warm-up of 100 steps, cosine to a tenth at step 1,000."""
-    s = spark.range(1201).select(F.col("id").cast("int").alias("step"))
-    p = Q.clamp((F.col("step") - 100) / F.lit(900.0), 0.0, 1.0)
-    return s.select("step", _r(F.when(F.col("step") < 100, F.col("step") / 100).otherwise(0.1 + 0.9 * 0.5 * (1 + F.cos(F.lit(math.pi) * p)))).alias("factor"))
+    """Learning-rate factor of each step of a run: linear warm-up over its first twentieth, cosine to a tenth at its end."""
+    s = _steps(spark, sf_dir).withColumn("warm", F.greatest(F.lit(1), F.floor(F.col("n") / 20)))
+    p = F.least(F.lit(1.0), (F.col("step") - F.col("warm")) / F.greatest(F.lit(1), F.col("n") - F.col("warm")))
+    return s.select("step", _r(F.when(F.col("step") < F.col("warm"), F.col("step") / F.col("warm")).otherwise(0.1 + 0.9 * 0.5 * (1 + F.cos(F.lit(math.pi) * p)))).alias("factor"))
 
 
-@query("SELECT CAST(s AS INTEGER) AS step, round(CASE WHEN s >= 200 THEN 0.1::DOUBLE ELSE 0.02::DOUBLE + (0.1::DOUBLE - 0.02::DOUBLE) * s / 200 END, 6) AS smoothing FROM range(0, 400, 10) r(s)")
+@query(f"WITH {_STEPS} SELECT step, round(CASE WHEN step >= n // 5 THEN 0.1::DOUBLE ELSE 0.02::DOUBLE + (0.1::DOUBLE - 0.02::DOUBLE) * step / (n // 5) END, 6) AS smoothing FROM s")
 def label_ramp(spark, sf_dir):
-    s = spark.range(0, 400, 10).select(F.col("id").cast("int").alias("step"))
-    return s.select("step", _r(F.when(F.col("step") >= 200, 0.1).otherwise(0.02 + (0.1 - 0.02) * F.col("step") / 200)).alias("smoothing"))
+    """Label smoothing of each step of a run, rising over its first fifth."""
+    end = F.floor(F.col("n") / 5)
+    return _steps(spark, sf_dir).select("step", _r(F.when(F.col("step") >= end, 0.1).otherwise(0.02 + (0.1 - 0.02) * F.col("step") / end)).alias("smoothing"))
 
 
 _SCALES = [0.01 * 2.0**k for k in range(14)]
@@ -56,15 +69,20 @@ def grid_snap(spark, sf_dir):
     return li.select("l_orderkey", "l_linenumber", Q.snap(F.bround("l_extendedprice", 0), F.lit(55)).alias("tick"), units.alias("units"))
 
 
-_RAW = [("1", "7"), ("3.9", "x"), (" yes ", "TRUE"), ("off", "0"), ("", None), (None, "-4"), ("nan", "1e3"), ("No", "on"), ("2000", "12.5"), ("5", "1e-3"), ("+6", "1E5"), ("-7", "2.5e+2"), ("8", ".5"), ("9", "5."), ("x", "1.2.3"), ("y", " "), (None, None), ("z", "-inf"), ("w", "Infinity")]
-_VALUES = ", ".join("(" + str(i) + ", " + ", ".join("NULL" if v is None else f"'{v}'" for v in row) + ")" for i, row in enumerate(_RAW))
+_DIRTY = """d AS (SELECT event_id, json_extract_string(props, '$.k') AS k, event_type FROM events),
+v AS (SELECT event_id, CASE event_id % 7 WHEN 0 THEN ' ' || k || ' ' WHEN 1 THEN k || '.9' WHEN 2 THEN '-' || k WHEN 3 THEN CASE WHEN length(k) = 1 THEN ' Yes' ELSE 'off' END WHEN 4 THEN '' WHEN 5 THEN event_type END AS a,
+  CASE event_id % 6 WHEN 0 THEN k || '.5' WHEN 1 THEN k || 'E-1' WHEN 2 THEN 'nan' WHEN 3 THEN '.' || k WHEN 4 THEN k || '.1.2' END AS b FROM d)"""
 
 
-@query(f"WITH v(id, a, b) AS (VALUES {_VALUES}) SELECT CAST(id AS INTEGER) AS id, CASE WHEN regexp_matches(trim(a), '^[+-]?[0-9]+$') THEN CAST(trim(a) AS INTEGER) ELSE -1 END AS whole, round(CASE WHEN regexp_matches(lower(trim(b)), '^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)(e[+-]?[0-9]+)?$') THEN CAST(trim(b) AS DOUBLE) ELSE 0.5 END, 6) AS number, CASE WHEN lower(trim(a)) IN ('1', 'true', 'yes', 'on') THEN true WHEN lower(trim(a)) IN ('0', 'false', 'no', 'off') THEN false ELSE lower(trim(b)) = 'on' END AS flag FROM v")
+@query(f"WITH {_DIRTY} SELECT event_id, CASE WHEN regexp_matches(trim(a), '^[+-]?[0-9]+$') THEN CAST(trim(a) AS INTEGER) ELSE -1 END AS whole, round(CASE WHEN regexp_matches(lower(trim(b)), '^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)(e[+-]?[0-9]+)?$') THEN CAST(trim(b) AS DOUBLE) ELSE 0.5 END, 6) AS number, CASE WHEN lower(trim(a)) IN ('1', 'true', 'yes', 'on') THEN true WHEN lower(trim(a)) IN ('0', 'false', 'no', 'off') THEN false ELSE false END AS flag FROM v")
 def tolerant_casts(spark, sf_dir):
-    """Strings to numbers and flags with fallbacks; what does not parse takes the fallback, never an error."""
-    v = spark.createDataFrame([(i, *r) for i, r in enumerate(_RAW)], "id int, a string, b string")
-    return v.select("id", clean.to_int("a", -1).alias("whole"), _r(clean.to_double("b", 0.5)).alias("number"), F.coalesce(clean.to_bool("a"), F.lower(F.trim("b")) == "on").alias("flag"))
+    """Fields of events, as dirty as settings are, to numbers and flags with fallbacks; what does not parse takes the fallback, never an error."""
+    k, i = F.get_json_object("props", "$.k"), F.col("event_id")
+    some = lambda n, *forms: F.coalesce(*[F.when(i % n == at, form) for at, form in enumerate(forms)])
+    a = some(7, F.concat(F.lit(" "), k, F.lit(" ")), F.concat(k, F.lit(".9")), F.concat(F.lit("-"), k), F.when(F.length(k) == 1, " Yes").otherwise("off"), F.lit(""), F.col("event_type"))
+    b = some(6, F.concat(k, F.lit(".5")), F.concat(k, F.lit("E-1")), F.lit("nan"), F.concat(F.lit("."), k), F.concat(k, F.lit(".1.2")))
+    v = bind.table(spark, sf_dir, "events").select("event_id", a.alias("a"), b.alias("b"))
+    return v.select("event_id", clean.to_int("a", -1).alias("whole"), _r(clean.to_double("b", 0.5)).alias("number"), F.coalesce(clean.to_bool("a"), F.lit(False)).alias("flag"))
 
 
 @query("SELECT doc_id AS index, printf('data/%05d/%07d_', doc_id // 250, doc_id) || md5(source || '/' || lang || '/' || lpad(CAST(doc_id AS VARCHAR), 7, '0') || '.mid') || '.npz' AS pack FROM documents")
@@ -181,13 +199,19 @@ def steps_per_epoch(spark, sf_dir):
     return m.select("source", "tokens", steps.cast("long").alias("steps"), F.ceil(steps / 8.0).cast("long").alias("updates"))
 
 
-@query("WITH a(field, old, new) AS (VALUES ('vocab_size', '374', '374'), ('event_size', '4', '3'), ('version', NULL, '3'), ('scheme', 'custom', NULL), ('max_delta', '8.0', '4.0')) SELECT field, old, new FROM a WHERE old <> new")
+@query("""WITH f AS (SELECT user_id AS piece_id, json_object('k', json_extract_string(arg_min(props, event_id), '$.k'), 'kind', arg_min(event_type, event_id), 'version', CASE WHEN user_id % 3 = 0 THEN '1' END, 'events', CAST(count(*) AS VARCHAR)) AS old,
+    json_object('k', json_extract_string(arg_max(props, event_id), '$.k'), 'kind', arg_max(event_type, event_id), 'version', '2') AS new FROM events GROUP BY user_id),
+    p AS (SELECT piece_id, unnest(['k', 'kind', 'version', 'events']) AS field, old, new FROM f)
+    SELECT piece_id, field, json_extract_string(old, '$.' || field) AS old, json_extract_string(new, '$.' || field) AS new FROM p WHERE json_extract_string(old, '$.' || field) <> json_extract_string(new, '$.' || field)""")
 def signature_compare(spark, sf_dir):
-    """Fields of two tokenizer signatures (JSON) that are in both and differ."""
-    sides = spark.createDataFrame([('{"vocab_size":"374","event_size":"4","scheme":"custom","max_delta":"8.0"}', '{"vocab_size":"374","event_size":"3","version":"3","max_delta":"4.0"}')], "old string, new string")
-    maps = sides.select(F.from_json("old", "map<string,string>").alias("o"), F.from_json("new", "map<string,string>").alias("n"))
-    rows = maps.select(F.explode(F.map_keys(F.map_concat("o", F.map_filter("n", lambda k, v: ~F.map_contains_key(F.col("o"), k))))).alias("field"), "o", "n")
-    return rows.select("field", F.try_element_at("o", F.col("field")).alias("old"), F.try_element_at("n", F.col("field")).alias("new")).filter("old <> new")
+    """Fields of two signatures (JSON) that are in both and differ: of each piece the one of its first event and the one of its last."""
+    e = bind.table(spark, sf_dir, "events")
+    side = lambda pick, *more: F.to_json(F.struct(F.get_json_object(pick("props", "event_id"), "$.k").alias("k"), pick("event_type", "event_id").alias("kind"), *more))
+    old = side(F.min_by, F.when(F.col("user_id") % 3 == 0, "1").alias("version"), F.count(F.lit(1)).cast("string").alias("events"))
+    sides = e.groupBy(F.col("user_id").alias("piece_id"), "user_id").agg(old.alias("old"), side(F.max_by, F.lit("2").alias("version")).alias("new"))
+    maps = sides.select("piece_id", F.from_json("old", "map<string,string>").alias("o"), F.from_json("new", "map<string,string>").alias("n"))
+    rows = maps.select("piece_id", F.explode(F.array_union(F.map_keys("o"), F.map_keys("n"))).alias("field"), "o", "n")
+    return rows.select("piece_id", "field", F.try_element_at("o", F.col("field")).alias("old"), F.try_element_at("n", F.col("field")).alias("new")).filter("old <> new")
 
 
 @query("SELECT doc_id AS index, CASE WHEN n_chars >= 200 THEN 'accepted' ELSE 'short' END AS status, printf('data/%05d/%07d_', doc_id // 250, doc_id) || md5(source || '/' || lang) || '.npz' AS pack, n_chars AS length FROM documents")
