@@ -82,11 +82,17 @@ def stratified(entries: DataFrame, stratum: str, key: str, most: int, seed: int)
     sizes = e.groupBy(stratum).agg(F.count(F.lit(1)).alias("__size"))
     total = F.broadcast(sizes.agg(F.sum("__size").alias("__total")))
     quota = F.least(F.greatest(F.lit(1), F.bround(F.col("__size") / F.col("__total") * most, 0)).cast("int"), F.col("__size").cast("int"))
-    quotas = sizes.crossJoin(total).select(stratum, quota.alias("__quota"))
+    quotas = sizes.crossJoin(total).select(F.col(stratum).alias("__stratum"), quota.alias("__quota"))
     # no stratum gives more than ``most`` rows, and those are among the first of its parts: a large stratum is cut down before it is sorted
     part = W.partitionBy(stratum, F.substring("__h", 1, DIGITS - 1)).orderBy("__h", key)
     e = e.withColumn("__part", F.row_number().over(part)).filter(F.col("__part") <= most).drop("__part")
-    ranked = e.withColumn("__rank", F.row_number().over(W.partitionBy(stratum).orderBy("__h", key))).join(quotas, stratum)
+    ranked = e.withColumn("__rank", F.row_number().over(W.partitionBy(stratum).orderBy("__h", key)))
+    ranked = ranked.join(quotas, F.col(stratum).eqNullSafe(F.col("__stratum"))).drop("__stratum")  # rows without a stratum are one of their own
     chosen = ranked.withColumn("__late", (F.col("__rank") > F.col("__quota")).cast("int"))
     # selected rows first, then leftovers, each in hash order; a top-k of a stated size
     return chosen.orderBy("__late", "__h", key).limit(most).drop("__h", "__rank", "__quota", "__late")
+
+
+def capped(entries: DataFrame, most: int, *order: str) -> DataFrame:
+    """The first ``most`` entries in order; each task keeps so many at most."""
+    return entries.orderBy(*order).limit(most)

@@ -180,7 +180,7 @@ def remi_vocabulary(spark, sf_dir):
     rows = f.select("name", "first", "n", "base", F.explode(F.sequence(F.lit(0), F.greatest(F.col("n") - 1, F.lit(0)))).alias("i"))
     names = rows.select((F.col("first") + F.col("i")).alias("id"), F.when(F.col("n") == 0, F.col("name")).otherwise(F.concat("name", (F.col("i") + F.col("base")).cast("string"))).alias("name"))
     uses = _remi(spark, sf_dir).groupBy(F.col("tok").alias("id")).agg(F.count(F.lit(1)).alias("uses"))
-    return F.broadcast(names).join(uses, "id", "left").select("id", "name", F.coalesce("uses", F.lit(0)).alias("uses"))
+    return names.join(uses, "id", "left").select("id", "name", F.coalesce("uses", F.lit(0)).alias("uses"))
 
 
 @query(f"WITH {_REMI} SELECT piece_id, pos, tok FROM remi")

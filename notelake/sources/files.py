@@ -11,6 +11,7 @@ import tarfile
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -109,13 +110,78 @@ def read_members(spark: SparkSession, root: str, wanted: DataFrame) -> DataFrame
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """A manifest as a JSON array, or as JSON lines (which Spark splits over tasks); rows that don't parse are dropped, the length falls back to the tokens."""
-    head = spark.read.text(path).select(F.trim("value").alias("v")).filter("v <> ''").first()
-    whole = bool(head and head.v.startswith("["))
-    rows = spark.read.schema(MANIFEST).option("multiLine", whole).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
+    """Manifests as JSON arrays or as JSON lines (which Spark splits over tasks), each file by itself; rows that don't parse are dropped, the length falls back to the tokens.
+
+    A file is an array if a line of it starts with "[": such files are read as a whole.
+    The driver gets the files' names.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.ltrim("value").alias("v"))
+    kinds = lines.groupBy("file").agg(F.max(F.startswith("v", F.lit("["))).alias("array")).collect()
+    read = lambda files, whole: spark.read.schema(MANIFEST).option("multiLine", whole).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(files)
+    parts = [read(files, whole) for whole in (True, False) if (files := sorted(r.file for r in kinds if r.array == whole))]
+    rows = parts[0].unionByName(parts[1]) if len(parts) > 1 else parts[0] if parts else spark.createDataFrame([], MANIFEST)
     return rows.filter("_bad IS NULL").drop("_bad").withColumn("length", F.coalesce("length", "tokens")).withColumn("npz_path", F.coalesce("npz_path", F.concat("md5", F.lit(".npz"))))
 
 
+def metadata_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of CSV files with a header, and ``at``, which orders them as they stand: file, start of the split, row in the split (a CSV row has no number).
+
+    Rows of a split reach one task in order, so an id that grows within a task orders
+    them. Quotes within a field are doubled; a field holds no line end.
+    """
+    rows = spark.read.schema(schema).options(header=True, escape='"', mode="PERMISSIVE").csv(path)
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row"))
+    return rows.select("*", at.alias("at"))
+
+
+def metadata_lookups(rows: DataFrame, path_col: str, at: str = "at") -> tuple[DataFrame, DataFrame]:
+    """By relative path (the last row counts) and by file name (the first row counts): (key, row)."""
+    given = rows.filter(F.trim(path_col) != "")
+    path = F.regexp_replace(F.trim(path_col), r"\\", "/")
+    key = lambda c: given.withColumn("key", c).groupBy("key")
+    whole = F.struct(*[c for c in rows.columns if c != at])
+    return key(path).agg(F.max_by(whole, at).alias("row")), key(F.element_at(F.split(path, "/"), -1)).agg(F.min_by(whole, at).alias("row"))
+
+
+def file_list(spark: SparkSession, path: str, files: DataFrame | None = None, pattern: str = NOTE_FILE) -> DataFrame:
+    """(path) of a JSON-lines list, each once: lines that are blank, broken or name no such file go; with a listing (path) also what isn't there.
+
+    The listing is as large as the store; where it is much larger than the list Spark
+    puts a Bloom filter of the list's paths before its exchange.
+    """
+    listed = spark.read.schema("path string").json(path).select(F.trim("path").alias("path")).filter(F.col("path").rlike("(?i)" + pattern)).distinct()
+    return listed if files is None else listed.join(files.select("path").distinct(), "path", "left_semi")
+
+
+def first_root(spark: SparkSession, roots: list[str], pattern: str) -> str | None:
+    """The first of a few folders that has a file by the pattern; a folder that isn't there has none."""
+    for root in roots:
+        try:
+            if not listing(spark, root, pattern).isEmpty():
+                return root
+        except AnalysisException:  # no such folder
+            continue
+    return None
+
+
+def write_manifest(rows: DataFrame, path: str) -> None:
+    """A manifest for readers that take JSON arrays only: each task writes its rows as an array of its own, a row a line."""
+
+    def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mark = "["
+        for batch in batches:
+            lines = []
+            for line in batch.column(0).to_pylist():
+                lines.append(mark + line)
+                mark = ","
+            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], ["value"])
+        if mark == ",":
+            yield pa.RecordBatch.from_arrays([pa.array(["]"])], ["value"])
+
+    json = rows.select(F.to_json(F.struct(*rows.columns)).alias("json"))
+    json.mapInArrow(arrays, "value string").write.mode("overwrite").text(path)
+
+
 def log_state(spark: SparkSession, path: str) -> DataFrame:
     """One row (rows, done) of a JSON-lines log: rows that are not blank, and the valid indexes among them."""
     lines = spark.read.text(path).filter(F.trim("value") != "")
