@@ -17,9 +17,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.column import Column
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from notelake.sources.packs import opened
 
 #: Note files, by suffix.
 NOTE_FILE = r"\.midi?$"
+#: Bytes of an archive that one task reads, bytes and rows that it hands on at a time.
+RANGE, BATCH_BYTES, INDEX_ROWS = 128_000_000, 16_000_000, 10_000
+OFFSETS = pa.schema([("archive", pa.string()), ("place", pa.int64()), ("name", pa.string()), ("size", pa.int64()), ("offset", pa.int64())])
 MANIFEST = "piece_id string, path string, source string, composer string, length int, tokens int, md5 string, npz_path string, index long, _bad string"
 
 
@@ -39,27 +45,97 @@ def indexed(files: DataFrame, any_case: bool = True) -> DataFrame:
     return rows.join(before, "folder").select((F.col("before") + own).alias("index"), "path", "length")
 
 
-def archive_members(spark: SparkSession, root: str, with_content: bool = False) -> DataFrame:
-    """(archive, place, name, size, content) of the members of the tar archives below a folder, in archive order, a member at a time.
+def _seekable(path: str):
+    """A file that can be read from any place on."""
+    files, place = opened(path)
+    return files.open_input_file(place)
+
 
-    An archive reaches its task as one cell, so it may have 2 GB at most; larger ones
-    need to be written in parts (see :func:`write_archives`, which bounds them).
+def archive_offsets(spark: SparkSession, root: str) -> DataFrame:
+    """(archive, place, name, size, offset) of the members of the plain tar archives below a folder, in archive order.
+
+    Only headers are read, hopping over what is between them, so an archive may be of any size.
     """
 
+    table = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), OFFSETS, strict=True)], schema=OFFSETS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                rows, place = [], 0
+                with _seekable(path) as raw, tarfile.open(fileobj=raw, mode="r:") as tar:
+                    for m in tar:
+                        if m.isfile():
+                            rows.append((path, place, m.name, m.size, m.offset_data))
+                            place += 1
+                        tar.members.clear()  # a header that was seen is let go
+                        if len(rows) >= INDEX_ROWS:
+                            yield table(rows)
+                            rows.clear()
+                if rows:
+                    yield table(rows)
+
+    return _tars(spark, root).select("path").repartition("path").mapInArrow(run, "archive string, place long, name string, size long, offset long")
+
+
+def _tars(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{tar,txt}").load(root)
+
+
+def ranged(members: DataFrame) -> DataFrame:
+    """``members`` (archive, offset, size, ...) with ``content``: only their own bytes are read, by as many tasks as they are ranges of ``RANGE`` bytes; a member may have 2 GB, as a cell may."""
+    names = members.columns
+    at = [names.index(c) for c in ("archive", "offset", "size")]
+    types = to_arrow_schema(members.schema).append(pa.field("content", pa.binary()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path, raw = None, None
+        try:
+            for batch in batches:
+                held, size, begin = [], 0, 0
+                for k, (archive, offset, length) in enumerate(zip(*(batch.column(c).to_pylist() for c in at), strict=True)):
+                    if archive != path:
+                        if raw is not None:
+                            raw.close()
+                        path, raw = archive, _seekable(archive)
+                    raw.seek(offset)
+                    held.append(raw.read(length))
+                    size += length
+                    if size >= BATCH_BYTES:
+                        yield pa.RecordBatch.from_arrays([*batch.slice(begin, len(held)).columns, pa.array(held, pa.binary())], schema=types)
+                        held, size, begin = [], 0, k + 1
+                if held:
+                    yield pa.RecordBatch.from_arrays([*batch.slice(begin, len(held)).columns, pa.array(held, pa.binary())], schema=types)
+        finally:
+            if raw is not None:
+                raw.close()
+
+    dealt = members.repartition("archive", F.floor(F.col("offset") / RANGE)).sortWithinPartitions("archive", "offset")
+    return dealt.mapInArrow(run, members.schema.add("content", "binary"))
+
+
+def packed_members(spark: SparkSession, root: str, with_content: bool = False) -> DataFrame:
+    """(archive, place, name, size, content) of the members of compressed tar archives. They can't be read from the middle: each reaches its task as one cell, of 2 GB at most."""
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["archive", "place", "name", "size", "content"]
         for frame in frames:
             for path, content in zip(frame["path"], frame["content"], strict=True):
                 with tarfile.open(fileobj=io.BytesIO(content)) as tar:
-                    members = (m for m in tar if m.isfile())
-                    for place, m in enumerate(members):
+                    for place, m in enumerate(m for m in tar if m.isfile()):
                         data = tar.extractfile(m).read() if with_content else None
-                        yield pd.DataFrame([(path, place, m.name, m.size, data)], columns=columns)
+                        yield pd.DataFrame([(path, place, m.name, m.size, data)], columns=["archive", "place", "name", "size", "content"])
 
-    tars = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{tar,tar.*,txt}").load(root)
+    tars = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{tar.*,tgz}").load(root)
     return tars.select("path", "content").mapInPandas(run, "archive string, place long, name string, size long, content binary")
 
 
+def archive_members(spark: SparkSession, root: str, with_content: bool = False) -> DataFrame:
+    """(archive, place, name, size, content) of the members of the tar archives below a folder, in archive order: plain ones by byte ranges, compressed ones as a whole."""
+    index = archive_offsets(spark, root)
+    rows = ranged(index) if with_content else index.withColumn("content", F.lit(None).cast("binary"))
+    return rows.select("archive", "place", "name", "size", "content").unionByName(packed_members(spark, root, with_content))
+
+
 def write_archives(members: DataFrame, folder: str, most_bytes: int = 64_000_000) -> None:
     """(name, content) rows as tar archives of bounded size, each a file of its own.
 
@@ -103,10 +179,14 @@ def archive_index(spark: SparkSession, root: str, cache: str) -> DataFrame:
 
 
 def read_members(spark: SparkSession, root: str, wanted: DataFrame) -> DataFrame:
-    """(name, content) for every name wanted, null where no archive has it; of several members of one name the first in path order counts."""
-    members = archive_members(spark, root, True).join(wanted.select("name").distinct(), "name", "left_semi")
-    first = members.groupBy("name").agg(F.min_by("content", F.struct("archive", "place")).alias("content"))
-    return wanted.select("name").join(first, "name", "left")
+    """(name, content) for every name wanted, null where no archive has it; of several members of one name the first in path order counts. Of plain archives no other member's bytes are read."""
+    names, found = wanted.select("name").distinct(), F.struct("archive", "place")
+    index = archive_offsets(spark, root).join(names, "name", "left_semi")
+    first = index.groupBy("name").agg(F.min_by(F.struct("archive", "place", "offset", "size"), found).alias("m")).select("name", "m.*")
+    plain = ranged(first).select("name", "archive", "place", "content")
+    packed = packed_members(spark, root, True).join(names, "name", "left_semi").select("name", "archive", "place", "content")
+    either = plain.unionByName(packed).groupBy("name").agg(F.min_by("content", found).alias("content"))
+    return wanted.select("name").join(either, "name", "left")
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:

@@ -110,3 +110,39 @@ def test_rows_without_a_stratum_are_one(spark):
     rows = spark.createDataFrame([(i, "xy"[i % 2] if i % 6 else None) for i in range(60)], "id long, kind string")
     got = manifest.stratified(rows, "kind", "id", 30, 7).collect()
     assert len(got) == 30 and sum(r.kind is None for r in got) == 5
+
+
+def test_a_tar_beyond_a_cell_is_read_in_ranges(spark, tmp_path, monkeypatch):
+    """One member of 2.2 GB (a hole on disk) between small ones: named members cost their own bytes."""
+    import io
+    import tarfile
+
+    path = tmp_path / "big.tar"
+    small = {f"notes/{i}.mid": os.urandom(2000 + i) for i in range(40)}
+    long = "deep/" * 40 + "name.mid"
+    with open(path, "wb") as raw:
+
+        def add(name, data=None, size=0):
+            info = tarfile.TarInfo(name)
+            info.size = size or len(data)
+            raw.write(info.tobuf(tarfile.GNU_FORMAT))
+            raw.write(data) if data is not None else raw.seek(size, 1)
+            raw.write(bytes(-info.size % 512))
+
+        for k, (name, data) in enumerate(small.items()):
+            add(name, data)
+            if k == 19:
+                add("huge.bin", size=2_200_000_000)
+        add(long, b"x" * 10)
+        raw.write(bytes(1024))
+    monkeypatch.setattr(files, "RANGE", 20_000)
+    index = files.archive_offsets(spark, str(tmp_path))
+    found = {r.name: r for r in index.collect()}
+    assert set(found) == {*small, "huge.bin", long} and found["huge.bin"].size == 2_200_000_000 and [r.place for r in sorted(found.values(), key=lambda r: r.offset)] == list(range(42))
+    got = files.ranged(index.filter("size < 1000000")).withColumn("task", F.spark_partition_id())
+    monkeypatch.setattr(files, "BATCH_BYTES", 5_000)
+    assert {r.name: bytes(r.content) for r in got.collect()} == {**small, long: b"x" * 10}
+    wanted = spark.createDataFrame([(n,) for n in ("notes/3.mid", "notes/33.mid", long, "none")], "name string")
+    back = {r.name: r.content and bytes(r.content) for r in files.read_members(spark, str(tmp_path), wanted).collect()}
+    assert back == {"notes/3.mid": small["notes/3.mid"], "notes/33.mid": small["notes/33.mid"], long: b"x" * 10, "none": None}
+    assert io.BytesIO(bytes(back[long])).read(1) == b"x"
