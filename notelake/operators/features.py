@@ -9,6 +9,9 @@ from pyspark.sql import Window as W
 from notelake import spec
 from notelake.sources.interim import keep
 
+#: Seconds of a block of a sweep.
+SWEEP = 16.0
+
 
 def density(notes: DataFrame) -> DataFrame:
     """(piece_id, density, median_pitch): notes a second of the piece's span."""
@@ -17,14 +20,25 @@ def density(notes: DataFrame) -> DataFrame:
 
 
 def polyphony(notes: DataFrame) -> DataFrame:
-    """(piece_id, mean_voices, peak_voices) by a sweep over 2n bounds; starts go before ends at equal times."""
+    """(piece_id, mean_voices, peak_voices) by a sweep over 2n bounds; starts go before ends at equal times.
+
+    The sweep goes in blocks of time: a block tells its sum and its highest running
+    sum, and what sounds before it is added over the few blocks of a piece, so a piece
+    with a large share of all notes is many tasks' work. The notes' lengths are the area
+    under the sweep, which gives the mean.
+    """
     start = F.greatest(F.lit(0.0), F.col("onset"))
     end = F.greatest(F.col("onset") + F.lit(1e-4), F.col("onset") + F.col("duration"))
-    bounds = notes.select("piece_id", "event_id", F.inline(F.array(F.struct(start.alias("t"), F.lit(1).alias("d")), F.struct(end.alias("t"), F.lit(-1).alias("d")))))
-    w = W.partitionBy("piece_id").orderBy("t", F.desc("d"), "event_id")
-    active = bounds.select("piece_id", F.sum("d").over(w.rowsBetween(W.unboundedPreceding, 0)).alias("n"), (F.lead("t").over(w) - F.col("t")).alias("span"))
-    mean = F.when(F.sum("span") > 0, F.sum(F.col("n") * F.col("span")) / F.sum("span")).otherwise(F.max("n"))
-    return active.groupBy("piece_id").agg(mean.alias("mean_voices"), F.greatest(F.lit(1), F.max("n")).cast("double").alias("peak_voices"))
+    bound = lambda t, d, length: F.struct(t.alias("t"), F.lit(d).alias("d"), length.alias("length"))
+    bounds = notes.select("piece_id", "event_id", F.inline(F.array(bound(start, 1, end - start), bound(end, -1, F.lit(0.0))))).withColumn("block", F.floor(F.col("t") / SWEEP))
+    w = W.partitionBy("piece_id", "block").orderBy("t", F.desc("d"), "event_id").rowsBetween(W.unboundedPreceding, 0)
+    parts = bounds.withColumn("n", F.sum("d").over(w)).groupBy("piece_id", "block").agg(
+        F.sum("d").alias("change"), F.max("n").alias("n"), F.min("t").alias("low"), F.max("t").alias("high"), F.sum("length").alias("area")
+    )
+    before = F.coalesce(F.sum("change").over(W.partitionBy("piece_id").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    span, peak = F.max("high") - F.min("low"), F.max(F.col("before") + F.col("n"))
+    mean = F.when(span > 0, F.sum("area") / span).otherwise(peak)
+    return parts.withColumn("before", before).groupBy("piece_id").agg(mean.alias("mean_voices"), F.greatest(F.lit(1), peak).cast("double").alias("peak_voices"))
 
 
 def quartiles(densities: DataFrame) -> DataFrame:

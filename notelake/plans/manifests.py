@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from notelake.operators import manifest, tokens
+from notelake.operators import manifest, scan, tokens
 from notelake.plans import sql as S
 from notelake.plans.pieces import _MANIFEST, _r
 from notelake.plans.registry import query
 from notelake.plans.sequences import _SEQ
 from notelake.sources import bind, files
+from notelake.sources.interim import keep
 
 
 @query()
@@ -80,9 +80,11 @@ def bundle_score(spark, sf_dir):
 @query(f"WITH {S.QUADS}, g AS (SELECT piece_id, note_ix, delta_tok, sum(CASE WHEN delta_tok <> 0 THEN 1 ELSE 0 END) OVER (PARTITION BY piece_id ORDER BY note_ix ROWS UNBOUNDED PRECEDING) AS grp FROM quads) SELECT piece_id, note_ix, count(*) FILTER (delta_tok = 0) OVER (PARTITION BY piece_id, grp ORDER BY note_ix ROWS UNBOUNDED PRECEDING) AS streak, count(*) FILTER (delta_tok = 0) OVER (PARTITION BY piece_id, grp ORDER BY note_ix ROWS UNBOUNDED PRECEDING) >= 3 AS barred FROM g")
 def zero_delta_streak(spark, sf_dir):
     """Consecutive zero steps up to each note; three bar a fourth."""
-    q = tokens.quads(bind.notes(spark, sf_dir))
-    g = q.select("piece_id", "note_ix", "delta_tok", F.sum((F.col("delta_tok") != 0).cast("int")).over(W.partitionBy("piece_id").orderBy("note_ix").rowsBetween(W.unboundedPreceding, 0)).alias("grp"))
-    streak = F.count(F.when(F.col("delta_tok") == 0, 1)).over(W.partitionBy("piece_id", "grp").orderBy("note_ix").rowsBetween(W.unboundedPreceding, 0))
+    q = keep(tokens.quads(bind.notes(spark, sf_dir)).select("piece_id", "note_ix", "delta_tok"), "steps")
+    # all notes since the last step that isn't zero are zero steps: their number is the distance to it
+    step = F.when(F.col("delta_tok") != 0, F.col("note_ix"))
+    g = scan.running(q, "piece_id", F.floor(F.col("note_ix") / 4096), ["note_ix"], last=("max", step))
+    streak = (F.col("note_ix") - F.coalesce("last", F.lit(-1))).cast("long")
     return g.select("piece_id", "note_ix", streak.alias("streak"), (streak >= 3).alias("barred"))
 
 

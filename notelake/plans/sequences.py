@@ -8,11 +8,12 @@ from pyspark.sql import Window as W
 
 from notelake import spec
 from notelake.functions import quantize as Q
-from notelake.operators import manifest, tokens
+from notelake.operators import manifest, scan, tokens
 from notelake.plans import sql as S
 from notelake.plans.pieces import _MANIFEST, _r
 from notelake.plans.registry import query
 from notelake.sources import bind
+from notelake.sources.interim import keep
 
 _SEQ = S.TOKENS + ", seqs AS (SELECT piece_id, list(tok ORDER BY pos) AS seq FROM tokens GROUP BY piece_id)"
 _DC, _UC = S.doubles(spec.DELTA_CENTRES), S.doubles(spec.DURATION_CENTRES)
@@ -203,9 +204,10 @@ def compress_features(spark, sf_dir):
 
 @query(f"WITH {S.NOTES} SELECT piece_id, note_ix, round(max(onset - (note_ix % 4) * 0.1::DOUBLE) OVER (PARTITION BY piece_id ORDER BY note_ix ROWS UNBOUNDED PRECEDING), 6) AS fixed FROM notes")
 def monotone_fix(spark, sf_dir):
-    """Running maximum over onsets that were shaken out of order."""
-    shaken = F.col("onset") - (F.col("note_ix") % 4) * F.lit(0.1)
-    return bind.notes(spark, sf_dir).select("piece_id", "note_ix", _r(F.max(shaken).over(W.partitionBy("piece_id").orderBy("note_ix").rowsBetween(W.unboundedPreceding, 0))).alias("fixed"))
+    """Running maximum over onsets that were shaken out of order, in two levels."""
+    rows = keep(bind.notes(spark, sf_dir).select("piece_id", "note_ix", (F.col("onset") - (F.col("note_ix") % 4) * F.lit(0.1)).alias("shaken")), "shaken")
+    fixed = scan.running(rows, "piece_id", F.floor(F.col("note_ix") / 4096), ["note_ix"], fixed=("max", F.col("shaken")))
+    return fixed.select("piece_id", "note_ix", _r("fixed").alias("fixed"))
 
 
 @query(f"WITH {_ON} SELECT piece_id, CAST(len(f) AS INTEGER) AS n, round(list_sum(f), 6) AS total FROM (SELECT piece_id, CASE WHEN piece_id % 2 = 0 THEN a ELSE list_transform(range(0, len(a)), lambda i: i * 0.05::DOUBLE) END AS f FROM arr)")
