@@ -12,6 +12,7 @@ from notelake.operators import features, manifest, tokens
 from notelake.plans import sql as S
 from notelake.plans.registry import query
 from notelake.sources import bind
+from notelake.sources.interim import keep
 
 
 def _r(c, n=6):
@@ -30,7 +31,7 @@ def tokens_quad(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT piece_id, pos, tok, round(onset, 6) AS onset, round(duration, 6) AS duration FROM (FROM pre UNION ALL SELECT piece_id, pos + 4, tok, onset, duration FROM tokens UNION ALL FROM fin)"""
 )
 def tokens_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = bind.notes(spark, sf_dir)
+    n = keep(bind.notes(spark, sf_dir), "notes")  # for the tags and for the quads
     return tokens.stream(n, features.tags(n)).select("piece_id", "pos", "tok", _r("onset").alias("onset"), _r("duration").alias("duration"))
 
 

@@ -105,7 +105,7 @@ _STREAMED = f"""{S.TOKENS}, {S.TAGS.removeprefix(S.NOTES + ",")}, full_stream AS
 def _stream(spark, sf_dir) -> DataFrame:
     from notelake.operators import features
 
-    n = bind.notes(spark, sf_dir)
+    n = keep(bind.notes(spark, sf_dir), "notes")
     return tokens.stream(n, features.tags(n))
 
 
