@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -9,11 +10,25 @@ from notelake.operators import tokens
 from notelake.plans import sql as S
 from notelake.plans.registry import query
 from notelake.sources import bind
-from notelake.sources.interim import new_path
+from notelake.sources.interim import keep, new_path
 from notelake.streaming import state
 
-#: Files that a stream's source is cut into, and so micro-batches; pieces that follow one another in a lane.
-FILES, LANE = 4, 8
+#: Portions that a stream's source is cut into, and so micro-batches; pieces that follow one another in a lane.
+PORTIONS, LANE = 4, 8
+
+
+def in_portions(rows: DataFrame, along: str, folder: str) -> int:
+    """Writes ``rows`` without the column ``along`` to a folder, in portions along it, one portion after another; returns the number of files of a portion.
+
+    A stream takes files by age. Files of one job are as old as their tasks ended, in no
+    order, and what comes before its predecessors has to wait in the state store.
+    """
+    kept, files = keep(rows, "portions"), rows.sparkSession.sparkContext.defaultParallelism
+    ends = kept.approxQuantile(along, [k / PORTIONS for k in range(1, PORTIONS)], 0.01)
+    portion = sum((F.coalesce(F.col(along) >= end, F.lit(False)).cast("int") for end in ends), F.lit(0))
+    for k in range(len(ends) + 1):
+        kept.filter(portion == k).drop(along).repartition(files).write.mode("append").parquet(folder)
+    return files
 
 
 @query(
@@ -23,8 +38,8 @@ def zero_streak_stream(spark, sf_dir):
     """Zero steps in a row as keyed state: the notes come in micro-batches by time."""
     q = tokens.quads(bind.notes(spark, sf_dir)).select("piece_id", F.col("note_ix").cast("long").alias("note_ix"), "delta_tok", "onset")
     folder = new_path(spark, "streaks")
-    q.repartitionByRange(FILES, "onset").drop("onset").write.parquet(f"{folder}/in")
-    return state.run(spark, f"{folder}/in", "piece_id long, note_ix long, delta_tok int", state.zero_streaks, f"{folder}/out", f"{folder}/checkpoint")
+    files = in_portions(q, "onset", f"{folder}/in")
+    return state.run(spark, f"{folder}/in", "piece_id long, note_ix long, delta_tok int", state.zero_streaks, f"{folder}/out", f"{folder}/checkpoint", files)
 
 
 @query(
@@ -38,7 +53,7 @@ def memory_stream(spark, sf_dir):
     )
     rows = s.withColumn("seq", F.row_number().over(W.partitionBy("lane").orderBy("vec_id")).cast("long") - 1)
     folder = new_path(spark, "memory")
-    rows.repartitionByRange(FILES, "seq").drop("vec_id").write.parquet(f"{folder}/in")
-    shown = state.run(spark, f"{folder}/in", "piece long, pos long, score double, lane long, seq long", state.theme_memory, f"{folder}/out", f"{folder}/checkpoint")
+    files = in_portions(rows.withColumn("at", F.col("seq")).drop("vec_id"), "at", f"{folder}/in")
+    shown = state.run(spark, f"{folder}/in", "piece long, pos long, score double, lane long, seq long", state.theme_memory, f"{folder}/out", f"{folder}/checkpoint", files)
     place = F.row_number().over(W.partitionBy("batch").orderBy("pos")).cast("long")
     return state.last_memory(shown).select("lane", F.col("piece").alias("batch"), "pos").withColumn("place", place)

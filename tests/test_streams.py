@@ -1,11 +1,18 @@
 """Keyed state: batch and stream agree whatever the micro-batches, and a restart goes on."""
 
+import os
 import random
+import threading
+from contextlib import contextmanager
 
 import pytest
+from pyspark.sql.streaming import StreamingQueryListener
 
+from notelake import plans
 from notelake.streaming import progress, state
 
+SF = "/root/testdata/sf0.001"
+
 STEPS = "piece_id long, note_ix long, delta_tok int"
 CANDIDATES = "lane long, seq long, piece long, pos long, score double"
 
@@ -114,3 +121,61 @@ def test_progress_rows_are_one_a_batch_and_go_on_after_a_restart(spark, tmp_path
     assert sorted(r.rows for r in got) == sorted(map(len, parts))
     assert [r.done for r in got] == [sum(x.rows for x in got[: k + 1]) for k in range(5)]
     assert all(r.backlog == len(rows) - r.done and r.rate > 0 and r.eta_seconds >= 0 for r in got) and got[-1].eta_seconds == 0
+
+
+@contextmanager
+def store_reports(spark):
+    """What the state store held and what was written to it, (held, written) a micro-batch of the stream that runs inside."""
+    found, ended = [], threading.Event()
+
+    class Listener(StreamingQueryListener):
+        def onQueryStarted(self, event):  # noqa: N802
+            pass
+
+        def onQueryProgress(self, event):  # noqa: N802
+            found.extend((o.numRowsTotal, o.numRowsUpdated) for o in event.progress.stateOperators)
+
+        def onQueryIdle(self, event):  # noqa: N802
+            pass
+
+        def onQueryTerminated(self, event):  # noqa: N802
+            ended.set()
+
+    listener = Listener()
+    spark.streams.addListener(listener)
+    try:
+        yield found
+        assert ended.wait(30)
+    finally:
+        spark.streams.removeListener(listener)
+
+
+def test_state_is_written_by_group_and_block_not_by_row(spark, tmp_path):
+    rows = [(p, i, 0) for p in range(40) for i in range(100)]
+    for part in cut(rows, 2, 3, True):
+        write(spark, part, STEPS, f"{tmp_path}/in")
+    with store_reports(spark) as found:
+        got = state.run(spark, f"{tmp_path}/in", STEPS, state.zero_streaks, f"{tmp_path}/out", f"{tmp_path}/checkpoint")
+    assert {(r.piece_id, r.note_ix): r.streak for r in got.collect()} == streaks(rows)
+    assert len(found) == 2 and sum(written for _, written in found) < len(rows) / 10
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+@pytest.mark.parametrize("name, keys, group", [("zero_streak_stream", "piece_id", 16), ("memory_stream", "lane", 1)])
+def test_portions_reach_the_stream_in_order(spark, name, keys, group):
+    """In order no row waits, so the store holds a row a group and nothing else."""
+    with store_reports(spark) as found:
+        got = plans.QUERIES[name](spark, SF)
+    groups = {r[0] // group for r in got.select(keys).distinct().collect()}
+    assert found and all(held <= len(groups) for held, _ in found)
+
+
+def test_streaks_over_blocks_from_the_end_on_and_rows_without_a_piece(spark, tmp_path):
+    rnd = random.Random(4)
+    rows = [(p, i, rnd.choice([0, 0, 5, None])) for p, n in ((-17, 30), (7, 2600), (8, 20), (None, 40)) for i in range(n)]
+    back = sorted(rows, key=lambda r: -r[1])
+    for part in (back[:900], back[800:1700], back[2000:], back[1700:2000]):  # a hundred come twice
+        write(spark, part, STEPS, f"{tmp_path}/in")
+    got = state.run(spark, f"{tmp_path}/in", STEPS, state.zero_streaks, f"{tmp_path}/out", f"{tmp_path}/checkpoint").collect()
+    want = streaks([(-1 if p is None else p, i, step) for p, i, step in rows])
+    assert {(-1 if r.piece_id is None else r.piece_id, r.note_ix): r.streak for r in got} == want and len(got) == len(rows)
